@@ -1,18 +1,20 @@
 """Exact percentiles of groups of any size.
 
-``F.percentile`` keeps every distinct value of a group in the memory of one
-task, which a group holding a third of a very large table does not survive.
-Here the rank is found by narrowing instead: count (group, value) pairs, lay
-the values of a group over a bounded number of ordered slots, keep the one or
-two slots that hold the wanted ranks, and repeat inside them. No task ever sees
-more than about two to three million rows of one group, whatever its size:
-
-* coarse slots follow the logarithm, 1024 per e-fold, over the whole double range;
-* fine slots cut one coarse slot into 2^21 equal parts;
-* 2^-10 * 2^-21 of relative width is left, which is about 2^21 distinct doubles.
-
-The events are scanned and their JSON parsed once: each narrowing step starts
-from the same shuffled (group, value) counts, which Spark reuses.
+``F.percentile`` keeps every distinct value of a group in the memory of one task, which
+a group holding a third of a very large table does not survive. So (group, value) pairs
+are counted first, over tasks split by both, and then:
+
+* groups with at most ``RICH_GROUP`` distinct values go to ``F.percentile`` as they are;
+* richer groups are narrowed down: their values are laid over a bounded number of ordered
+  slots, the one or two slots with the wanted ranks are kept, and the same is done inside
+  them. Coarse slots follow the logarithm, 1024 per e-fold, over the whole double range;
+  fine slots cut one of them into 2^21 equal parts; some 2^-31 of relative width is left,
+  about 2^21 distinct doubles. No task meets more than a few million rows of one group.
+
+The kept slots are broadcast, so the counts are not shuffled again: N events have at most
+N / ``RICH_GROUP`` rich groups, with two coarse and four fine slots each. Where there are
+none, AQE drops the narrowing branch before it starts. The events are scanned and their
+JSON parsed once, as all steps start from the same shuffled counts.
 """
 
 from __future__ import annotations
@@ -20,12 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RICH_GROUP = 200_000
 COARSE_PER_EFOLD = 1024
 FINE_SLOTS = 2**21
 #: ln of the smallest double is about -744.4: this shift makes every ln positive.
 LN_SHIFT = 745
 NO_VALUE_SLOT = -(2**31)
 
+#: Ranks count from 0. A row covers those from ``_below`` up to ``_through`` - 1; the wanted
+#: ones lie on either side of ``_pos``.
+_WANTED = "_through > floor(_pos) AND _below <= ceil(_pos)"
+
 
 def _coarse_slot(value: Column) -> Column:
     """A slot number that never falls as the value rises."""
@@ -39,65 +46,61 @@ def _fine_slot(value: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.floor(F.nanvl(share, F.lit(0.0)) * FINE_SLOTS), F.lit(0).cast("long"))
 
 
-def _holds_rank(below: Column, through: Column, rank: Column) -> Column:
-    """Ranks count from 0: a row covers the ranks from ``below`` up to ``through`` - 1."""
-    return (below <= rank) & (rank < through)
-
-
-def exact_percentile(rows: DataFrame, fraction: float) -> DataFrame:
+def exact_percentile(rows: DataFrame, fraction: float, rich_group: int = RICH_GROUP) -> DataFrame:
     """``rows(_k, _num)`` -> ``(_k, value)``, interpolated linearly between ranks.
 
     ``_k`` must not be NULL (a struct of the group keys never is). A group without
     any number keeps its row, with NULL as value.
     """
-    counts = rows.groupBy("_k", "_num").agg(F.count("_num").alias("_n"))
-    coarse = counts.withColumn("_slot", _coarse_slot(F.col("_num")))
-
-    group = Window.partitionBy("_k")
-    position = (F.greatest(F.col("_total") - 1, F.lit(0)) * F.lit(float(fraction))).alias("_pos")
-    wanted = (F.col("_total") == 0) | (
-        (F.col("_through") > F.floor("_pos")) & (F.col("_below") <= F.ceil("_pos"))
+    counts = (
+        rows.groupBy("_k", "_num").agg(F.count("_num").alias("_n"))
+        .withColumn("_slot", _coarse_slot(F.col("_num")))
+    )
+    slots = F.broadcast(_coarse_hits(counts, fraction, rich_group))
+    plain = counts.join(slots, "_k", "left_anti").groupBy("_k").agg(
+        F.percentile("_num", float(fraction), F.col("_n")).alias("value")
     )
+    return plain.unionByName(_narrowed(counts.join(slots, ["_k", "_slot"])))
 
-    coarse_hits = (
-        coarse.groupBy("_k", "_slot")
-        .agg(F.sum("_n").alias("_n"), F.min("_num").alias("_low"), F.max("_num").alias("_high"))
-        .select(
-            "*",
-            F.sum("_n").over(group).alias("_total"),
-            F.sum("_n").over(group.orderBy("_slot")).alias("_through"),
-        )
-        .select("*", (F.col("_through") - F.col("_n")).alias("_below"), position)
-        .filter(wanted)
-        .select("_k", "_slot", "_low", "_high", "_below", "_total", "_pos")
+
+def _coarse_hits(counts: DataFrame, fraction: float, rich_group: int) -> DataFrame:
+    """Of every rich group the one or two coarse slots with the wanted ranks."""
+    group = Window.partitionBy("_k")
+    through = F.sum("_n").over(group.orderBy("_slot"))
+    slots = counts.groupBy("_k", "_slot").agg(
+        F.sum("_n").alias("_n"), F.count("_num").alias("_values"),
+        F.min("_num").alias("_low"), F.max("_num").alias("_high"),
+    ).select(
+        "_k", "_slot", "_low", "_high", through.alias("_through"), (through - F.col("_n")).alias("_below"),
+        ((F.sum("_n").over(group) - 1) * F.lit(float(fraction))).alias("_pos"),
+        F.sum("_values").over(group).alias("_rich"),
     )
-    # Usually one or two rows per group: AQE broadcasts them if they prove small
-    # and otherwise joins by shuffle, splitting skewed slots.
-    inside = coarse.join(coarse_hits, ["_k", "_slot"]).withColumn(
-        "_fine", _fine_slot(F.col("_num"), F.col("_low"), F.col("_high"))
+    return slots.filter((F.col("_rich") > rich_group) & F.expr(_WANTED)).select(
+        "_k", "_slot", "_low", "_high", "_below", "_pos"
     )
 
-    slot = Window.partitionBy("_k", "_slot")
-    carried = ["_k", "_slot", "_below", "_total", "_pos"]
+
+def _narrowed(inside: DataFrame) -> DataFrame:
+    """The percentile of each group from the counts inside its coarse hits."""
+    inside = inside.withColumn("_fine", _fine_slot(F.col("_num"), F.col("_low"), F.col("_high")))
+    slot = Window.partitionBy("_k", "_slot").orderBy("_fine")
+    through = F.col("_below") + F.sum("_n").over(slot)
     fine_hits = (
-        inside.groupBy(*carried, "_fine")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_through", F.col("_below") + F.sum("_n").over(slot.orderBy("_fine")))
-        .withColumn("_below", F.col("_through") - F.col("_n"))
-        .filter(wanted)
+        inside.groupBy("_k", "_slot", "_below", "_pos", "_fine").agg(F.sum("_n").alias("_n"))
+        .select("_k", "_slot", "_fine", "_pos", through.alias("_through"), (through - F.col("_n")).alias("_below"))
+        .filter(_WANTED)
         .select("_k", "_slot", "_fine", F.col("_below").alias("_start"))
     )
 
     part = Window.partitionBy("_k", "_slot", "_fine").orderBy("_num")
-    ranked = (
-        inside.join(fine_hits, ["_k", "_slot", "_fine"])
-        .withColumn("_through", F.col("_start") + F.sum("_n").over(part))
-        .withColumn("_below", F.col("_through") - F.col("_n"))
-        .filter(wanted)
-    )
+    through = F.col("_start") + F.sum("_n").over(part)
+    ranked = inside.join(F.broadcast(fine_hits), ["_k", "_slot", "_fine"]).select(
+        "_k", "_num", "_pos", through.alias("_through"), (through - F.col("_n")).alias("_below")
+    ).filter(_WANTED)
 
     def value_at(rank: Column) -> Column:
-        return F.max(F.when(_holds_rank(F.col("_below"), F.col("_through"), rank), F.col("_num")))
+        holds = (F.col("_below") <= rank) & (rank < F.col("_through"))
+        return F.max(F.when(holds, F.col("_num")))
 
     ends = ranked.groupBy("_k").agg(
         value_at(F.floor("_pos")).alias("_v0"),
@@ -105,6 +108,4 @@ def exact_percentile(rows: DataFrame, fraction: float) -> DataFrame:
         F.max(F.col("_pos") - F.floor("_pos")).alias("_share"),
     )
     between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_share")
-    return ends.select(
-        "_k", F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(between).alias("value")
-    )
+    return ends.select("_k", between.alias("value"))

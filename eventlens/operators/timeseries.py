@@ -54,19 +54,17 @@ def _fill(points: DataFrame, names: list[str], lower, upper, interval: str, ntz:
     The range guard bounds the grid, and with it every series, to some ten thousand
     buckets; so the window below sorts short runs however many events they stand for.
     """
-    spark = points.sparkSession
+    if lower > upper:
+        return points.filter(F.lit(False))
     first = bucket_start(time_literal(lower, ntz), interval, ntz)
     last, step = time_literal(upper, ntz), bucket_step(interval)
-    one = spark.range(1) if lower <= upper else spark.range(0)
-    grid = one.select(F.explode(F.sequence(first, last, step)).alias("bucket"))
+    grid = points.sparkSession.range(1).select(F.explode(F.sequence(first, last, step)).alias("bucket"))
 
     if not names:
         # At most one row per grid bucket: the guard proves this side small.
         filled = grid.join(F.broadcast(points), "bucket", "left")
         return filled.select("bucket", F.coalesce("value", F.lit(0.0)).alias("value"))
 
-    if lower > upper:
-        return points.limit(0)
     series = Window.partitionBy(*names).orderBy("bucket")
     after = F.lead("bucket").over(series)
     run = F.sequence(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.schema import EVENT_COLUMNS, LINE_MAX_BYTES, REQUIRED_TEXT, TEXT_COLUMNS, UUID_COLUMNS, UUID_PATTERN
 
@@ -15,19 +19,19 @@ NOT_A_UUID = "{} must be a valid UUID"
 RFC3339_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 ZERO_TIME = "0001-01-01 00:00:00Z"
 
+END_MARK = "<end of the line>"
+_LINE_SCHEMA = T.ArrayType(T.StructType([T.StructField(c, T.VariantType()) for c in [*EVENT_COLUMNS, END_MARK]]))
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """One line per row as ``value``; ``.gz`` files are unpacked by their extension."""
     return spark.read.text(path)
 
 
-def _member(key: str, kind: str = "variant") -> Column:
-    return F.try_variant_get("_v", f"$.{key}", kind)
-
-
-def _type_of(value: Column) -> Column:
-    """STRING, OBJECT<...>, ...; VOID for JSON null and for a missing member."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+def _is_text(member: Column) -> Column:
+    """A string, JSON null or missing; and not a number, a boolean, an object or a list."""
+    return F.coalesce(F.schema_of_variant(member), F.lit("VOID")).isin("STRING", "VOID")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -38,42 +42,46 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     '5'); unknown members are ignored; null counts as missing. Member names are exact
     and lower case. The first failing rule gives the reason.
     """
-    parsed = lines.filter(F.col("value") != "").select(
-        F.col("value").alias("line"), F.try_parse_json("value").alias("_v")
+    # The JSON reader stops at the end of the first value. Read as a list with a mark
+    # behind the line, a line with anything else on it gives another list, or none.
+    marked = F.concat(F.lit("["), "value", F.lit(f',{{"{END_MARK}":""}}]'))
+    read = lines.filter(F.col("value") != "").select(
+        F.col("value").alias("line"), F.from_json(marked, _LINE_SCHEMA, _STRICT).alias("_list")
     )
-    is_text = [_type_of(_member(c)).isin("STRING", "VOID") for c in ["timestamp", *TEXT_COLUMNS]]
-    data_type = _type_of(_member("data"))
-    well_typed = data_type.startswith("OBJECT") | (data_type == "VOID")
-    for condition in is_text:
-        well_typed = well_typed & condition
-    well_typed = _type_of(F.col("_v")).startswith("OBJECT") & well_typed
-
-    raw_time = _member("timestamp", "string")
-    time = F.date_trunc(
-        "MILLISECOND", F.when(raw_time.rlike(RFC3339_PATTERN), F.try_to_timestamp(raw_time))
+    event, end = F.get("_list", F.lit(0)), F.get("_list", F.lit(1))
+    whole = (F.size("_list") == 2) & end[END_MARK].isNotNull() & event.isNotNull()
+    members = read.select(
+        "line",
+        F.coalesce(whole, F.lit(False)).alias("_whole"),
+        reduce(and_, [_is_text(event[c]) for c in ["timestamp", *TEXT_COLUMNS]]).alias("_text"),
+        F.try_variant_get(event["timestamp"], "$", "string").alias("_raw_time"),
+        *[F.coalesce(F.try_variant_get(event[c], "$", "string"), F.lit("")).alias(c) for c in TEXT_COLUMNS],
+        F.to_json(event["data"]).alias("_data"),
     )
-    event = F.struct(
-        well_typed.alias("_well_typed"),
-        raw_time.alias("_raw_time"),
-        time.alias("timestamp"),
-        *[F.coalesce(_member(c, "string"), F.lit("")).alias(c) for c in TEXT_COLUMNS],
-        F.when(data_type == "VOID", "{}").otherwise(F.to_json(_member("data"))).alias("data"),
+    time = F.when(F.col("_raw_time").rlike(RFC3339_PATTERN), F.try_to_timestamp("_raw_time"))
+    no_data = F.col("_data").isNull() | (F.col("_data") == "null")
+    typed = members.select(
+        "line",
+        (F.col("_whole") & F.col("_text")).alias("_well_typed"),
+        "_raw_time",
+        F.date_trunc("MILLISECOND", time).alias("timestamp"),
+        *TEXT_COLUMNS,
+        F.when(no_data, "{}").otherwise(F.col("_data")).alias("data"),
     )
-    # As a generator, the extraction runs once per line: a filter on the reason
-    # cannot be pushed below it, which would evaluate all of it a second time.
-    typed = parsed.select("line", F.inline(F.array(event)))
-
     bad_time = F.col("_raw_time").isNotNull() & F.col("timestamp").isNull()
     no_time = F.col("timestamp").isNull() | (F.col("timestamp") == F.lit(ZERO_TIME).cast("timestamp"))
     reason = (
         F.when(F.octet_length("line") >= LINE_MAX_BYTES, LINE_TOO_LONG)
-        .when(~F.col("_well_typed") | bad_time, INVALID_JSON)
+        .when(~F.col("_well_typed") | bad_time | ~F.col("data").startswith("{"), INVALID_JSON)
         .when(no_time, REQUIRED.format("timestamp"))
     )
     for c in REQUIRED_TEXT:
         reason = reason.when(F.col(c) == "", REQUIRED.format(c))
     for c in UUID_COLUMNS:
         reason = reason.when((F.col(c) != "") & ~F.col(c).rlike(UUID_PATTERN), NOT_A_UUID.format(c))
+    # The partition id makes the reason an expression that filters are not pushed below:
+    # they would evaluate all the parsing a second time. It is never negative.
+    reason = F.when(F.spark_partition_id() >= 0, reason)
     return typed.select(
         *EVENT_COLUMNS,
         F.date_trunc("MILLISECOND", F.current_timestamp()).alias("_inserted_at"),

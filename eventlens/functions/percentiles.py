@@ -19,31 +19,71 @@ JSON parsed once, as all steps start from the same shuffled counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 RICH_GROUP = 200_000
 COARSE_PER_EFOLD = 1024
 FINE_SLOTS = 2**21
 #: ln of the smallest double is about -744.4: this shift makes every ln positive.
 LN_SHIFT = 745
-NO_VALUE_SLOT = -(2**31)
 
-#: Ranks count from 0. A row covers those from ``_below`` up to ``_through`` - 1; the wanted
-#: ones lie on either side of ``_pos``.
-_WANTED = "_through > floor(_pos) AND _below <= ceil(_pos)"
-
-
-def _coarse_slot(value: Column) -> Column:
-    """A slot number that never falls as the value rises."""
-    size = F.when(value == 0, 0.0).otherwise(F.ln(F.abs(value)) + LN_SHIFT)
-    slot = F.floor(F.signum(value) * F.least(size, F.lit(2.0 * LN_SHIFT)) * COARSE_PER_EFOLD)
-    return F.coalesce(slot, F.lit(NO_VALUE_SLOT).cast("long"))
-
-
-def _fine_slot(value: Column, low: Column, high: Column) -> Column:
-    share = F.when(high > low, (value - low) / (high - low)).otherwise(0.0)
-    return F.coalesce(F.floor(F.nanvl(share, F.lit(0.0)) * FINE_SLOTS), F.lit(0).cast("long"))
+# Slot numbers never fall as the value rises. Ranks count from 0: a row covers those from
+# _below up to _through - 1, and the wanted ones lie on either side of _pos.
+_EXACT = f"""
+WITH counts AS (
+  SELECT _k, _num, count(_num) AS _n,
+    CASE WHEN _num <> 0 THEN floor(signum(_num) * (least(ln(abs(_num)), {LN_SHIFT}) + {LN_SHIFT}) * {COARSE_PER_EFOLD})
+         ELSE 0 END AS _slot
+  FROM {{rows}} GROUP BY _k, _num
+),
+-- of every rich group the one or two coarse slots with the wanted ranks
+slots AS (
+  SELECT _k, _slot, _low, _high, _below, _pos
+  FROM (
+    SELECT _k, _slot, _low, _high,
+      sum(_n) OVER upward AS _through, (sum(_n) OVER upward) - _n AS _below,
+      ((sum(_n) OVER whole) - 1) * CAST({{fraction}} AS DOUBLE) AS _pos, sum(_values) OVER whole AS _rich
+    FROM (
+      SELECT _k, _slot, sum(_n) AS _n, count(_num) AS _values, min(_num) AS _low, max(_num) AS _high
+      FROM counts GROUP BY _k, _slot
+    )
+    WINDOW upward AS (PARTITION BY _k ORDER BY _slot), whole AS (PARTITION BY _k)
+  )
+  WHERE _rich > {{rich_group}} AND _through > floor(_pos) AND _below <= ceil(_pos)
+),
+inside AS (
+  SELECT /*+ BROADCAST(slots) */ _k, _slot, _num, _n, _below, _pos,
+    CASE WHEN _high > _low THEN floor((_num - _low) / (_high - _low) * {FINE_SLOTS}) ELSE 0 END AS _fine
+  FROM counts JOIN slots USING (_k, _slot)
+),
+fine_slots AS (
+  SELECT _k, _slot, _fine, _below AS _start
+  FROM (
+    SELECT _k, _slot, _fine, _pos,
+      _below + (sum(_n) OVER upward) AS _through, _below + (sum(_n) OVER upward) - _n AS _below
+    FROM (SELECT _k, _slot, _fine, _below, _pos, sum(_n) AS _n FROM inside GROUP BY _k, _slot, _fine, _below, _pos)
+    WINDOW upward AS (PARTITION BY _k, _slot ORDER BY _fine)
+  )
+  WHERE _through > floor(_pos) AND _below <= ceil(_pos)
+),
+ranked AS (
+  SELECT /*+ BROADCAST(fine_slots) */ _k, _num, _pos,
+    _start + (sum(_n) OVER upward) AS _through, _start + (sum(_n) OVER upward) - _n AS _below
+  FROM inside JOIN fine_slots USING (_k, _slot, _fine)
+  WINDOW upward AS (PARTITION BY _k, _slot, _fine ORDER BY _num)
+),
+ends AS (
+  SELECT _k, max(_pos) AS _pos,
+    max(_num) FILTER (WHERE _below <= floor(_pos) AND floor(_pos) < _through) AS _v0,
+    max(_num) FILTER (WHERE _below <= ceil(_pos) AND ceil(_pos) < _through) AS _v1
+  FROM ranked GROUP BY _k
+)
+SELECT /*+ BROADCAST(slots) */ _k, percentile(_num, {{fraction}}, _n) AS value
+FROM counts LEFT ANTI JOIN slots USING (_k)
+GROUP BY _k
+UNION ALL
+SELECT _k, _v0 + (_v1 - _v0) * (_pos - floor(_pos)) AS value FROM ends
+"""
 
 
 def exact_percentile(rows: DataFrame, fraction: float, rich_group: int = RICH_GROUP) -> DataFrame:
@@ -52,60 +92,4 @@ def exact_percentile(rows: DataFrame, fraction: float, rich_group: int = RICH_GR
     ``_k`` must not be NULL (a struct of the group keys never is). A group without
     any number keeps its row, with NULL as value.
     """
-    counts = (
-        rows.groupBy("_k", "_num").agg(F.count("_num").alias("_n"))
-        .withColumn("_slot", _coarse_slot(F.col("_num")))
-    )
-    slots = F.broadcast(_coarse_hits(counts, fraction, rich_group))
-    plain = counts.join(slots, "_k", "left_anti").groupBy("_k").agg(
-        F.percentile("_num", float(fraction), F.col("_n")).alias("value")
-    )
-    return plain.unionByName(_narrowed(counts.join(slots, ["_k", "_slot"])))
-
-
-def _coarse_hits(counts: DataFrame, fraction: float, rich_group: int) -> DataFrame:
-    """Of every rich group the one or two coarse slots with the wanted ranks."""
-    group = Window.partitionBy("_k")
-    through = F.sum("_n").over(group.orderBy("_slot"))
-    slots = counts.groupBy("_k", "_slot").agg(
-        F.sum("_n").alias("_n"), F.count("_num").alias("_values"),
-        F.min("_num").alias("_low"), F.max("_num").alias("_high"),
-    ).select(
-        "_k", "_slot", "_low", "_high", through.alias("_through"), (through - F.col("_n")).alias("_below"),
-        ((F.sum("_n").over(group) - 1) * F.lit(float(fraction))).alias("_pos"),
-        F.sum("_values").over(group).alias("_rich"),
-    )
-    return slots.filter((F.col("_rich") > rich_group) & F.expr(_WANTED)).select(
-        "_k", "_slot", "_low", "_high", "_below", "_pos"
-    )
-
-
-def _narrowed(inside: DataFrame) -> DataFrame:
-    """The percentile of each group from the counts inside its coarse hits."""
-    inside = inside.withColumn("_fine", _fine_slot(F.col("_num"), F.col("_low"), F.col("_high")))
-    slot = Window.partitionBy("_k", "_slot").orderBy("_fine")
-    through = F.col("_below") + F.sum("_n").over(slot)
-    fine_hits = (
-        inside.groupBy("_k", "_slot", "_below", "_pos", "_fine").agg(F.sum("_n").alias("_n"))
-        .select("_k", "_slot", "_fine", "_pos", through.alias("_through"), (through - F.col("_n")).alias("_below"))
-        .filter(_WANTED)
-        .select("_k", "_slot", "_fine", F.col("_below").alias("_start"))
-    )
-
-    part = Window.partitionBy("_k", "_slot", "_fine").orderBy("_num")
-    through = F.col("_start") + F.sum("_n").over(part)
-    ranked = inside.join(F.broadcast(fine_hits), ["_k", "_slot", "_fine"]).select(
-        "_k", "_num", "_pos", through.alias("_through"), (through - F.col("_n")).alias("_below")
-    ).filter(_WANTED)
-
-    def value_at(rank: Column) -> Column:
-        holds = (F.col("_below") <= rank) & (rank < F.col("_through"))
-        return F.max(F.when(holds, F.col("_num")))
-
-    ends = ranked.groupBy("_k").agg(
-        value_at(F.floor("_pos")).alias("_v0"),
-        value_at(F.ceil("_pos")).alias("_v1"),
-        F.max(F.col("_pos") - F.floor("_pos")).alias("_share"),
-    )
-    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_share")
-    return ends.select("_k", between.alias("value"))
+    return rows.sparkSession.sql(_EXACT, rows=rows, fraction=float(fraction), rich_group=int(rich_group))

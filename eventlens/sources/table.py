@@ -63,12 +63,15 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).parquet(path)
 
 
-def register_view(events: DataFrame, name: str = "events") -> None:
-    """Make the events available to ``spark.sql``; absent strings become ''."""
-    defaults = {c: "{}" if c == "data" else "" for c in EVENT_COLUMNS[1:]}
-    events.select(
-        *[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in events.columns]
-    ).createOrReplaceTempView(name)
+def register_view(events: DataFrame, name: str = "events", absent_as_empty: tuple[str, ...] = ()) -> None:
+    """Make the events available to ``spark.sql`` under a name.
+
+    A column that a file is older than is NULL there. Those named in ``absent_as_empty``
+    read '' instead, but then filters on them no longer reach the Parquet scan.
+    """
+    for c in absent_as_empty:
+        events = events.withColumn(c, F.coalesce(F.col(c), F.lit("")))
+    events.createOrReplaceTempView(name)
 
 
 def publish_days(
@@ -78,7 +81,9 @@ def publish_days(
 
     A range shuffle on the sort key cuts a big day into many files of disjoint time
     ranges, whose min/max statistics serve time filters. ``files`` fixes how many
-    ranges there are; by default AQE sizes them (``advisoryPartitionSizeInBytes``).
+    ranges there are; by default there are up to ``spark.sql.shuffle.partitions``, which
+    AQE merges to the advisory size. The landing dataset has to keep a day for as long as
+    it may be published again.
     """
     days = F.col("event_date").between(date_literal(first), date_literal(last))
     rows = read_events(spark, landing).filter(days).select(*STORED_COLUMNS)

@@ -50,8 +50,13 @@ def test_files_without_a_column_read_as_empty(spark, golden, folder):
     assert found == {"": 4, "u1": 2, "u2": 2}
     assert sorted(ids(apply_filters(table, {"user_id": ""}))) == [4, 5, 6, 7]
     assert sorted(ids(apply_filters(table, {"user_id__neq": "u1"}))) == [2, 4, 5, 6, 7, 8]
-    register_view(table, "evolved")
+    register_view(table, "evolved", absent_as_empty=("user_id",))
     assert spark.sql("SELECT * FROM evolved WHERE user_id = '' AND service = 'web'").count() == 3
+    register_view(table)
+    found = spark.sql(f"SELECT * FROM events WHERE trace_id = '{trace(3)}' AND timestamp >= '2026-02-01 00:00:00'")
+    assert ids(found) == [3]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    assert f"EqualTo(trace_id,{trace(3)})" in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_drop_expired(spark, golden, folder):

@@ -25,6 +25,8 @@ ACCEPTED = [
     (OK + ',"user_id":"not-a-uuid"}', {"user_id": "not-a-uuid"}),
     (OK + ',"Env":"x"}', {"env": ""}),
     (OK + ',"env":"a","env":"b"}', {"env": "b"}),
+    (OK + ',"data":{"user_id":42,"env":{"x":null}},"user_id":"7"}', {"user_id": "7", "data": '{"env":{"x":null},"user_id":42}'}),
+    (OK + ',"\\u0065nv":"escaped","level":"a\\"b\\n"}', {"env": "escaped", "level": 'a"b\n'}),
     ('{"timestamp":"2026-02-06T23:01:02.123456789Z","service":"ü","name":"n"}',
      {"timestamp": datetime(2026, 2, 6, 23, 1, 2, 123000), "service": "ü"}),
     ('{"timestamp":"2026-02-06T23:01:02.1239+02:00","service":"u","name":"n"}',
@@ -37,6 +39,9 @@ REFUSED = [
     ("{bad", INVALID), ("   ", INVALID), ("[1]", INVALID), ("null", INVALID), ('"text"', INVALID),
     (OK + ',"data":[1]}', INVALID), (OK + ',"data":"{}"}', INVALID), (OK + ',"env":5}', INVALID),
     (OK + ',"env":{"a":1}}', INVALID), (OK + ',"service":false}', INVALID),
+    *[(OK + "}" + rest, INVALID) for rest in (" x", "{}", ",{}", ',"a"', "]", ',0]}', ',"x":{}', "}", OK + "}")],
+    ("{'timestamp':'2026-02-06T23:01:02Z','service':'u','name':'n'}", INVALID),
+    (OK + ',"data":{"x":NaN}}', INVALID),
     ('{"timestamp":1770418862,"service":"u","name":"n"}', INVALID),
     ('{"timestamp":"2026-02-06","service":"u","name":"n"}', INVALID),
     ('{"timestamp":"2026-02-06 23:01:02Z","service":"u","name":"n"}', INVALID),

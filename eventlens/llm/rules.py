@@ -28,16 +28,18 @@ FREQUENT = frozenset(
 #: document, beyond ``good`` on the other side for it, and between the two it abstains.
 RULES = (
     ("length", +1, 25.0, 60.0),
-    ("word_length_low", +1, 2.5, 3.2),
-    ("word_length_high", -1, 12.0, 8.0),
-    ("symbols", -1, 0.10, 0.02),
-    ("duplicate_lines", -1, 0.30, 0.05),
-    ("repeated_words", -1, 0.20, 0.02),
-    ("frequent_words", +1, 0.02, 0.08),
-    ("letters", +1, 0.60, 0.80),
-    ("capitals", -1, 0.30, 0.12),
-    ("distinct_words", +1, 0.20, 0.35),
+    ("word_length_low", +1, 3.0, 3.5),
+    ("word_length_high", -1, 10.0, 8.0),
+    ("symbols", -1, 0.10, 0.01),
+    ("duplicate_lines", -1, 0.50, 0.30),
+    ("repeated_words", -1, 0.30, 0.20),
+    ("frequent_words", +1, 0.05, 0.12),
+    ("letters", +1, 0.75, 0.85),
+    ("capitals", -1, 0.30, 0.15),
+    ("distinct_words", +1, 0.20, 0.50),
 )
+#: Chances to vote for, to abstain and to vote against, for documents of good and of bad quality.
+USUAL = {True: (0.80, 0.17, 0.03), False: (0.45, 0.20, 0.35)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -101,30 +103,33 @@ def ballots(codes: np.ndarray) -> np.ndarray:
     return np.array([0, 1, -1])[codes[:, None] // powers % 3]
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray:
+def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
     """The posterior probability of good quality of each vote number, by expectation-maximisation.
 
     The hidden quality decides each rule's chances to vote for, against or to abstain, independently of
-    other rules. It starts from the majority of the votes. Every chance has a prior of one document
-    that follows the starting belief, so that no rule turns round and none becomes certain."""
+    the other rules. Chances start from what such rules usually do, ``USUAL``: a vote against says
+    much more than one for. The same chances stay as a prior of one document for each rule, so that no
+    rule turns round or becomes certain by a handful of documents."""
     votes_of = ballots(codes)
     weight = counts.astype(np.float64)
-    posterior = 1 / (1 + np.exp(-(votes_of.sum(axis=1) - 0.5) * 1.5))
     kinds = np.stack([votes_of == v for v in (1, 0, -1)], axis=2).astype(np.float64)
-    prior = {True: np.array([0.7, 0.2, 0.1]), False: np.array([0.2, 0.2, 0.6])}
+    chances = [np.tile(np.array(USUAL[good]), (len(RULES), 1)) for good in (True, False)]
+    share = 0.8
+    posterior = np.full(len(codes), share)
     for _ in range(rounds):
-        logs = []
-        for good in (True, False):
-            mass = weight * (posterior if good else 1 - posterior)
-            chance = np.einsum("p,prk->rk", mass, kinds) + prior[good]
-            chance /= chance.sum(axis=1, keepdims=True)
-            share = (mass.sum() + 1) / (weight.sum() + 2)
-            logs.append(np.log(share) + np.einsum("prk,rk->p", kinds, np.log(chance)))
+        logs = [
+            np.log(part) + np.einsum("prk,rk->p", kinds, np.log(chance))
+            for part, chance in zip((share, 1 - share), chances)
+        ]
         after = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -700, 700)))
-        if np.abs(after - posterior).max() < 1e-9:
-            posterior = after
-            break
+        done = np.abs(after - posterior).max(initial=0) < 1e-9
         posterior = after
+        if done:
+            break
+        share = ((weight * posterior).sum() + 0.8) / (weight.sum() + 1)
+        for k, (good, belief) in enumerate(((True, posterior), (False, 1 - posterior))):
+            mass = np.einsum("p,prk->rk", weight * belief, kinds) + np.array(USUAL[good])
+            chances[k] = mass / mass.sum(axis=1, keepdims=True)
     return posterior
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import mixing, packing, rules, tokens
+from eventlens.llm import language, mixing, packing, rules, tokens
 from eventlens.llm.common import table
 
 
@@ -19,6 +19,10 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_suffix_sums(tokens.length_histogram(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_of(table(spark, sf_dir, "documents"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.weak_quality(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": token_counts,
+    "op3_language_id": languages,
     "op5_quality_rules": quality_rules,
     "op8_best_fit_packing": packed,
     "op9_mixing": mixed,

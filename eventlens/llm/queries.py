@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import language, mixing, packing, rules, tokens
+from eventlens.llm import language, mixing, packing, rules, subword, tokens
 from eventlens.llm.common import table
 
 
@@ -23,6 +23,10 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_of(table(spark, sf_dir, "documents"))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.weak_quality(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": token_counts,
     "op3_language_id": languages,
+    "op4_quality_classifier": quality_classifier,
     "op5_quality_rules": quality_rules,
     "op8_best_fit_packing": packed,
     "op9_mixing": mixed,

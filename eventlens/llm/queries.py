@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventlens.llm import language, mixing, packing, rules, subword, tokens
+from eventlens.llm import html, language, mixing, packing, rules, search, subword, tokens
 from eventlens.llm.common import table
 
 
@@ -31,6 +31,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.weak_quality(table(spark, sf_dir, "documents"))
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -39,11 +43,17 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_token_counts": token_counts,
     "op3_language_id": languages,
     "op4_quality_classifier": quality_classifier,
     "op5_quality_rules": quality_rules,
+    "op7_html_text": page_texts,
     "op8_best_fit_packing": packed,
     "op9_mixing": mixed,
+    "op10_top_k": neighbours,
 }

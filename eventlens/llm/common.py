@@ -44,7 +44,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df``, which should be settled, to be broadcast if it has ``most`` rows or fewer, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def bounded(rows: Iterable, size, most: int):

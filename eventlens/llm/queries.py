@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventlens.llm import html, language, mixing, packing, rules, search, subword, tokens
+from eventlens.llm import html, language, minhash, mixing, packing, rules, search, subword, tokens
 from eventlens.llm.common import table
 
 
@@ -31,6 +31,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.weak_quality(table(spark, sf_dir, "documents"))
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_language_id": languages,
     "op4_quality_classifier": quality_classifier,
     "op5_quality_rules": quality_rules,
+    "op6_near_duplicates": near_duplicates,
     "op7_html_text": page_texts,
     "op8_best_fit_packing": packed,
     "op9_mixing": mixed,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventlens.llm import html, language, minhash, mixing, packing, rules, search, subword, tokens
+from eventlens.llm import html, language, minhash, mixing, packing, parsing, rules, search, subword, tokens
 from eventlens.llm.common import table
 
 
@@ -19,6 +19,10 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_suffix_sums(tokens.length_histogram(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.without_repeats(table(spark, sf_dir, "documents"), "doc_id").drop("kept")
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_of(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": token_counts,
+    "op2_suffix_array_dedup": without_repeats,
     "op3_language_id": languages,
     "op4_quality_classifier": quality_classifier,
     "op5_quality_rules": quality_rules,

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: A word is a maximal run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_fields(df: DataFrame, names: Sequence[str], more: str) -> T.StructType:
+    """The schema of some columns of ``df``, whatever their names and types, and of ``more``, a DDL text."""
+    return T.StructType([df.schema[c] for c in names] + T.StructType.fromDDL(more).fields)
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df``, which should be settled, to be broadcast if it has ``most`` rows or fewer, else as it is."""
     return F.broadcast(df) if df.count() <= most else df

@@ -10,6 +10,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from eventlens.llm.common import with_fields
 from eventlens.llm.rules import FREQUENT
 
 TOKEN = re.compile(
@@ -216,7 +217,6 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page, from its whole ``html``. Null ids and
     urls stay null, repeated rows give equal rows, an empty table none; other columns are not looked at."""
     kept = ["page_id", "url"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,4 +226,6 @@ def extract(pages: DataFrame) -> DataFrame:
                  pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"],
             )
 
-    return pages.select(*kept, "html").mapInArrow(run, f"{schema}, text string, n_chars long")
+    return pages.select(*kept, "html").mapInArrow(
+        run, with_fields(pages, kept, "text string, n_chars long")
+    )

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from eventlens.llm.common import with_fields
+
 UNKNOWN = "und"
 #: n-gram vectors held at once; more of them are added up block by block.
 BLOCK = 8192
@@ -155,8 +157,7 @@ def identify(
     the document's vector, ties to the first name, and that cosine, 0 at least. Only ``text`` is
     looked at. Texts that are null, empty or without a letter are ``und`` with score 0, and so is
     every text if nothing was learned; repeated rows get equal answers."""
-    fields = docs.select(*keep).schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string, score double"])
+    schema = with_fields(docs, keep, "lang_pred string, score double")
     names = sorted(profiles)
     matrix = np.array([profiles[k] / max(np.linalg.norm(profiles[k]), 1e-300) for k in names], np.float32)
     dimensions = matrix.shape[1] if names else 0

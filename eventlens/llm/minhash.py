@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,16 +10,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from eventlens.llm.common import WORD, components, settle, small
+from eventlens.llm.common import WORD, components, settle, small, with_fields
 
 #: Words in a shingle.
 WIDTH = 5
 #: Signatures have ``CHUNKS`` chunks of ``CHUNK`` values of 16 bits.
 CHUNKS, CHUNK = 12, 5
 SIZE = CHUNKS * CHUNK
-#: Pairs of signatures that differ in up to so many values are confirmed on their sets. Two documents
-#: of similarity 0.85 differ in more with a chance of one in 10 million.
-DISTANCE = 25
 #: Groups of up to so many signatures are compared in one task.
 GROUP = 192
 
@@ -28,6 +26,17 @@ OFFSETS = _RANDOM.integers(0, 1 << 63, SIZE, dtype=np.uint64)
 PLACES = _RANDOM.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def distance(percent: int) -> int:
+    """Pairs whose signatures differ in up to so many values are confirmed on their sets: two documents of the
+    similarity asked for differ in more with a chance of less than 2 in 10 million."""
+    same, beyond = percent / 100, 1.0
+    for most in range(SIZE + 1):
+        beyond -= math.comb(SIZE, most) * (1 - same) ** most * same ** (SIZE - most)
+        if beyond < 2e-7:
+            return most
+    return SIZE
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -71,7 +80,6 @@ def signed(docs: DataFrame, *keep: str) -> DataFrame:
 
     names = ["doc_id", *keep]
     rows_of = docs.select(F.col("doc_id").cast("long"), *keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows_of.schema if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +102,7 @@ def signed(docs: DataFrame, *keep: str) -> DataFrame:
                 [*names, "digest", "n_shingles", "signature"],
             )
 
-    return rows_of.mapInArrow(run, f"{schema}, digest binary, n_shingles long, signature binary")
+    return rows_of.mapInArrow(run, with_fields(rows_of, names, "digest binary, n_shingles long, signature binary"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -134,13 +142,13 @@ def keyed(classes: DataFrame) -> DataFrame:
     return classes.select("uid", "signature").mapInArrow(run, "uid long, key long")
 
 
-def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose signatures are within ``DISTANCE``."""
+def close(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose signatures differ in ``most`` values or fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = _matrix(batch.column("sa")), _matrix(batch.column("sb"))
-            near = (left != right).sum(axis=1) <= DISTANCE
+            near = (left != right).sum(axis=1) <= most
             yield batch.filter(pa.array(near)).select(["a", "b"])
 
     sides = [classes.select(F.col("uid").alias(x), F.col("signature").alias(f"s{x}")) for x in ("a", "b")]
@@ -186,7 +194,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return pairs.join(fa, "a").join(fb, "b").mapInArrow(similar, "a long, b long")
 
 
-def _pairs_in_groups(rows: DataFrame) -> DataFrame:
+def _pairs_in_groups(rows: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b), a < b, of rows of the same ``part`` and different ``root`` whose signatures are near;
     of rows marked ``is_main`` none meet each other. Parts have some ``GROUP`` rows."""
 
@@ -196,7 +204,7 @@ def _pairs_in_groups(rows: DataFrame) -> DataFrame:
         main = np.array(table["is_main"].to_pylist(), bool)
         found = [np.empty((2, 0), np.int64)]
         for i in np.flatnonzero(~main):
-            near = (signatures != signatures[i]).sum(axis=1) <= DISTANCE
+            near = (signatures != signatures[i]).sum(axis=1) <= most
             near &= (roots != roots[i]) & (main | (uids > uids[i]))
             other = uids[near]
             found.append(np.stack([np.minimum(other, uids[i]), np.maximum(other, uids[i])]))
@@ -285,7 +293,7 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         .groupBy("uid").agg(F.min("center").alias("low"), F.max(F.struct("shared", "center")).alias("most"))
         .select(F.explode(F.array_distinct(F.array("low", "most.center"))).alias("a"), F.col("uid").alias("b"))
     )
-    tried = settle(close(star, signed_only))
+    tried = settle(close(star, signed_only, distance(percent)))
     links = settle(confirmed(tried, classes, docs, percent))
     roots = settle(components(links))
 
@@ -300,7 +308,7 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     direct = _dealt(with_signature, "key", sizes.where(f"not ({many})"))
     crowded = settle(_finer(with_signature.join(sizes.where(many).select("key"), "key", "left_semi")))
     again = _dealt(crowded, "key", _sizes(crowded, "key"))
-    apart = _pairs_in_groups(direct.unionAll(again)).join(tried, ["a", "b"], "left_anti")
+    apart = _pairs_in_groups(direct.unionAll(again), distance(percent)).join(tried, ["a", "b"], "left_anti")
     more = settle(confirmed(settle(apart), classes, docs, percent))
     return components(links.unionAll(more)) if more.limit(1).count() else roots
 

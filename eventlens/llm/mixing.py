@@ -72,7 +72,7 @@ def mix(
     gives no row. Columns other than doc_id, text and source are not looked at.
     """
     sized = settle(_sized(docs, seed))
-    return _mixed(sized, weights, most).select(
+    return _mixed(sized, sized, weights, most).select(
         "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
@@ -80,11 +80,11 @@ def mix(
 def mixed_rows(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "mix",
 ) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    kept = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
-    sized = settle(_sized(kept, seed, "_row"))
+    """The documents of the mix with all their columns, each as often as it is taken. Texts are counted once
+    for the statistics of the sources, which are settled without them, and once for the decision."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
     return (
-        _mixed(sized, weights, most).where("copies > 0")
+        _mixed(settle(_sized(rows, seed)), _sized(rows, seed, "_row"), weights, most).where("copies > 0")
         .select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
     )
 
@@ -97,36 +97,39 @@ def _sized(docs: DataFrame, seed: str, *more: str) -> DataFrame:
     )
 
 
-def _mixed(sized: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
+def _mixed(sized: DataFrame, rows: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
+    """Adds source_size, target and copies to ``rows``; ``sized`` are the same rows, settled."""
     sources = targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most
     ).withColumn("_e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    sources = settle(
+    sources = small(settle(
         sources.withColumn("_whole", F.floor("_e"))
         .withColumn("_part", F.col("_e") - F.col("_whole"))
         .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
         .withColumnRenamed("source", "_source")
-    )
-    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_part") / (1 - F.col("_part")))
-    ranked = (
-        sized.join(small(sources), F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_rank", F.when(F.col("_part") > 0, odds))
-        # odds to a number from 0 to 1 in the same order
-        .withColumn("_step", F.floor(F.col("_rank") / (1 + F.col("_rank")) * STEPS))
-    )
+    ))
+
+    def ranked(of: DataFrame) -> DataFrame:
+        odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_part") / (1 - F.col("_part")))
+        return (
+            of.join(sources, F.col("source").eqNullSafe(F.col("_source")))
+            .withColumn("_rank", F.when(F.col("_part") > 0, odds))
+            # odds to a number from 0 to 1 in the same order
+            .withColumn("_step", F.floor(F.col("_rank") / (1 + F.col("_rank")) * STEPS))
+        )
+
     up_to = Window.partitionBy("_source").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     steps = (
-        ranked.where("_step is not null").groupBy("_source", "_step")
-        .agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
+        ranked(sized).where("_step is not null").groupBy("_source", "_step")
+        .agg(F.sum("size").alias("_words"), F.max("_rest").alias("_rest"))
         .withColumn("_before", F.coalesce(F.sum("_words").over(up_to), F.lit(0)))
     )
-    last = settle(
+    last = small(settle(
         steps.where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") >= F.col("_rest")))
         .groupBy("_source").agg(F.min(F.struct("_step", "_before")).alias("_x"))
         .select(F.col("_source").alias("_s"), F.col("_x._step").alias("_last"), F.col("_x._before").alias("_done"))
-    )
-    ended = ranked.join(small(last), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    known = ended.withColumn("_more", F.when(F.col("_step") < F.col("_last"), 1).otherwise(0))
+    ))
+    ended = ranked(rows).join(last, F.col("_source").eqNullSafe(F.col("_s")), "left")
     running = (
         Window.partitionBy("_source").orderBy("_rank", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -136,5 +139,9 @@ def _mixed(sized: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
         .withColumn("_sum", F.col("_done") + F.coalesce(F.sum("size").over(running), F.lit(0)))
         .withColumn("_more", (F.col("_sum") + F.col("size") / 2 <= F.col("_rest")).cast("int")).drop("_sum")
     )
-    chosen = known.where("_step is null or _last is null or _step <> _last").unionByName(edge)
-    return chosen.withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + F.col("_more")).otherwise(0))
+    clear = ended.where("_step is null or _last is null or _step <> _last").withColumn(
+        "_more", F.when(F.col("_step") < F.col("_last"), 1).otherwise(0)
+    )
+    return clear.unionByName(edge).withColumn(
+        "copies", F.when(F.col("size") > 0, F.col("_whole") + F.col("_more")).otherwise(0)
+    )

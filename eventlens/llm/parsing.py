@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from eventlens.llm.common import bounded, settle
+from eventlens.llm.common import bounded, settle, with_fields
 
 #: Bytes that the rolling hash looks at.
 ROLL = 16
@@ -285,9 +285,9 @@ def covered(size: int, spans: list[dict] | None, length: int) -> np.ndarray:
     return np.flatnonzero(removed[1:] != removed[:-1])
 
 
-def without_repeats(docs: DataFrame, *keep: str, length: int = 200) -> DataFrame:
-    """``keep`` of every row, and of its whole text as UTF-8: n_bytes, n_removed, n_spans, kept_sha256 and kept (the
-    remaining bytes).
+def without_repeats(docs: DataFrame, *keep: str, length: int = 200, with_text: bool = False) -> DataFrame:
+    """``keep`` of every row, and of its whole text as UTF-8: n_bytes, n_removed, n_spans and kept_sha256 (of the
+    remaining bytes); ``with_text`` also gives kept, the remaining text without characters that were cut.
 
     Removed is every byte of a string of ``length`` bytes that also starts anywhere else, in another row or
     the same; strings are judged on the input, overlaps count, nothing crosses rows. Null texts are
@@ -301,9 +301,8 @@ def without_repeats(docs: DataFrame, *keep: str, length: int = 200) -> DataFrame
     over them bring their windows into order, equal ones side by side. A stem with very many contexts
     is dealt over several arrays, whose classes are then matched by content.
     """
-    fields = docs.select(*keep).schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [
-        "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept binary"])
+    more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    schema = with_fields(docs, keep, more)
     text = F.coalesce("text", F.lit(""))
     hashed = docs.select(
         F.struct(*keep).alias("row"), text.alias("text"), F.xxhash64(text).alias("k1"),
@@ -319,16 +318,31 @@ def without_repeats(docs: DataFrame, *keep: str, length: int = 200) -> DataFrame
                 edges = covered(len(data), found.as_py(), length)
                 lows, highs = edges[::2].tolist(), edges[1::2].tolist()
                 rest = b"".join(data[lo:hi] for lo, hi in zip([0, *highs], [*lows, len(data)])) if lows else data
-                rows.append((len(data), len(data) - len(rest), len(lows), hashlib.sha256(rest).hexdigest(), rest))
-            columns = list(zip(*rows)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                own = (len(data), len(data) - len(rest), len(lows), hashlib.sha256(rest).hexdigest())
+                rows.append((*own, rest.decode("utf-8", "ignore")) if with_text else own)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
+            columns = list(zip(*rows)) or [()] * len(types)
             own = batch.column("row")
             yield pa.RecordBatch.from_arrays(
                 [*[own.field(i) for i in range(len(keep))], *[pa.array(c, t) for c, t in zip(columns, types)]],
-                [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text],
             )
 
     return (
         hashed.join(spans, ["k1", "k2"], "left").select("row", F.col("text").cast("binary").alias("data"), "spans")
         .mapInArrow(remove, schema)
     )
+
+
+def stripped(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``docs`` with all columns and without the repeated strings in ``text``; ``n_chars``, if there is such a
+    column, follows the text. Null texts stay null, texts that are removed as a whole are empty."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others, F.col("text").isNull().alias("no text")).alias("others"), "text")
+    found = without_repeats(rows, "others", length=length, with_text=True)
+    text = F.when(~F.col("others")["no text"], F.col("kept"))
+    count = {"text": text, "n_chars": F.length(text)} if "n_chars" in others else {"text": text}
+    return found.select(*[
+        count[c].cast(docs.schema[c].dataType).alias(c) if c in count else F.col("others")[c].alias(c)
+        for c in docs.columns
+    ])

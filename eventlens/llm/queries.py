@@ -20,7 +20,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.without_repeats(table(spark, sf_dir, "documents"), "doc_id").drop("kept")
+    return parsing.without_repeats(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from eventlens.llm.common import settle, small
+from eventlens.llm.common import settle, with_fields
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -135,10 +135,7 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.nda
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, the base counts and ``votes`` of every row of ``docs`` (needs ``text``)."""
-    fields = docs.select(*keep).schema
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{c} long" for c in BASE] + ["votes int"]
-    )
+    schema = with_fields(docs, keep, ", ".join(f"{c} long" for c in BASE) + ", votes int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,22 +153,21 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
-def judged(counted: DataFrame, least: float = 0.5) -> DataFrame:
-    """Adds base_failed, quality (posterior probability) and kept to settled rows of ``measured``.
+def judged(rows: DataFrame, patterns: DataFrame, least: float = 0.5) -> DataFrame:
+    """Adds base_failed, quality (posterior probability) and kept to rows of ``measured``. ``patterns`` has the
+    number ``n`` of documents for each combination of ``votes``, of all documents.
 
-    All documents count in the estimate, as numbers of documents for each combination of votes: there
-    are at most 3 to the power of the number of rules (59,049) of these, so they go to the driver and
-    back whatever the size of the corpus."""
-    patterns = counted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
-    codes = np.array([r["votes"] for r in patterns], np.int64)
-    found = estimate(codes, np.array([r["n"] for r in patterns], np.int64)) if patterns else []
-    spark = counted.sparkSession
-    quality = spark.createDataFrame(
+    There are at most 3 to the power of the number of rules (59,049) of these, so they go to the driver
+    and back whatever the size of the corpus."""
+    counted = patterns.orderBy("votes").collect()
+    codes = np.array([r["votes"] for r in counted], np.int64)
+    found = estimate(codes, np.array([r["n"] for r in counted], np.int64)) if counted else []
+    quality = rows.sparkSession.createDataFrame(
         [(int(c), float(q)) for c, q in zip(codes, found)], "_votes int, quality double"
     )
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
-        counted.join(small(quality), F.col("votes") == F.col("_votes")).drop("_votes")
+        rows.join(F.broadcast(quality), F.col("votes") == F.col("_votes")).drop("_votes")
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
     )
@@ -183,11 +179,13 @@ def weak_quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     Null and empty texts have no word, so they fail the base; repeated rows are judged each, equally;
     an empty table gives no row; other columns are not looked at."""
     counted = settle(measured(docs.select("doc_id", "text"), "doc_id"))
-    return judged(counted, least).select("doc_id", *BASE, "base_failed", "kept", "quality", "votes")
+    patterns = counted.groupBy("votes").agg(F.count("*").alias("n"))
+    return judged(counted, patterns, least).select("doc_id", *BASE, "base_failed", "kept", "quality", "votes")
 
 
 def kept_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns in their order."""
+    """The rows of ``docs`` that are kept, with all their columns in their order. Texts are measured twice, for
+    the estimate and for the decision, rather than written out between the two."""
+    patterns = measured(docs.select("text")).groupBy("votes").agg(F.count("*").alias("n"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    counted = measured(rows, "row")
-    return judged(counted, least).where("kept").select("row.*")
+    return judged(measured(rows, "row"), patterns, least).where("kept").select("row.*")

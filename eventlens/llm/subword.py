@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from eventlens.llm.common import with_fields
+
 #: Hash of an n-gram or word of bytes: a polynomial in this odd number, modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -160,8 +162,7 @@ def scored(
 ) -> DataFrame:
     """``keep``, score (0 to 1, the softmax output of label 1) and predicted for every row, from ``text``
     alone. Null and empty texts have the score of the biases; repeated rows score equally."""
-    fields = docs.select(*keep).schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double, predicted int"])
+    schema = with_fields(docs, keep, "score double, predicted int")
     logits, bias = model[0].astype(np.float64), model[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

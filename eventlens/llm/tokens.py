@@ -2,52 +2,85 @@
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Texts of these characters alone are encoded word by word: they are in composed form, lower case does
-#: not depend on the neighbours, and white space means the same to Python and to the vocabulary.
-PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-ɏ]*")
+#: not depend on the neighbours, and Python and the vocabulary agree on what is a letter, a digit or white space.
+PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ]*")
 #: Words remembered by a worker; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+
+# ---------------------------------------------------------------------------
+# How the word vocabulary prepares text, and the same split for Python.
+# ---------------------------------------------------------------------------
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as it is, the
+    others as the characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
 
 
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to what the vocabulary's own
-    encoder gives without special tokens added. The vocabulary must drop white space and never let a
-    token cross it; each distinct word is encoded once and remembered. Texts with special tokens
-    or with characters beyond ``PLAIN`` go to the encoder whole."""
+    encoder gives without special tokens added.
+
+    If the vocabulary prepares text as above, no token crosses white space, so each distinct word is merged
+    once, by the vocabulary's own model, and remembered. Texts with special tokens or with characters
+    beyond ``PLAIN``, and all texts of other vocabularies, go to the encoder whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encoded(self, texts: Sequence[str]) -> list[bytes]:
-        import numpy as np
-
-        batch = self.encoder.encode_batch(list(texts), add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in batch]
+        settings = json.loads(self.encoder.to_str())
+        normalizer, splits = settings["normalizer"] or {}, settings["pre_tokenizer"] or {}
+        self.by_word = (
+            [x["type"] for x in normalizer.get("normalizers", [])] == NORMALIZERS
+            and [x["type"] for x in splits.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+            and splits["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+        )
+        self.model, self.letters = self.encoder.model, byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+            ids = [token.id for token in self.model.tokenize(letters)]
+            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self.encoded([text])[0]
-        known, words = self.known, text.lower().split()
+        if not self.by_word or "<|" in text or not PLAIN.fullmatch(text):
+            ids = self.encoder.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        words, split = self.words, text.lower().split()
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([words[w] for w in split])
         except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        known.update(zip(new, self.encoded(new)))
-        return b"".join([known[w] for w in words])
+            new = {w for w in split if w not in words}
+        if len(words) + len(new) > REMEMBERED:
+            words.clear()
+            self.pieces.clear()
+            new = set(split)
+        for word in new:
+            words[word] = b"".join([self._piece(x) for x in PIECE.findall(word)])
+        return b"".join([words[w] for w in split])
 
 
 _WORD_IDS: dict[str, WordIds] = {}

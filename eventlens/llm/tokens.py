@@ -10,6 +10,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from eventlens.llm.common import settle
+
 #: Texts of these characters alone are encoded word by word: they are in composed form, lower case does
 #: not depend on the neighbours, and Python and the vocabulary agree on what is a letter, a digit or white space.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ]*")
@@ -106,12 +108,13 @@ def n_tokens(text: Column, vocabulary: str) -> Column:
 
 def length_histogram(docs: DataFrame, vocabulary: str, by: Sequence[str] = ()) -> DataFrame:
     """Documents by exact encoded length: ``by``, n_tokens, docs. Null and empty texts count with
-    length 0, repeated rows count each time, null keys are a group; an empty table gives no row."""
+    length 0, repeated rows count each time, null keys are a group; an empty table gives no row. The
+    histogram, a row for each length that occurs, is settled, so that texts are encoded once."""
     lengths = docs.select(*by, n_tokens(F.col("text"), vocabulary).alias("n_tokens"))
-    return lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("docs"))
+    return settle(lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("docs")))
 
 
-def with_suffix_sums(histogram: DataFrame, by: Sequence[str] = (), block: int = 1024) -> DataFrame:
+def with_suffix_sums(histogram: DataFrame, by: Sequence[str] = (), block: int = 128) -> DataFrame:
     """For each length, taken as a context limit: docs_at_least and tokens_at_least (documents of this
     length or more, and their tokens), truncated_tokens (all tokens if every document is cut to the
     limit) and share_within (documents that fit, 0 to 1).

@@ -4,11 +4,13 @@ import re
 
 import pytest
 from golden import trace
+from pyspark.sql import functions as F
 
 from eventlens import (
     analytics, append_events, apply_filters, compare, gauge, matching_events, read_events, search_events, timeseries,
     topn,
 )
+from eventlens.functions.percentiles import exact_percentile
 from eventlens.plans.adapter import sample_events
 
 WEEK = dict(start="2024-01-08T00:00:00Z", end="2024-01-14T23:59:59Z")
@@ -88,7 +90,9 @@ def test_column_filters_reach_the_scan(table, spec, pushed):
 
 
 def test_top_rows_are_taken_without_a_full_sort(table):
-    for found in (topn(table, group_by="user_id"), analytics(table, group_by="user_id"), search_events(table, offset=20)):
+    last = search_events(table, limit=20).tail(1)[0]
+    for found in (topn(table, group_by="user_id"), analytics(table, group_by="user_id", limit=100),
+                  search_events(table, offset=20), search_events(table, after=last)):
         text = plan(found)
         assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
 
@@ -103,9 +107,23 @@ def test_aggregates_combine_before_the_shuffle(table):
         r"Exchange hashpartitioning\([^,]+, [^,]+(, [^,]+)?, \d+\)", text)
 
 
-def test_narrowing_is_dropped_where_no_group_is_rich(table):
-    text = plan(analytics(table, aggregation="p95", field="data.value", group_by="name"))
-    assert "percentile(" in text and "Window" not in text
+def test_a_page_behind_an_event_bounds_the_scan(table):
+    last = search_events(table, limit=20).tail(1)[0]
+    (scan,) = scans(plan(search_events(table, after=last)))
+    assert "LessThanOrEqual(timestamp," in scan
+    pages = [search_events(table, limit=20, offset=20), search_events(table, limit=20, after=last)]
+    assert pages[0].collect() == pages[1].collect()
+
+
+def test_percentiles_of_a_group_of_millions_spread_over_tasks(spark):
+    """No operator holds a group: pairs are counted by group and value, and joined with slots."""
+    rows = spark.range(2_000_000).select(
+        F.struct(F.lit("hot").alias("k")).alias("_k"), (F.col("id") * 1.000001 + 1).alias("_num"))
+    found = exact_percentile(rows, 0.95)
+    text = plan(found)
+    assert found.first()["value"] == pytest.approx(1_999_999 * 0.95 * 1.000001 + 1, rel=1e-12)
+    assert "percentile(" not in text and re.search(r"hashpartitioning\(\[hot\]#\d+, _num#", text)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_bloom_filters_skip_row_groups(spark, table):

@@ -45,7 +45,7 @@ def test_filled_and_unfilled_agree_where_there_are_events(events):
 
 def test_groups_add_up_to_the_gauge(events):
     whole = only(gauge(events, aggregation="sum", field="data.value"))
-    parts = analytics(events, aggregation="sum", field="data.value", group_by=["user_id", "name"], limit=10_000)
+    parts = analytics(events, aggregation="sum", field="data.value", group_by=["user_id", "name"])
     assert only(parts.agg(F.sum("value").alias("value"))) == pytest.approx(whole)
 
 
@@ -71,20 +71,25 @@ doubles = st.one_of(
 @given(
     st.lists(st.tuples(st.sampled_from("abc"), st.one_of(st.none(), doubles)), min_size=1, max_size=60),
     st.sampled_from([0.5, 0.9, 0.95, 0.99]))
-def test_narrowed_percentiles_are_exact(spark, drawn, fraction):
+def test_percentiles_are_exact(spark, drawn, fraction):
     rows = spark.createDataFrame(drawn, "k string, _num double").select(F.struct("k").alias("_k"), "_num")
-    for rich_group in (0, 5, 10**6):  # all narrowed, some, none
-        found = {r["k"]: r["value"] for r in exact_percentile(rows, fraction, rich_group).select("_k.k", "value").collect()}
-        assert found.keys() == {k for k, _ in drawn}
-        for key, value in found.items():
-            numbers = sorted(n for k, n in drawn if k == key and n is not None)
-            if not numbers:
-                assert value is None
-                continue
-            position = (len(numbers) - 1) * fraction
-            low, high = numbers[math.floor(position)], numbers[math.ceil(position)]
-            share = position - math.floor(position)
-            assert value == pytest.approx(low * (1 - share) + high * share, rel=1e-9)
+    found = {r["k"]: r["value"] for r in exact_percentile(rows, fraction).select("_k.k", "value").collect()}
+    assert found.keys() == {k for k, _ in drawn}
+    for key, value in found.items():
+        numbers = sorted(n for k, n in drawn if k == key and n is not None)
+        if not numbers:
+            assert value is None
+            continue
+        position = (len(numbers) - 1) * fraction
+        low, high = numbers[math.floor(position)], numbers[math.ceil(position)]
+        share = position - math.floor(position)
+        assert value == pytest.approx(low * (1 - share) + high * share, rel=1e-9)
+
+
+def test_percentiles_do_not_overflow(spark):
+    rows = spark.createDataFrame([(-1.7e308,), (1.7e308,)], "_num double").select(
+        F.struct(F.lit("one").alias("k")).alias("_k"), "_num")
+    assert exact_percentile(rows, 0.5).first()["value"] == 0.0
 
 
 @pytest.mark.parametrize("shape", ["normal", "lognormal", "ties", "hot"])
@@ -100,5 +105,5 @@ def test_percentiles_of_large_groups(spark, shape):
     rows = spark.createDataFrame([(float(v),) for v in values], "_num double").select(
         F.struct(F.lit("one").alias("k")).alias("_k"), "_num")
     for fraction in (0.5, 0.99):
-        found = exact_percentile(rows, fraction, rich_group=0).first()["value"]
+        found = exact_percentile(rows, fraction).first()["value"]
         assert found == pytest.approx(float(np.quantile(values, fraction)), rel=1e-12)

@@ -15,9 +15,9 @@ APPROX_ACCURACY = 10_000
 
 def check_aggregation(aggregation: str, field: str | None) -> None:
     if aggregation not in AGGREGATIONS:
-        raise ValueError(f"unsupported aggregation: {aggregation!r}")
+        raise ValueError(f"no aggregate {aggregation!r}: choose from {', '.join(AGGREGATIONS)}")
     if aggregation != "count" and not field:
-        raise ValueError(f"a field is required for {aggregation}")
+        raise ValueError(f"{aggregation} needs to know of which field")
 
 
 def _aggregate_column(aggregation: str, field: str | None, approx: bool) -> Column:

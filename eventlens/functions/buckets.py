@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventlens.schema import INTERVALS, SERIES_MAX_DAYS, SERIES_MAX_POINTS
+from eventlens.schema import INTERVALS
 
-STEP_LENGTH = {
-    "minute": timedelta(minutes=1),
-    "hour": timedelta(hours=1),
-    "day": timedelta(days=1),
-    "week": timedelta(days=7),
-    "month": timedelta(days=30),
-}
+#: Seconds of a bucket; a month counts as its shortest length.
+SECONDS = {"minute": 60, "hour": 3600, "day": 86_400, "week": 604_800, "month": 28 * 86_400}
 
 
 def check_interval(interval: str) -> None:
     if interval not in INTERVALS:
-        raise ValueError(f"unsupported interval: {interval!r}")
+        raise ValueError(f"no interval {interval!r}: choose from {', '.join(INTERVALS)}")
 
 
 def bucket_start(ts: Column, interval: str, ntz: bool) -> Column:
@@ -39,14 +34,9 @@ def bucket_step(interval: str) -> Column:
     return F.expr(f"INTERVAL 1 {interval.upper()}")
 
 
-def check_series_range(start: datetime | None, end: datetime | None, interval: str) -> None:
-    """Refuse a range whose grid would be too long; only known when both bounds are."""
+def check_grid(start: datetime, end: datetime, interval: str, most: int | None) -> None:
+    """Refuses to fill a grid of more than ``most`` buckets; None sets no bound."""
     check_interval(interval)
-    if start is None or end is None:
-        return
-    span = end - start
-    if span > timedelta(days=SERIES_MAX_DAYS):
-        raise ValueError(f"time range too large (max {SERIES_MAX_DAYS} days)")
-    points = span // STEP_LENGTH[interval]
-    if points > SERIES_MAX_POINTS:
-        raise ValueError(f"too many data points (estimated {points}, max {SERIES_MAX_POINTS})")
+    buckets = (end - start).total_seconds() // SECONDS[interval] + 1
+    if most is not None and buckets > most:
+        raise ValueError(f"filling would make some {buckets:.0f} buckets of each series; {most} are allowed")

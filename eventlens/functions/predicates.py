@@ -7,9 +7,11 @@ Parquet scan; a missing string counts as '' and is admitted by a separate
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Mapping
 from datetime import date, datetime, timezone
+from decimal import Decimal
 from functools import reduce
 from typing import Any, NamedTuple
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlens.functions.fields import data_key, number_of_key, text_of_key
+from eventlens.functions.settings import check_session
 from eventlens.schema import OPERATORS, TEXT_COLUMNS
 
 RFC3339 = re.compile(r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(\.\d+)?(Z|[+-]\d{2}:\d{2})")
@@ -66,11 +69,19 @@ def as_filters(spec) -> list[Filter]:
 
 
 def value_text(value) -> str:
-    """The text form a value is compared by (booleans as JSON writes them)."""
+    """The text form a value is compared by: booleans as JSON writes them, floats by their shortest
+    digits, whole ones without a fraction, and with an exponent below -4 or from 21 on."""
     if value is None:
         raise ValueError("a filter needs a value")
     if isinstance(value, bool):
         return "true" if value else "false"
+    if isinstance(value, float) and math.isfinite(value):
+        sign, digits, _ = Decimal(repr(value)).normalize().as_tuple()
+        exponent = Decimal(repr(value)).adjusted()
+        if value and not -4 <= exponent < 21:
+            text = "".join(map(str, digits))
+            return f"{'-' * sign}{text[0]}{'.' * (len(text) > 1)}{text[1:]}e{exponent:+03d}"
+        return f"{Decimal(repr(value)).normalize():f}"
     return str(value)
 
 
@@ -112,7 +123,7 @@ def _text_predicate(text: Column, operator: str, value) -> tuple[Column, bool]:
         return text > other, False
     if operator == "gte":
         return text >= other, v == ""
-    raise ValueError(f"unsupported operator: {operator!r}")
+    raise ValueError(f"no operator {operator!r}")
 
 
 def _number_predicate(number: Column, operator: str, value) -> Column:
@@ -130,14 +141,14 @@ def _number_predicate(number: Column, operator: str, value) -> Column:
 
 def predicate(spec: Filter) -> Column:
     if spec.operator not in OPERATORS:
-        raise ValueError(f"unsupported operator: {spec.operator!r}")
+        raise ValueError(f"no operator {spec.operator!r}: choose from {', '.join(OPERATORS)}")
     key = data_key(spec.field)
     if key is not None:
         if spec.operator in ("lt", "gt", "lte", "gte"):
             return _number_predicate(number_of_key(key), spec.operator, spec.value)
         return _text_predicate(text_of_key(key), spec.operator, spec.value)[0]
     if spec.field not in TEXT_COLUMNS:
-        raise ValueError(f"invalid filter field: {spec.field!r}")
+        raise ValueError(f"cannot filter by {spec.field!r}: it is neither a text column nor a data.<key>")
     column = F.col(spec.field)
     condition, empty_matches = _text_predicate(column, spec.operator, spec.value)
     return condition | column.isNull() if empty_matches else condition
@@ -197,6 +208,7 @@ def time_range(df: DataFrame, start=None, end=None) -> Column | None:
 
 def apply_filters(df: DataFrame, filters=None, start=None, end=None) -> DataFrame:
     """All filters and the time bounds, joined by AND."""
+    check_session(df.sparkSession)
     parts = [predicate(f) for f in as_filters(filters)]
     bounds = time_range(df, start, end)
     if bounds is not None:

@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from eventlens.functions.aggregates import aggregate, check_aggregation
 from eventlens.functions.fields import group_columns
 from eventlens.functions.predicates import apply_filters
-from eventlens.schema import ANALYTICS_LIMIT, ANALYTICS_LIMIT_MAX, TOPN_LIMIT, TOPN_LIMIT_MAX
+from eventlens.schema import TOPN_LIMIT
 
 
-def clamp_limit(limit: int | None, default: int, most: int) -> int:
-    return default if not limit or limit < 0 else min(limit, most)
+def check_limit(limit: int | None) -> None:
+    """A limit is a whole number above zero, or None for all rows; anything else is refused."""
+    if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 1):
+        raise ValueError(f"a limit is a whole number above zero, not {limit!r}")
+
+
+def limited(df: DataFrame, limit: int | None) -> DataFrame:
+    check_limit(limit)
+    return df if limit is None else df.limit(limit)
 
 
 def analytics(
@@ -20,11 +27,12 @@ def analytics(
     start=None, end=None, order_by: str = "value", descending: bool = False, limit: int | None = None,
     approx: bool = False, groups_as_map: bool = False,
 ) -> DataFrame:
-    """Filter, group by up to ten fields, aggregate, order and limit.
+    """Filter, group by any number of fields, aggregate, order and limit.
 
     Columns ``group_0...`` and ``value``. ``order_by`` names ``value`` or one of the
     group fields; anything else means ``value``. The default order is ascending, so
-    the limit keeps the smallest groups. Ties are broken by the group keys.
+    a limit keeps the smallest groups; without one all groups result. Ties are
+    broken by the group keys.
     ``groups_as_map`` returns the keys as one map {field: value} instead.
     """
     fields = [group_by] if isinstance(group_by, str) else list(group_by)
@@ -34,7 +42,7 @@ def analytics(
     first = f"group_{fields.index(order_by)}" if order_by in fields else "value"
     rest = [n for n in [*names, "value"] if n != first]
     order = [F.col(first).desc() if descending else F.col(first).asc(), *rest]
-    result = result.orderBy(*order).limit(clamp_limit(limit, ANALYTICS_LIMIT, ANALYTICS_LIMIT_MAX))
+    result = limited(result.orderBy(*order), limit)
     if groups_as_map and fields:
         pairs = [part for f, n in zip(fields, names) for part in (F.lit(f), F.col(n))]
         return result.select(F.create_map(*pairs).alias("groups"), "value")
@@ -43,18 +51,14 @@ def analytics(
 
 def topn(
     df: DataFrame, *, group_by: str, aggregation: str = "count", field: str | None = None, filters=None,
-    start=None, end=None, limit: int | None = None, approx: bool = False,
+    start=None, end=None, limit: int | None = TOPN_LIMIT, approx: bool = False,
 ) -> DataFrame:
-    """The groups of one field with the largest values: ``key``, ``value``."""
+    """The ``limit`` groups of one field with the largest values: ``key``, ``value``."""
     if not isinstance(group_by, str) or not group_by:
-        raise ValueError("top-N needs exactly one group field")
+        raise ValueError("name the one field whose top groups are wanted")
     (key,) = group_columns(group_by)
     result = aggregate(apply_filters(df, filters, start, end), [key], aggregation, field, approx)
-    return (
-        result.withColumnRenamed("group_0", "key")
-        .orderBy(F.desc("value"), F.asc("key"))
-        .limit(clamp_limit(limit, TOPN_LIMIT, TOPN_LIMIT_MAX))
-    )
+    return limited(result.withColumnRenamed("group_0", "key").orderBy(F.desc("value"), F.asc("key")), limit)
 
 
 def gauge(

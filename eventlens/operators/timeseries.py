@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.aggregates import aggregate, check_aggregation
-from eventlens.functions.buckets import bucket_start, bucket_step, check_series_range
+from eventlens.functions.buckets import bucket_start, bucket_step, check_grid
 from eventlens.functions.fields import group_columns
 from eventlens.functions.predicates import apply_filters, is_ntz, parse_time, time_literal
 
@@ -16,18 +16,23 @@ from eventlens.functions.predicates import apply_filters, is_ntz, parse_time, ti
 def timeseries(
     df: DataFrame, *, interval: str = "hour", aggregation: str = "count", field: str | None = None,
     group_by=(), filters=None, start=None, end=None, fill_zeros: bool = False, approx: bool = False,
-    nested: bool = False,
+    nested: bool = False, most_buckets: int | None = None,
 ) -> DataFrame:
     """``bucket``, ``group_0...``, ``name``, ``value``, ordered by bucket and group.
 
     ``name`` is the group values joined by '|', for display. ``fill_zeros`` gives each
-    series every bucket from ``start`` to ``end`` (only if both are set); if nothing
-    matches at all, one unnamed series of zeros results. ``nested`` returns one row
-    per series with ``data_points``, an array of (timestamp, value).
+    series every bucket from ``start`` to ``end`` (only if both are set), so grid times
+    series rows result, whatever the key; if nothing matches at all, one unnamed series
+    of zeros. ``most_buckets`` refuses to fill a longer grid. ``nested`` returns one row
+    per series with ``data_points``, an array of (timestamp, value), and needs both
+    bounds, which bound that array.
     """
     check_aggregation(aggregation, field)
     lower, upper = parse_time(start), parse_time(end)
-    check_series_range(lower, upper, interval)
+    if nested and (lower is None or upper is None):
+        raise ValueError("nested series need a start and an end; ask for long rows without them")
+    if fill_zeros and lower is not None and upper is not None:
+        check_grid(lower, upper, interval, most_buckets)
 
     keys = group_columns(group_by)
     names = [f"group_{i}" for i in range(len(keys))]
@@ -51,8 +56,8 @@ def timeseries(
 def _fill(points: DataFrame, names: list[str], lower, upper, interval: str, ntz: bool) -> DataFrame:
     """Zeros between the points of each series, over the grid from ``lower`` to ``upper``.
 
-    The range guard bounds the grid, and with it every series, to some ten thousand
-    buckets; so the window below sorts short runs however many events they stand for.
+    The window below sorts the points of a series, one for each bucket at most, however
+    many events they stand for.
     """
     if lower > upper:
         return points.filter(F.lit(False))
@@ -61,8 +66,7 @@ def _fill(points: DataFrame, names: list[str], lower, upper, interval: str, ntz:
     grid = points.sparkSession.range(1).select(F.explode(F.sequence(first, last, step)).alias("bucket"))
 
     if not names:
-        # At most one row per grid bucket: the guard proves this side small.
-        filled = grid.join(F.broadcast(points), "bucket", "left")
+        filled = grid.join(points, "bucket", "left")
         return filled.select("bucket", F.coalesce("value", F.lit(0.0)).alias("value"))
 
     series = Window.partitionBy(*names).orderBy("bucket")

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from eventlens.operators.analytics import analytics, gauge, topn
 from eventlens.operators.compare import compare
 from eventlens.operators.search import (
-    data_keys, data_values, label_values, matching_events, search_events, search_total,
+    data_keys, data_values, label_values, matching_events, search_events, search_page, search_total,
 )
 from eventlens.operators.timeseries import timeseries
 from eventlens.plans.adapter import sample_events
-from eventlens.plans.session import configure, scratch_dir
+from eventlens.functions.settings import configure
+from eventlens.plans.session import scratch_dir
 from eventlens.schema import LABEL_COLUMNS
 from eventlens.sources.ndjson import (
     accepted, event_line, ingest_counts, parse_lines, read_lines, to_lines,
 )
-from eventlens.sources.table import append_events, publish_days, read_events, register_view, retained
+from eventlens.sources.table import (
+    append_events, days_to_publish, drop_expired, publish_days, read_events, read_live, register_view, retained,
+)
 from eventlens.streaming.ingest import start_ingest, stream_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +78,9 @@ def spoiled_lines(events: DataFrame) -> DataFrame:
         .when((name == "view") & staging, F.replace(line, F.lit('"job_id":""'), F.lit('"job_id":"job_x"')))
         .when((name == "view") & (service == "svc_1"), F.replace(line, F.lit('"job_id":""'), F.lit('"job_id":7')))
         .when((name == "click") & staging, F.replace(line, F.lit("-4000-8000-"), F.lit("")))
+        # a line feed behind an id or a time, as an escape of the JSON
+        .when((name == "error") & staging, F.replace(line, F.lit('","user_id":'), F.lit('\\n","user_id":')))
+        .when((name == "error") & (service == "svc_1"), F.replace(line, F.lit('Z","service":'), F.lit('Z\\n","service":')))
         .otherwise(line).alias("value")
     )
 
@@ -103,20 +109,64 @@ def _gzip(events: DataFrame) -> DataFrame:
     return analytics(accepted(parse_lines(read_lines(spark, path))), group_by=["name", "level"])
 
 
-def _stream(events: DataFrame) -> tuple[str, str]:
+def _ingest(events: DataFrame, folder: str, stream: str) -> tuple[str, str]:
+    """Runs the events, some spoiled, through a stream with a source and a checkpoint of its own."""
     spark = events.sparkSession
-    folder = scratch_dir(spark)
-    spoiled_lines(events).write.text(f"{folder}/lines")
+    spoiled_lines(events).write.text(f"{folder}/{stream}/lines")
     landing, quarantine = f"{folder}/landing", f"{folder}/quarantine"
-    lines = stream_lines(spark, f"{folder}/lines", max_files=8)
-    start_ingest(lines, landing, quarantine, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    lines = stream_lines(spark, f"{folder}/{stream}/lines", max_files=8)
+    start_ingest(lines, landing, quarantine, f"{folder}/{stream}/checkpoint", available_now=True).awaitTermination()
     return landing, quarantine
 
 
+def _stream(events: DataFrame) -> tuple[str, str]:
+    return _ingest(events, scratch_dir(events.sparkSession), "only")
+
+
+def _by_day(found: DataFrame) -> DataFrame:
+    return found.groupBy("event_date", "service").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _two_streams(events: DataFrame) -> DataFrame:
+    """Two services ingest into one landing dataset; both number their batches from 0."""
+    folder = scratch_dir(events.sparkSession)
+    for env in ("production", "staging"):
+        landing, _ = _ingest(events.filter(F.col("env") == env), folder, env)
+    return _by_day(read_events(events.sparkSession, landing))
+
+
+def _new_checkpoint(events: DataFrame) -> DataFrame:
+    """Half of the events, published; then the other half by a stream whose checkpoint is new."""
+    spark = events.sparkSession
+    folder, early = scratch_dir(spark), F.crc32("trace_id") % 2 == 0
+    landing, _ = _ingest(events.filter(early), folder, "first")
+    table = f"{folder}/table"
+    _publish_open_days(spark, landing, table)
+    _ingest(events.filter(~early), folder, "second")
+    _publish_open_days(spark, landing, table)
+    return _by_day(read_events(spark, table))
+
+
+def _publish_open_days(spark: SparkSession, landing: str, table: str) -> None:
+    days = days_to_publish(spark, landing, table)
+    if days:
+        publish_days(spark, landing, table, days[0], days[-1])
+
+
+def _live_with_late_rows(events: DataFrame) -> DataFrame:
+    """Events that land after their days were published are seen without publishing again."""
+    spark = events.sparkSession
+    folder, late = scratch_dir(spark), F.col("env") == "staging"
+    landing, _ = _ingest(events.filter(~late), folder, "first")
+    table = f"{folder}/table"
+    _publish_open_days(spark, landing, table)
+    _ingest(events.filter(late), folder, "late")
+    return _by_day(read_live(spark, landing, table))
+
+
 def _stream_ingest(events: DataFrame) -> DataFrame:
     landing, _ = _stream(events)
-    found = read_events(events.sparkSession, landing)
-    return found.groupBy("event_date", "service").agg(F.count(F.lit(1)).alias("events"))
+    return _by_day(read_events(events.sparkSession, landing))
 
 
 def _stream_quarantine(events: DataFrame) -> DataFrame:
@@ -136,7 +186,7 @@ def _table_roundtrip(events: DataFrame) -> DataFrame:
     return found.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-def _schema_evolution(events: DataFrame) -> DataFrame:
+def _evolved(events: DataFrame) -> DataFrame:
     spark = events.sparkSession
     path = scratch_dir(spark) + "/events"
     ids = F.col("env") == "production"
@@ -147,14 +197,45 @@ def _schema_evolution(events: DataFrame) -> DataFrame:
     old.withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.mode("append").partitionBy(
         "event_date"
     ).parquet(path)
-    return analytics(read_events(spark, path), group_by=["env", "user_id"], order_by="env", limit=10_000)
+    return read_events(spark, path)
+
+
+def _schema_evolution(events: DataFrame) -> DataFrame:
+    return analytics(_evolved(events), group_by=["env", "user_id"], order_by="env")
+
+
+def _view_absent_column(events: DataFrame) -> DataFrame:
+    register_view(_evolved(events), "evolved_events")
+    return events.sparkSession.sql(
+        "SELECT env, count(*) AS events FROM evolved_events WHERE user_id = '' GROUP BY env")
+
+
+def _drop_expired(events: DataFrame) -> DataFrame:
+    spark = events.sparkSession
+    path = scratch_dir(spark) + "/events"
+    append_events(events, path)
+    drop_expired(spark, path, AS_OF)
+    return read_events(spark, path).groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _insert_stamp(events: DataFrame) -> DataFrame:
+    parsed = accepted(parse_lines(to_lines(events)))
+    stamped = (F.col("_inserted_at") > F.col("timestamp")) & (
+        F.col("_inserted_at") == F.date_trunc("MILLISECOND", "_inserted_at"))
+    return parsed.agg(F.count(F.lit(1)).alias("events"), F.count(F.when(stamped, 1)).alias("stamped"))
+
+
+def _page_positions(events: DataFrame) -> DataFrame:
+    page = search_page(events, filters={"env": "production"}, limit=25, offset=40)
+    return events.sparkSession.createDataFrame(
+        [(page.total, page.next_offset, page.prev_offset)], "total long, next_offset long, prev_offset long")
 
 
 def _publish(events: DataFrame) -> DataFrame:
     spark = events.sparkSession
     landing, _ = _stream(events)
     table = landing.replace("/landing", "/table")
-    publish_days(spark, landing, table, date(2024, 1, 1), date(2024, 1, 31))
+    _publish_open_days(spark, landing, table)
     found = read_events(spark, table)
     return found.groupBy("event_date").agg(
         F.count(F.lit(1)).alias("events"),
@@ -182,6 +263,13 @@ def _decoded_page(events: DataFrame) -> DataFrame:
     )
 
 
+def _search_after(events: DataFrame) -> DataFrame:
+    """The page behind the first 40 rows, found by the last of them; the same as by an offset of 40."""
+    wanted = dict(filters={"env": "production"})
+    before = search_events(events, limit=40, **wanted).tail(1)
+    return search_events(events, limit=25, after=before[0] if before else None, **wanted)
+
+
 def _nested(events: DataFrame) -> DataFrame:
     series = timeseries(events, interval="day", group_by="name", fill_zeros=True, nested=True, **WEEK)
     return series.select(
@@ -221,7 +309,8 @@ def _build() -> dict[str, Query]:
         analytics, aggregation="sum", field="data.code", group_by="service")
     q["analytics_quoted_number_p95"] = _run(
         analytics, aggregation="p95", field="data.code", group_by="service")
-    q["analytics_default_order_limit"] = _run(analytics, group_by="user_id")
+    q["analytics_default_order_limit"] = _run(analytics, group_by="user_id", limit=100)
+    q["analytics_all_groups"] = _run(analytics, group_by=["user_id", "name", "env"])
     q["analytics_order_by_group_desc"] = _run(
         analytics, group_by=["name", "env"], order_by="env", descending=True, limit=7)
     q["analytics_groups_map"] = _on_events(_groups_map)
@@ -230,6 +319,7 @@ def _build() -> dict[str, Query]:
         q[f"filter_{name}_column"] = _run(matching_events, filters=spec)
     for name, spec in DATA_FILTERS.items():
         q[f"filter_{name}_data"] = _run(matching_events, filters=spec)
+    q["filter_eq_data_float"] = _run(matching_events, filters={"data.k": 42.0})
     q["filter_conjunction_time_range"] = _run(
         matching_events, filters=[("service", "eq", "svc_1"), ("data.value", "gte", 50), ("level", "neq", "debug")],
         **WEEK)
@@ -272,6 +362,8 @@ def _build() -> dict[str, Query]:
         compare, aggregation="sum", field="data.value", start="2024-01-01T00:00:00Z", end="2024-01-15T00:00:00Z")
 
     q["search_page"] = _run(search_events, filters={"env": "production"}, limit=25, offset=40)
+    q["search_large_page"] = _run(search_events, filters={"env": "production"}, limit=5000)
+    q["search_after"] = _on_events(_search_after)
     q["search_page_decoded"] = _on_events(_decoded_page)
     q["search_total"] = _run(search_total, filters={"level__neq": "info"}, **WEEK)
     for label in LABEL_COLUMNS:
@@ -287,14 +379,21 @@ def _build() -> dict[str, Query]:
     q["table_roundtrip"] = _on_events(_table_roundtrip)
     q["table_schema_evolution"] = _on_events(_schema_evolution)
     q["table_publish_days"] = _on_events(_publish)
+    q["stream_two_sources"] = _on_events(_two_streams)
+    q["stream_new_checkpoint"] = _on_events(_new_checkpoint)
+    q["live_with_late_rows"] = _on_events(_live_with_late_rows)
+    q["ingest_insert_stamp"] = _on_events(_insert_stamp)
     q["retention_cutoff"] = _run(_retained_by_day)
+    q["retention_drop"] = _on_events(_drop_expired)
+    q["sql_view_absent_column"] = _on_events(_view_absent_column)
+    q["search_page_positions"] = _on_events(_page_positions)
     q["sql_view_trace_lookup"] = _on_events(_sql_view)
     return q
 
 
 def _retained_by_day(events: DataFrame) -> DataFrame:
-    kept = retained(events, AS_OF)
-    return kept.groupBy(F.to_date("timestamp").alias("event_date")).agg(F.count(F.lit(1)).alias("events"))
+    kept = retained(_table(events), AS_OF)
+    return kept.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
 
 
 QUERIES = _build()

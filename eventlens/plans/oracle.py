@@ -31,13 +31,13 @@ def on_events(sql: str) -> str:
     return f"WITH e AS (\n{DUCKDB}\n)\n{sql}"
 
 
-def analytics(keys: list[str], aggregate: str, order: str = "value", desc: bool = False, limit: int = 100,
-              where: str = "true") -> str:
+def analytics(keys: list[str], aggregate: str, order: str = "value", desc: bool = False,
+              limit: int | None = None, where: str = "true") -> str:
     names = [f"group_{i}" for i in range(len(keys))]
     rest = ", ".join(n for n in [*names, "value"] if n != order)
     groups = ", ".join(f"{k} AS {n}" for k, n in zip(keys, names))
     return (f"SELECT {groups}, {value(aggregate)} FROM e WHERE {where} GROUP BY {', '.join(names)}"
-            f" ORDER BY {order} {'DESC' if desc else 'ASC'}, {rest} LIMIT {limit}")
+            f" ORDER BY {order} {'DESC' if desc else 'ASC'}, {rest}" + (f" LIMIT {limit}" if limit else ""))
 
 
 def events_where(where: str) -> str:
@@ -109,6 +109,8 @@ FAULT = """CASE
   WHEN name = 'view' AND env = 'staging' THEN 'job_id must be a valid UUID'
   WHEN name = 'view' AND service = 'svc_1' THEN 'invalid JSON'
   WHEN name = 'click' AND env = 'staging' THEN 'trace_id must be a valid UUID'
+  WHEN name = 'error' AND env = 'staging' THEN 'trace_id must be a valid UUID'
+  WHEN name = 'error' AND service = 'svc_1' THEN 'invalid JSON'
   ELSE '' END"""
 MS = "date_trunc('milliseconds', timestamp)"
 TIE_BREAK = "timestamp DESC, service, trace_id, request_id, name, data, env, job_id, user_id, level"
@@ -127,15 +129,17 @@ def _build() -> dict[str, str]:
     o["analytics_data_key_groups"] = analytics([txt("endpoint")], "count(*)", desc=True)
     o["analytics_quoted_number_sum"] = analytics(["service"], f"sum({num('code')})")
     o["analytics_quoted_number_p95"] = analytics(["service"], q(0.95, "code"))
-    o["analytics_default_order_limit"] = analytics(["user_id"], "count(*)")
+    o["analytics_default_order_limit"] = analytics(["user_id"], "count(*)", limit=100)
+    o["analytics_all_groups"] = analytics(["user_id", "name", "env"], "count(*)")
     o["analytics_order_by_group_desc"] = analytics(["name", "env"], "count(*)", order="group_1", desc=True, limit=7)
     o["analytics_groups_map"] = (
-        f"SELECT service, {txt('code')} AS code, {value('count(*)')} FROM e GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 100")
+        f"SELECT service, {txt('code')} AS code, {value('count(*)')} FROM e GROUP BY 1, 2 ORDER BY 1, 2")
 
     for name, where in COLUMN_FILTERS.items():
         o[f"filter_{name}_column"] = events_where(where)
     for name, where in DATA_FILTERS.items():
         o[f"filter_{name}_data"] = events_where(where)
+    o["filter_eq_data_float"] = events_where(f"{txt('k')} = '42'")
     o["filter_conjunction_time_range"] = events_where(
         f"service = 'svc_1' AND {num('value')} >= 50 AND level <> 'debug' AND {WEEK}")
     o["filter_spec"] = events_where(
@@ -146,7 +150,7 @@ def _build() -> dict[str, str]:
         o[f"timeseries_{name}"] = series(name, [], "count(*)")
     o["timeseries_grouped"] = series("day", ["service", txt("code")], f"avg({num('value')})")
     o["timeseries_p95_grouped"] = series("day", ["event_name"], q(0.95))
-    o["timeseries_nested"] = f"""SELECT name, name AS group_0, 7 AS points, string_agg(
+    o["timeseries_nested"] = f"""SELECT name, name AS group_0, count(*) AS points, string_agg(
   strftime(bucket, '%Y-%m-%d') || '=' || CAST(CAST(value AS BIGINT) AS VARCHAR), ' ' ORDER BY bucket) AS data_points
 FROM (SELECT s.name, g.bucket, count(e.timestamp) AS value
   FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-14', INTERVAL 1 DAY)) AS bucket) g
@@ -174,6 +178,8 @@ FROM (SELECT s.name, g.bucket, count(e.timestamp) AS value
         between("2023-12-18 00:00:00", "2024-01-01 00:00:00"))
 
     o["search_page"] = events_where("env = 'production'") + f" ORDER BY {TIE_BREAK} LIMIT 25 OFFSET 40"
+    o["search_large_page"] = events_where("env = 'production'") + f" ORDER BY {TIE_BREAK} LIMIT 5000"
+    o["search_after"] = o["search_page"]
     o["search_page_decoded"] = (
         f"SELECT timestamp, trace_id, CAST({num('k')} AS BIGINT) AS k, round({num('value')}, 6) AS number,"
         " json_extract_string(data, '$.endpoint') AS endpoint"
@@ -182,13 +188,12 @@ FROM (SELECT s.name, g.bucket, count(e.timestamp) AS value
     for label in LABEL_COLUMNS:
         rest = "true" if label == "level" else "level <> 'debug'"
         o[f"label_values_{label}"] = (
-            f"SELECT value FROM (SELECT DISTINCT {label} AS value FROM e WHERE {rest} ORDER BY value LIMIT 1000)"
-            " WHERE value <> ''")
+            f"SELECT DISTINCT {label} AS value FROM e WHERE {rest} AND {label} <> '' ORDER BY value")
     o["data_keys"] = (
-        "SELECT DISTINCT unnest(json_keys(data)) AS key FROM e WHERE service = 'svc_1' ORDER BY key LIMIT 1000")
+        "SELECT DISTINCT unnest(json_keys(data)) AS key FROM e WHERE service = 'svc_1' ORDER BY key")
     o["data_values_endpoint"] = (
         f"SELECT DISTINCT {txt('endpoint')} AS value FROM e WHERE level = 'info' AND {txt('endpoint')} <> ''"
-        " ORDER BY value LIMIT 1000")
+        " ORDER BY value")
 
     o["ingest_roundtrip"] = f"""SELECT {MS} AS timestamp, service, env, job_id, request_id, trace_id, user_id, name,
 level, CAST(timestamp AS DATE) AS event_date,
@@ -206,13 +211,22 @@ CAST({num('k')} AS BIGINT) AS k, round({num('value')}, 6) AS number, {txt('code'
         " WHERE reject_reason <> '' GROUP BY 1")
     o["table_roundtrip"] = series("day", ["service"], "count(*)", WEEK)
     o["table_schema_evolution"] = analytics(
-        ["env", "CASE WHEN env = 'production' THEN user_id ELSE '' END"], "count(*)", order="group_0", limit=10_000)
+        ["env", "CASE WHEN env = 'production' THEN user_id ELSE '' END"], "count(*)", order="group_0")
     o["table_publish_days"] = (
         f"SELECT CAST(timestamp AS DATE) AS event_date, count(*) AS events, min({MS}) AS first, max({MS}) AS last,"
         f" count(DISTINCT trace_id) AS traces FROM e WHERE {FAULT} = '' GROUP BY 1")
     o["retention_cutoff"] = (
         "SELECT CAST(timestamp AS DATE) AS event_date, count(*) AS events FROM e"
         " WHERE CAST(timestamp AS DATE) + 30 > DATE '2024-02-10' GROUP BY 1")
+    o["retention_drop"] = o["retention_cutoff"]
+    for same in ("stream_two_sources", "stream_new_checkpoint", "live_with_late_rows"):
+        o[same] = o["stream_ingest_count"]
+    o["ingest_insert_stamp"] = "SELECT count(*) AS events, count(*) AS stamped FROM e"
+    o["sql_view_absent_column"] = (
+        "SELECT env, count(*) AS events FROM e WHERE env <> 'production' OR user_id = '' GROUP BY env")
+    o["search_page_positions"] = (
+        "SELECT total, CASE WHEN 65 < total THEN 65 END AS next_offset, 15 AS prev_offset"
+        " FROM (SELECT count(*) AS total FROM e WHERE env = 'production')")
     o["sql_view_trace_lookup"] = events_where(
         "trace_id = '00000000-0000-4000-8000-000000000007' AND timestamp >= TIMESTAMP '2024-01-01 00:00:00'")
 

@@ -1,4 +1,4 @@
-"""Session settings the operators rely on, and where scratch data may go."""
+"""Recommended settings, and where scratch data may go."""
 
 from __future__ import annotations
 
@@ -7,13 +7,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-#: Needed for right results: buckets and days are UTC, and the last of two equal
-#: JSON keys wins instead of making the whole object NULL.
-REQUIRED = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.variant.allowDuplicateKeys": "true",
-}
-
 #: Recommended on a cluster, beside the defaults (AQE with skew handling and
 #: partition coalescing, Parquet pushdown, reuse of shuffles).
 CLUSTER = {
@@ -21,21 +14,27 @@ CLUSTER = {
     "spark.sql.shuffle.partitions": "4000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.files.maxPartitionBytes": "256m",
-    # Beyond this many rows a top-k is a distributed sort, not a heap in each task.
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    for key, value in REQUIRED.items():
-        spark.conf.set(key, value)
-    return spark
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """A new directory in the shared folder of ``spark.checkpoint.dir``; only where that
-    is unset, as in tests, a temporary folder of this machine."""
+    """A new directory in the shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary
+    folder of this machine if all of Spark runs in one process on it, as in tests; else an error.
+    Spark deletes the directory when the application ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/eventlens-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = f"{shared.rstrip('/')}/eventlens-{uuid.uuid4().hex}"
+    else:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master!r} share")
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    _delete_at_the_end(spark, folder)
+    return folder
+
+
+def _delete_at_the_end(spark: SparkSession, folder: str) -> None:
+    context = getattr(spark, "_jvm", None)
+    if context is not None:
+        path = context.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)

@@ -25,15 +25,10 @@ INTERVALS = ["minute", "hour", "day", "week", "month"]
 OPERATORS = ["eq", "neq", "lt", "gt", "lte", "gte", "contains", "startswith", "endswith", "in"]
 
 IDENTIFIER_PATTERN = r"[a-zA-Z_][a-zA-Z0-9_]*"
-UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+UUID_PATTERN = r"\A[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
 
-MAX_GROUP_KEYS = 10
-ANALYTICS_LIMIT, ANALYTICS_LIMIT_MAX = 100, 10_000
-TOPN_LIMIT, TOPN_LIMIT_MAX = 10, 1_000
-PAGE_LIMIT, PAGE_LIMIT_MAX = 100, 1_000
-DISCOVERY_LIMIT = 1_000
-SERIES_MAX_DAYS = 90
-SERIES_MAX_POINTS = 10_000
+TOPN_LIMIT = 10
+PAGE_LIMIT = 100
 LINE_MAX_BYTES = 1024 * 1024
 RETENTION_DAYS = 30
 FLUSH_INTERVAL = "5 seconds"

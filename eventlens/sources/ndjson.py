@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventlens.functions.settings import check_session
 from eventlens.schema import EVENT_COLUMNS, LINE_MAX_BYTES, REQUIRED_TEXT, TEXT_COLUMNS, UUID_COLUMNS, UUID_PATTERN
 
 # The texts a refused line is filed under, and the time format.
@@ -16,17 +17,24 @@ INVALID_JSON = "invalid JSON"
 LINE_TOO_LONG = "line too long"
 REQUIRED = "{} is required"
 NOT_A_UUID = "{} must be a valid UUID"
-RFC3339_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+RFC3339_PATTERN = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"
 ZERO_TIME = "0001-01-01 00:00:00Z"
 
+LINE_FEED = "\n"
 END_MARK = "<end of the line>"
 _LINE_SCHEMA = T.ArrayType(T.StructType([T.StructField(c, T.VariantType()) for c in [*EVENT_COLUMNS, END_MARK]]))
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
-    """One line per row as ``value``; ``.gz`` files are unpacked by their extension."""
-    return spark.read.text(path)
+    """One line per row as ``value``; ``.gz`` files are unpacked by their extension. Lines end with a line
+    feed, or a carriage return and one; a carriage return elsewhere is white space of the JSON."""
+    return without_return(spark.read.text(path, lineSep=LINE_FEED))
+
+
+def without_return(lines: DataFrame) -> DataFrame:
+    """Lines that were split at line feeds, without one carriage return at their end."""
+    return lines.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
 
 
 def _is_text(member: Column) -> Column:
@@ -34,14 +42,16 @@ def _is_text(member: Column) -> Column:
     return F.coalesce(F.schema_of_variant(member), F.lit("VOID")).isin("STRING", "VOID")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, max_bytes: int = LINE_MAX_BYTES) -> DataFrame:
     """``value`` -> the event columns, ``event_date``, ``_inserted_at``, ``line`` and
     ``reject_reason`` (NULL = accepted).
 
     Empty lines are skipped. A wrong JSON type is an invalid line (no casting of 5 to
     '5'); unknown members are ignored; null counts as missing. Member names are exact
-    and lower case. The first failing rule gives the reason.
+    and lower case. Lines of ``max_bytes`` or more are refused, and kept like all refused
+    ones. The first failing rule gives the reason.
     """
+    check_session(lines.sparkSession)
     # The JSON reader stops at the end of the first value. Read as a list with a mark
     # behind the line, a line with anything else on it gives another list, or none.
     marked = F.concat(F.lit("["), "value", F.lit(f',{{"{END_MARK}":""}}]'))
@@ -71,7 +81,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     bad_time = F.col("_raw_time").isNotNull() & F.col("timestamp").isNull()
     no_time = F.col("timestamp").isNull() | (F.col("timestamp") == F.lit(ZERO_TIME).cast("timestamp"))
     reason = (
-        F.when(F.octet_length("line") >= LINE_MAX_BYTES, LINE_TOO_LONG)
+        F.when(F.octet_length("line") >= max_bytes, LINE_TOO_LONG)
         .when(~F.col("_well_typed") | bad_time | ~F.col("data").startswith("{"), INVALID_JSON)
         .when(no_time, REQUIRED.format("timestamp"))
     )

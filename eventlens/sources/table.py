@@ -1,26 +1,42 @@
 """The events table: Parquet in daily ``event_date`` partitions.
 
 Two datasets share the layout. The *landing* dataset takes ingest batches as they
-come (``event_date``/``batch_id`` directories, no shuffle on the way in). The
-*table* holds whole days rewritten from it: range-partitioned and sorted by
-(timestamp, service, trace_id, request_id), with bloom filters on the id columns.
-Publishing a day replaces its partition, so it can be repeated after any failure,
-and a batch that lands late is picked up by publishing its day again.
+come, in ``event_date``/``stream``/``batch_id`` directories: a batch is named by its
+stream and its number in it, so streams cannot touch each other's batches. A batch
+counts as landed once it is listed in ``_batches`` beside the days, which is written
+last. The *table* holds whole days rewritten from landed batches: range-partitioned
+and sorted by (timestamp, service, trace_id, request_id), with bloom filters on the
+id columns. Its rows keep the name of their batch, so the table itself tells which
+batches a published day holds: nothing else has to agree with it.
+
+Publishing a day replaces its partition, so it can be repeated after any failure.
 """
 
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.functions.predicates import date_literal
+from eventlens.functions.settings import check_session
 from eventlens.schema import BLOOM_COLUMNS, EVENT_COLUMNS, EVENT_SCHEMA, RETENTION_DAYS, SORT_COLUMNS
 
 STORED_COLUMNS = [*EVENT_COLUMNS, "_inserted_at", "event_date"]
+#: The stream and the number of the batch that brought a row.
+BATCH_COLUMNS = ["stream", "batch_id"]
+BATCHES = "_batches"
 BLOOM_FALSE_POSITIVE = 0.01  # fixed value
 
+_BATCH_FIELDS = [T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())]
+BATCH_SCHEMA = T.StructType(EVENT_SCHEMA.fields + _BATCH_FIELDS)
+BATCHES_SCHEMA = T.StructType(
+    [T.StructField("event_date", T.DateType()), T.StructField("events", T.LongType())] + _BATCH_FIELDS
+)
+
 
 def bloom_options() -> dict[str, str]:
     options = {}
@@ -34,6 +50,7 @@ def bloom_options() -> dict[str, str]:
 def stored(events: DataFrame) -> DataFrame:
     """Events with every stored column: missing ones get their default, times are cut
     to milliseconds and ``event_date`` is derived from the timestamp."""
+    check_session(events.sparkSession)
     for c in EVENT_COLUMNS[1:]:
         default = F.lit("{}" if c == "data" else "")
         events = events.withColumn(c, F.coalesce(F.col(c), default) if c in events.columns else default)
@@ -58,35 +75,96 @@ def append_events(events: DataFrame, path: str) -> None:
     )
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The table (or the landing dataset). Files older than a column give NULL in it."""
-    return spark.read.schema(EVENT_SCHEMA).parquet(path)
+def _read_days(
+    spark: SparkSession, path: str, schema: T.StructType, first: date | None, last: date | None
+) -> DataFrame:
+    reader = spark.read.schema(schema)
+    if first is None or last is None:
+        return reader.parquet(path)
+    days = ",".join((first + timedelta(days=i)).isoformat() for i in range((last - first).days + 1))
+    try:
+        return reader.option("basePath", path).parquet(f"{path}/event_date={{{days}}}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_events(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """The table (or the landing dataset). Files older than a column give NULL in it.
 
+    With ``first`` and ``last`` only the folders of these days are listed, however many days and
+    batches the dataset holds; a day without a folder has no events."""
+    return _read_days(spark, path, EVENT_SCHEMA, first, last).select(*STORED_COLUMNS)
 
-def register_view(events: DataFrame, name: str = "events", absent_as_empty: tuple[str, ...] = ()) -> None:
+
+def register_view(events: DataFrame, name: str = "events", absent_as_empty: tuple[str, ...] | None = None) -> None:
     """Make the events available to ``spark.sql`` under a name.
 
-    A column that a file is older than is NULL there. Those named in ``absent_as_empty``
-    read '' instead, but then filters on them no longer reach the Parquet scan.
+    A column that a file is older than is NULL there, and reads '' ('{}' for ``data``) in the view. Filters
+    on such a column do not reach the Parquet scan; where it is known which columns some files lack,
+    name only those in ``absent_as_empty``, none by ``()``.
     """
-    for c in absent_as_empty:
-        events = events.withColumn(c, F.coalesce(F.col(c), F.lit("")))
-    events.createOrReplaceTempView(name)
+    check_session(events.sparkSession)
+    names = [c for c in EVENT_COLUMNS[1:] if c in events.columns] if absent_as_empty is None else absent_as_empty
+    filled = {c: F.coalesce(F.col(c), F.lit("{}" if c == "data" else "")) for c in names}
+    events.withColumns(filled).createOrReplaceTempView(name)
+
+
+# -- landing and publication -------------------------------------------------
+
+
+def read_batches(spark: SparkSession, landing: str) -> DataFrame:
+    """The landed batches: event_date, events, stream, batch_id; one row for each day a batch has events of."""
+    try:
+        return spark.read.schema(BATCHES_SCHEMA).parquet(f"{landing}/{BATCHES}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], BATCHES_SCHEMA)
+
+
+def _read_landed(spark: SparkSession, landing: str, first: date | None, last: date | None) -> DataFrame:
+    """Landing rows of whole batches only: of a batch that is being written, or broke off, none."""
+    rows = _read_days(spark, landing, BATCH_SCHEMA, first, last)
+    return rows.join(read_batches(spark, landing).select(*BATCH_COLUMNS).distinct(), BATCH_COLUMNS, "left_semi")
+
+
+def _published(spark: SparkSession, table: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Table rows with their batches; none if nothing was published yet."""
+    try:
+        return _read_days(spark, table, BATCH_SCHEMA, first, last)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], BATCH_SCHEMA)
+
+
+def _missing(spark: SparkSession, landing: str, table: str) -> DataFrame:
+    """Day, stream and batch of what has landed and is not in the table."""
+    held = _published(spark, table).select("event_date", *BATCH_COLUMNS).distinct()
+    return read_batches(spark, landing).join(held, ["event_date", *BATCH_COLUMNS], "left_anti")
+
+
+def days_to_publish(spark: SparkSession, landing: str, table: str) -> list[date]:
+    """Days with landed batches that the table does not hold, late ones of published days among them. One
+    date for each such day comes to the driver."""
+    days = _missing(spark, landing, table).select("event_date").distinct().orderBy("event_date")
+    return [row["event_date"] for row in days.collect()]
 
 
 def publish_days(
     spark: SparkSession, landing: str, table: str, first: date, last: date, files: int | None = None
 ) -> None:
-    """Rewrite the days ``first`` to ``last`` of the table from the landing dataset.
+    """Rewrite the days ``first`` to ``last`` of the table from the landed batches.
 
     A range shuffle on the sort key cuts a big day into many files of disjoint time
     ranges, whose min/max statistics serve time filters. ``files`` fixes how many
     ranges there are; by default there are up to ``spark.sql.shuffle.partitions``, which
     AQE merges to the advisory size. The landing dataset has to keep a day for as long as
-    it may be published again.
+    it may be published again; days that it has no rows of stay as they are.
     """
-    days = F.col("event_date").between(date_literal(first), date_literal(last))
-    rows = read_events(spark, landing).filter(days).select(*STORED_COLUMNS)
+    rows = _read_landed(spark, landing, first, last).select(*STORED_COLUMNS, *BATCH_COLUMNS)
     order = ["event_date", *SORT_COLUMNS]
     ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
     (
@@ -96,11 +174,19 @@ def publish_days(
     )
 
 
-def read_live(spark: SparkSession, landing: str, table: str, open_from: date) -> DataFrame:
-    """Published days before ``open_from``, and the days from then on straight from landing."""
-    closed = read_events(spark, table).filter(F.col("event_date") < date_literal(open_from))
-    recent = read_events(spark, landing).filter(F.col("event_date") >= date_literal(open_from))
-    return closed.select(*STORED_COLUMNS).unionByName(recent.select(*STORED_COLUMNS))
+def read_live(
+    spark: SparkSession, landing: str, table: str, first: date | None = None, last: date | None = None
+) -> DataFrame:
+    """Every landed event: the published days, and the batches that they do not hold yet from landing.
+
+    What is missing is known by day and batch before landing is read, so only its directories are.
+    A batch that lands late on a published day is seen at once, and published again or not makes
+    no difference."""
+    published = _published(spark, table, first, last).select(*STORED_COLUMNS)
+    missing = _missing(spark, landing, table)
+    rows = _read_days(spark, landing, BATCH_SCHEMA, first, last)
+    recent = rows.join(missing.select("event_date", *BATCH_COLUMNS).distinct(), ["event_date", *BATCH_COLUMNS], "left_semi")
+    return published.unionByName(recent.select(*STORED_COLUMNS))
 
 
 # -- retention ---------------------------------------------------------------
@@ -117,6 +203,7 @@ def first_retained_day(as_of: date | datetime, days: int = RETENTION_DAYS) -> da
 
 def retained(events: DataFrame, as_of: date | datetime, days: int = RETENTION_DAYS) -> DataFrame:
     """Events not yet expired as of a day; prunes partitions of the table."""
+    check_session(events.sparkSession)
     day = F.col("event_date") if "event_date" in events.columns else F.to_date("timestamp")
     return events.filter(day >= date_literal(first_retained_day(as_of, days)))
 
@@ -125,7 +212,8 @@ def drop_expired(spark: SparkSession, path: str, as_of: date | datetime, days: i
     """Delete the ``event_date`` directories that have expired; returns their days.
 
     Works on whole directories through Spark's file system, so nothing is rewritten
-    and the driver only sees one name per stored day.
+    and the driver only sees one name per stored day. Needs a classic session: Spark Connect
+    has no way to delete a directory.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)

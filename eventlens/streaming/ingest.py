@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventlens.schema import FLUSH_INTERVAL, SORT_COLUMNS
-from eventlens.sources.ndjson import accepted, ingest_counts, parse_lines, rejected
-from eventlens.sources.table import bloom_options
+from eventlens.sources.ndjson import LINE_FEED, accepted, ingest_counts, parse_lines, rejected, without_return
+from eventlens.sources.table import BATCH_COLUMNS, BATCHES, bloom_options
+
+#: Files of a micro-batch if the caller sets no bound.
+MAX_FILES = 1000
 
 
 @dataclass(frozen=True)
@@ -23,44 +27,65 @@ class BatchCounts:
     rejected: dict[str, int]
 
 
-def write_batch(lines: DataFrame, batch_id: int, landing: str, quarantine: str) -> BatchCounts:
+def _overwrite(df: DataFrame, path: str, *partitions: str, **options: str) -> None:
+    (
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .options(**options).partitionBy(*partitions).parquet(path)
+    )
+
+
+def write_batch(lines: DataFrame, batch_id: int, landing: str, quarantine: str, stream: str) -> BatchCounts:
     """Parse one batch once and write its accepted and its refused lines.
 
-    Both writes replace the partitions of this ``batch_id`` and no others, so a batch
-    replayed after a failure leaves the same rows. The rows are not shuffled: tasks write
-    what they read, sorted; ``publish_days`` later makes large sorted files of it.
+    All writes replace the partitions of this ``stream`` and ``batch_id`` and no others, so a batch
+    replayed after a failure leaves the same rows, and another stream's batches stay. The batch is
+    listed in ``_batches`` last: before, nobody reads it. A batch has a few files for each day,
+    sorted; AQE splits a day too big for one task. ``publish_days`` makes large files of them.
     """
-    parsed = parse_lines(lines).withColumn("batch_id", F.lit(batch_id)).persist()
+    parsed = parse_lines(lines)
+    # of accepted lines only the parsed columns are kept while the batch is written
+    kept = F.when(F.col("reject_reason").isNotNull(), F.col("line")).alias("line")
+    parsed = parsed.select(
+        *[c for c in parsed.columns if c != "line"], kept, F.lit(stream).alias("stream"), F.lit(batch_id).alias("batch_id")
+    ).persist()
     try:
-        (
-            accepted(parsed).sortWithinPartitions("event_date", *SORT_COLUMNS)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .options(**bloom_options()).partitionBy("event_date", "batch_id").parquet(landing)
-        )
-        (
-            rejected(parsed)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(quarantine)
+        events = accepted(parsed)
+        _overwrite(
+            # the writer sorts by the partition columns; with these in front it finds its order there
+            events.hint("rebalance", "event_date").sortWithinPartitions("event_date", *BATCH_COLUMNS, *SORT_COLUMNS),
+            landing, "event_date", *BATCH_COLUMNS, **bloom_options(),
         )
+        _overwrite(rejected(parsed), quarantine, *BATCH_COLUMNS)
         # One row per reason, counted on the batch held above.
         by_reason = {row["reason"]: row["lines"] for row in ingest_counts(parsed).collect()}
+        days = events.groupBy("event_date", *BATCH_COLUMNS).agg(F.count(F.lit(1)).alias("events"))
+        _overwrite(days.coalesce(1), f"{landing}/{BATCHES}", *BATCH_COLUMNS)
     finally:
         parsed.unpersist()
     return BatchCounts(batch_id, by_reason.pop("", 0), by_reason)
 
 
-def stream_lines(spark: SparkSession, source: str, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
+def stream_lines(
+    spark: SparkSession, source: str, max_files: int | None = MAX_FILES, max_bytes: str | None = None,
+    clean: str | None = None, archive: str | None = None,
+) -> DataFrame:
     """NDJSON files (also ``.gz``) dropped into a directory, as a stream of lines.
 
-    ``max_files`` or ``max_bytes`` bound a micro-batch: a flood waits in the
-    source directory instead of filling memory.
+    ``max_files``, or ``max_bytes`` instead, bounds a micro-batch: a flood waits in the source
+    directory instead of filling memory. Only with ``max_files=None`` there is no bound. ``clean``
+    ("delete", or "archive" with a directory) takes files away that are done, so that the directory
+    stays short.
     """
-    reader = spark.readStream
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.option("lineSep", LINE_FEED)
     if max_bytes:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
-    return reader.text(source)
+    elif max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if clean:
+        reader = reader.option("cleanSource", clean)
+    if archive:
+        reader = reader.option("sourceArchiveDir", archive)
+    return without_return(reader.text(source))
 
 
 def start_ingest(
@@ -68,15 +93,25 @@ def start_ingest(
     interval: str = FLUSH_INTERVAL, available_now: bool = False,
     on_batch: Callable[[BatchCounts], None] | None = None,
 ) -> StreamingQuery:
-    """Start writing a stream of lines; ``available_now`` takes what is there and ends."""
+    """Start writing a stream of lines; ``available_now`` takes what is there and ends.
+
+    Batches are named by the id that Spark keeps in the checkpoint, so a stream that goes on from its
+    checkpoint replaces its own batches, and one with another or a new checkpoint adds to them.
+    """
+    names: list[str] = []
+    started = threading.Event()
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        counts = write_batch(batch, batch_id, landing, quarantine)
+        started.wait()
+        counts = write_batch(batch, batch_id, landing, quarantine, names[0])
         if on_batch is not None:
             on_batch(counts)
 
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return (
+    query = (
         lines.writeStream.foreachBatch(each_batch)
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
+    names.append(str(query.id))
+    started.set()
+    return query

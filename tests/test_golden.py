@@ -10,6 +10,7 @@ from eventlens import (
     Filter, analytics, apply_filters, compare, data_keys, data_values, decode_data, gauge, label_values,
     matching_events, retained, search_events, search_page, search_total, timeseries, topn,
 )
+from eventlens.functions.predicates import value_text
 
 
 def pairs(df, *columns):
@@ -66,7 +67,10 @@ def test_order_and_limit(golden):
     assert pairs(found, "group_0", "group_1", "value") == [("web", "staging", 2), ("api", "prod", 4)]
     unknown = analytics(golden, group_by="service", order_by="nonsense", descending=True, limit=1)
     assert pairs(unknown, "group_0") == [("api",)]
-    assert analytics(golden, group_by="trace_id", limit=-5).count() == 8
+    assert analytics(golden, group_by="trace_id").count() == 8
+    for bad in (0, -5, 2.5, True):
+        with pytest.raises(ValueError):
+            analytics(golden, group_by="service", limit=bad)
 
 
 def test_groups_as_map(golden):
@@ -190,7 +194,7 @@ def test_nested_series(golden):
     assert [p["value"] for p in api["data_points"]] == [2, 0, 0, 0]
     (only,) = timeseries(golden, nested=True, **MORNING).collect()
     assert only["name"] == "" and [p["value"] for p in only["data_points"]] == [2, 0, 1, 0]
-    assert timeseries(golden, nested=True, filters={"service": "none"}).count() == 0
+    assert timeseries(golden, nested=True, filters={"service": "none"}, start="2026-02-01T00:00:00Z", end="2026-02-02T00:00:00Z").count() == 0
 
 
 def test_groups_stay_apart_when_names_coincide(golden):
@@ -228,8 +232,8 @@ def test_search(golden):
     assert ids(page.events) == [6, 5, 4]
     assert (page.total, page.next_offset, page.prev_offset) == (8, 5, 0)
     last = search_page(golden, limit=5000, offset=4)
-    assert (last.limit, last.next_offset, last.prev_offset) == (1000, None, 0)
-    first = search_page(golden, limit=0, filters={"service": "api"})
+    assert (last.limit, last.next_offset, last.prev_offset) == (5000, None, 0)
+    first = search_page(golden, filters={"service": "api"})
     assert (first.total, first.prev_offset, ids(first.events)) == (4, None, [8, 3, 2, 1])
     assert pairs(search_total(golden, filters={"level": "error"}), "total") == [(2,)]
 
@@ -291,15 +295,19 @@ def test_retention(golden):
     lambda df: gauge(df, filters=[("service", "eq", None)]),
     lambda df: gauge(df, start="yesterday"),
     lambda df: gauge(df, start="2026-02-01"),
-    lambda df: analytics(df, group_by=["service"] * 11),
+    lambda df: search_events(df, limit=0),
+    lambda df: search_events(df, offset=-1),
+    lambda df: topn(df, group_by="service", limit=-1),
+    lambda df: label_values(df, "service", limit=0),
+    lambda df: timeseries(df, group_by="service", nested=True),
     lambda df: analytics(df, group_by=["timestamp"]),
     lambda df: topn(df, group_by="data.a b"),
     lambda df: topn(df, group_by=""),
     lambda df: label_values(df, "trace_id"),
     lambda df: data_values(df, ""),
     lambda df: timeseries(df, interval="year"),
-    lambda df: timeseries(df, interval="day", start="2026-01-01T00:00:00Z", end="2026-04-01T00:00:01Z"),
-    lambda df: timeseries(df, interval="minute", start="2026-01-01T00:00:00Z", end="2026-01-08T00:00:00Z"),
+    lambda df: timeseries(df, interval="minute", start="2026-01-01T00:00:00Z", end="2026-01-08T00:00:00Z",
+                          fill_zeros=True, most_buckets=10_000),
     lambda df: compare(df, start="2026-01-01T00:00:00Z", end=None),
 ])
 def test_refused_requests(golden, call):
@@ -313,3 +321,26 @@ def test_unknown_suffix_belongs_to_the_field(golden):
     nested = golden.withColumn("data", F.lit('{"a__b": 3}'))
     assert apply_filters(nested, {"data.a__b__gt": 2}).count() == 8
     assert apply_filters(nested, {"data.a__b": 3}).count() == 8
+
+
+@pytest.mark.parametrize("value, text", [
+    (42.0, "42"), (-0.5, "-0.5"), (1e20, "1" + "0" * 20), (1e21, "1e+21"), (0.0001, "0.0001"), (0.00001, "1e-05"), (0.0, "0"),
+    (True, "true"), (7, "7"), (-2.5e-7, "-2.5e-07"),
+])
+def test_values_as_text(value, text):
+    assert value_text(value) == text
+
+
+def test_nothing_is_cut_unasked(spark):
+    rows = spark.range(12_000).selectExpr(
+        "timestamp_seconds(1767225600 + id) AS timestamp", "concat('s', id) AS service", "'e' AS env", "'' AS job_id",
+        "'' AS request_id", "'' AS trace_id", "'' AS user_id", "'n' AS name", "'i' AS level",
+        "concat('{\"k', id, '\":', id, '}') AS data")
+    assert analytics(rows, group_by="service").count() == 12_000
+    assert analytics(rows, group_by="service", limit=11_000).count() == 11_000
+    assert topn(rows, group_by="service", limit=5000).count() == 5000
+    assert search_events(rows, limit=5000).count() == 5000
+    assert label_values(rows, "service").count() == 12_000
+    assert data_keys(rows).count() == 12_000
+    assert analytics(rows, group_by=["service", "env", "name", "level"] * 3, limit=1).count() == 1
+    assert timeseries(rows, interval="day", start="2020-01-01T00:00:00Z", end="2026-12-31T00:00:00Z").count() == 1

@@ -58,6 +58,8 @@ REFUSED = [
     (OK + ',"request_id":"r"}', "request_id must be a valid UUID"),
     (OK + ',"trace_id":"0123456789abcdef0123456789abcdef"}', "trace_id must be a valid UUID"),
     (OK + f',"trace_id":"{UUID}0"' + "}", "trace_id must be a valid UUID"),
+    (OK + f',"trace_id":"{UUID}\\n"' + "}", "trace_id must be a valid UUID"),
+    ('{"timestamp":"2026-02-06T23:01:02Z\\n","service":"u","name":"n"}', INVALID),
 ]
 
 
@@ -107,6 +109,18 @@ def test_gzip_and_plain_files(spark, folder):
     assert sum(counts.values()) == len(REFUSED)
 
 
+def test_a_lone_carriage_return_is_white_space(spark, folder):
+    with open(f"{folder}/a.json", "w", encoding="utf-8", newline="") as file:
+        file.write(OK + ',\r"env":"x"}\r\n' + OK + "}\n")
+    found = accepted(parse_lines(read_lines(spark, folder))).collect()
+    assert sorted(r["env"] for r in found) == ["", "x"]
+
+
+def test_the_longest_line_is_an_argument(spark):
+    lines = spark.createDataFrame([(OK + "}",)], "value string")
+    assert [r["reject_reason"] for r in parse_lines(lines, max_bytes=20).collect()] == ["line too long"]
+
+
 json_values = st.recursive(
     st.none() | st.booleans() | st.integers(-(10**30), 10**30) | st.text(max_size=8),
     lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text(max_size=5), inner, max_size=3), max_leaves=8)

@@ -6,6 +6,8 @@ import pytest
 from compare import duck, duck_rows, spark_rows
 
 import __spark_entry__ as registered
+from eventlens.plans.catalog import QUERIES
+from eventlens.plans.oracle import ORACLES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,7 +18,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert registered.queries().keys() == registered.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= registered.queries().keys() and ORACLES.keys() <= registered.oracle_sql().keys()
 
 
 def test_entry(spark):
@@ -25,7 +28,7 @@ def test_entry(spark):
     assert found.count() > 0
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     columns, rows = spark_rows(registered.queries()[name](spark, SF_DIR))
     wanted_columns, wanted = duck_rows(con, registered.oracle_sql()[name])

@@ -4,12 +4,14 @@ import os
 from datetime import date, datetime, timedelta, timezone
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
+import pytest
 from golden import ids, trace
 from pyspark.sql import functions as F
 
 from eventlens import (
-    analytics, append_events, apply_filters, drop_expired, publish_days, read_events, read_live, register_view,
-    search_events, start_ingest, stream_lines, timeseries, write_batch,
+    analytics, append_events, apply_filters, days_to_publish, drop_expired, publish_days, read_batches, read_events,
+    read_live, register_view, search_events, start_ingest, stream_lines, timeseries, write_batch,
 )
 from eventlens.plans.session import scratch_dir
 from eventlens.sources.table import STORED_COLUMNS
@@ -52,7 +54,9 @@ def test_files_without_a_column_read_as_empty(spark, golden, folder):
     assert sorted(ids(apply_filters(table, {"user_id__neq": "u1"}))) == [2, 4, 5, 6, 7, 8]
     register_view(table, "evolved", absent_as_empty=("user_id",))
     assert spark.sql("SELECT * FROM evolved WHERE user_id = '' AND service = 'web'").count() == 3
-    register_view(table)
+    register_view(table, "all_filled")
+    assert spark.sql("SELECT * FROM all_filled WHERE user_id = '' AND service = 'web'").count() == 3
+    register_view(table, absent_as_empty=())
     found = spark.sql(f"SELECT * FROM events WHERE trace_id = '{trace(3)}' AND timestamp >= '2026-02-01 00:00:00'")
     assert ids(found) == [3]
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
@@ -114,10 +118,10 @@ def test_a_replayed_batch_changes_nothing(spark, folder):
 
     paths = f"{folder}/landing", f"{folder}/quarantine"
     early = batch(("2026-02-01T10:00:00Z", 1), ("2026-02-02T10:00:00Z", 2))
-    write_batch(early, 0, *paths)
-    write_batch(batch(("2026-02-01T12:00:00Z", 3)), 1, *paths)
+    write_batch(early, 0, *paths, "s")
+    write_batch(batch(("2026-02-01T12:00:00Z", 3)), 1, *paths, "s")
     for _ in range(2):
-        counts = write_batch(early, 0, *paths)
+        counts = write_batch(early, 0, *paths, "s")
         assert (counts.accepted, counts.rejected) == (2, {"invalid JSON": 1})
     assert sorted(ids(read_events(spark, paths[0]))) == [1, 2, 3]
     assert spark.read.parquet(paths[1]).count() == 2
@@ -128,7 +132,7 @@ def test_publishing_days(spark, folder):
     lines = [(LINE.format((start + timedelta(minutes=7 * i)).strftime("%Y-%m-%dT%H:%M:%SZ"), f"s{i % 3}", trace(i)),)
              for i in range(600)]
     landing, table = f"{folder}/landing", f"{folder}/table"
-    write_batch(spark.createDataFrame(lines, "value string"), 0, landing, f"{folder}/quarantine")
+    write_batch(spark.createDataFrame(lines, "value string"), 0, landing, f"{folder}/quarantine", "s")
     for _ in range(2):  # repeating a publication changes nothing
         publish_days(spark, landing, table, date(2026, 2, 1), date(2026, 2, 2), files=4)
     published = read_events(spark, table)
@@ -139,16 +143,84 @@ def test_publishing_days(spark, folder):
     assert all(a["high"] <= b["low"] for a, b in zip(spans, spans[1:]))  # disjoint time ranges
 
     late = spark.createDataFrame([(LINE.format("2026-02-01T00:00:01Z", "late", trace(999)),)], "value string")
-    write_batch(late, 1, landing, f"{folder}/quarantine")
+    write_batch(late, 1, landing, f"{folder}/quarantine", "s")
+    assert read_live(spark, landing, table).count() == 601  # late rows of a published day, and open days
+    assert days_to_publish(spark, landing, table) == [date(2026, 2, d) for d in (1, 3)]
     publish_days(spark, landing, table, date(2026, 2, 1), date(2026, 2, 1))
     again = read_events(spark, table)  # files were replaced: a table is opened anew
     assert again.count() == len([i for i in range(600) if 7 * i < 2 * 24 * 60]) + 1
 
-    live = read_live(spark, landing, table, date(2026, 2, 3))
+    live = read_live(spark, landing, table)
     assert live.count() == 601
+    assert read_live(spark, landing, table, date(2026, 2, 3), date(2026, 2, 9)).count() == 600 - len(
+        [i for i in range(600) if 7 * i < 2 * 24 * 60])
     assert timeseries(live, interval="day").count() == 3
 
 
+def test_streams_do_not_touch_each_others_batches(spark, folder):
+    paths = f"{folder}/landing", f"{folder}/quarantine"
+    for stream, n in (("first", 5), ("second", 2)):
+        lines = [(LINE.format("2026-02-01T10:00:00Z", stream, trace(i)),) for i in range(n)]
+        write_batch(spark.createDataFrame(lines, "value string"), 0, *paths, stream)
+    assert read_events(spark, paths[0]).count() == 7
+    assert {(r["stream"], r["events"]) for r in read_batches(spark, paths[0]).collect()} == {("first", 5), ("second", 2)}
+
+
+def test_a_new_checkpoint_adds_to_what_landed(spark, folder):
+    write_lines(f"{folder}/in", "1.json", [LINE.format("2026-02-01T10:00:00Z", "a", trace(1))])
+    (first,) = run_stream(spark, folder)
+    os.rename(f"{folder}/checkpoint", f"{folder}/lost")
+    os.rename(f"{folder}/in/1.json", f"{folder}/done.json")
+    write_lines(f"{folder}/in", "2.json", [LINE.format("2026-02-01T11:00:00Z", "a", trace(2))])
+    (second,) = run_stream(spark, folder)
+    assert first.batch_id == second.batch_id == 0
+    assert sorted(ids(read_events(spark, f"{folder}/landing"))) == [1, 2]
+
+
+def test_batches_that_broke_off_are_not_published(spark, folder):
+    landing, table = f"{folder}/landing", f"{folder}/table"
+    lines = spark.createDataFrame([(LINE.format("2026-02-01T10:00:00Z", "a", trace(1)),)], "value string")
+    write_batch(lines, 0, landing, f"{folder}/quarantine", "s")
+    torn = read_events(spark, landing).withColumn("stream", F.lit("s")).withColumn("batch_id", F.lit(1))
+    torn.write.mode("append").partitionBy("event_date", "stream", "batch_id").parquet(landing)
+    publish_days(spark, landing, table, date(2026, 2, 1), date(2026, 2, 1))
+    assert read_events(spark, table).count() == 1
+    assert read_live(spark, landing, table).count() == 1
+    assert days_to_publish(spark, landing, table) == []
+
+
+def test_landing_files_are_few_and_sorted(spark, folder):
+    lines = [(LINE.format(f"2026-02-0{1 + i % 2}T{i * 7 % 24:02d}:{i * 13 % 60:02d}:00Z", f"s{i % 5}", trace(i)),)
+             for i in range(500)]
+    batch = spark.createDataFrame(lines, "value string").repartition(8)
+    write_batch(batch, 0, f"{folder}/landing", f"{folder}/quarantine", "s")
+    files = [f"{at}/{name}" for at, _, names in os.walk(f"{folder}/landing")
+             for name in names if name.endswith(".parquet") and "_batches" not in at]
+    assert len(files) == 2  # one for each day
+    for file in files:
+        rows = [(r["timestamp"], r["service"], r["trace_id"]) for r in pq.read_table(file).to_pylist()]
+        assert rows == sorted(rows)
+
+
+def test_only_the_asked_days_are_listed(spark, golden, folder):
+    append_events(golden, f"{folder}/t")
+    found = read_events(spark, f"{folder}/t", date(2026, 2, 2), date(2026, 2, 7))
+    assert sorted(ids(found)) == [5, 6, 7]
+    assert all("2026-02-02" in f or "2026-02-07" in f for f in found.inputFiles())
+    assert read_events(spark, f"{folder}/t", date(2020, 1, 1), date(2020, 1, 2)).count() == 0
+
+
+def test_other_zones_are_refused(spark, golden):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="timeZone"):
+            timeseries(golden, interval="day")
+        with pytest.raises(ValueError, match="timeZone"):
+            append_events(golden, "/tmp/never")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_scratch_follows_the_cluster_setting(spark):
     def session(**settings):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: settings.get(key, default)))
@@ -156,5 +228,8 @@ def test_scratch_follows_the_cluster_setting(spark):
     shared = session(**{"spark.checkpoint.dir": "hdfs://cluster/scratch/"})
     assert scratch_dir(shared).startswith("hdfs://cluster/scratch/eventlens-")
     assert scratch_dir(shared) != scratch_dir(shared)
-    assert scratch_dir(session()).startswith("/tmp/run-")
+    assert scratch_dir(session(**{"spark.master": "local[4]"})).startswith("/tmp/run-")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(session(**{"spark.master": master}))
     assert scratch_dir(spark)

@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 from eventlens.llm.common import with_fields
 from eventlens.llm.rules import FREQUENT
 
+#: A comment, a declaration, or a tag; the last form is a tag with a quote that is not closed.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])")
 
@@ -117,10 +120,11 @@ def blocks_of(html: str) -> list[Block]:
             add(html[at:])
             break
         add(html[at:match.start()])
-        at, tag = match.end(), (match[2] or "").lower()
+        at, tag = match.end(), (match["tag"] or match["tag2"] or "").lower()
         if not tag:
             continue
-        if match[1]:
+        rest = match["rest"] or match["rest2"] or ""
+        if match["end"] or match["end2"]:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if k >= 0:
                 close(k)
@@ -142,12 +146,12 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        if tag in VOID or match[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             if tag in BLOCK:
                 finish()
             continue
-        is_outside = outside or _is_outside(tag, match[3], in_article)
-        is_article = in_article or tag in ("article", "main") or 'role="main"' in match[3]
+        is_outside = outside or _is_outside(tag, rest, in_article)
+        is_article = in_article or tag in ("article", "main") or 'role="main"' in rest
         changed = is_outside != outside
         stack.append((tag, is_outside, is_article and not is_outside, in_link or tag == "a"))
         state()

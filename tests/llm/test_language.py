@@ -1,0 +1,50 @@
+"""Held-out accuracy, and what predictions may depend on."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from eventlens.llm import language
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.language_of(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(found) > 150
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.97 * len(found)
+    assert all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_only_the_text_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profiles = language.prototypes(docs, F.lit(True), dimensions=256)
+    one = language.identify(docs, profiles, "doc_id").collect()
+    other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string"))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, language.identify(other, profiles, "doc_id").collect()))
+    assert {r["lang_pred"] for r in one} <= set(profiles)
+
+
+def test_odd_rows(spark, odd, nothing):
+    rows = language.language_of(odd, dimensions=128).collect()
+    assert len(rows) == odd.count()
+    by_id = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    for i in (2, 3, 4, 7):
+        assert (by_id[i]["lang_pred"], by_id[i]["score"]) == (language.UNKNOWN, 0.0)
+    assert by_id[5]["lang_pred"] in {"en", "fr", "de", "ja"}
+    assert language.language_of(nothing).count() == 0
+    # nothing to learn from: every text is unknown
+    blind = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language.language_of(blind).collect()} == {language.UNKNOWN}
+
+
+def test_binding_and_permutation():
+    a, b = np.array([[97, 98, 99]], np.uint32), np.array([[99, 98, 97]], np.uint32)
+    letters = language.letter_vectors(np.array([97, 98, 99]), 512, 1).astype(int)
+    wanted = np.roll(letters[0], 2) * np.roll(letters[1], 1) * letters[2]
+    assert (language.gram_vectors(a, 3, 512, 1)[0] == wanted).all()
+    assert abs(int(wanted @ language.gram_vectors(b, 3, 512, 1)[0].astype(int))) < 120  # nearly orthogonal
+
+
+def test_counts_of_each_text():
+    grams, counts = language.gram_counts(["abab", None, "", "Ab-ab", "1"], 3)
+    found = [{"".join(map(chr, g)): int(c) for g, c in zip(grams, row) if c} for row in counts]
+    assert found == [{" ab": 1, "aba": 1, "bab": 1, "ab ": 1}, {}, {}, {" ab": 2, "ab ": 2, "b a": 1}, {}]

@@ -1,0 +1,77 @@
+"""Token ids against the vocabulary's own encoder; the length histogram against plain sums."""
+
+import random
+import struct
+
+import pytest
+from conftest import ODD
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from eventlens.llm import tokens
+
+
+@pytest.fixture(scope="module")
+def word_ids():
+    import public_tokenizers
+
+    return tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def own_ids(encoder, text):
+    ids = encoder.encode(text, add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+HARD = ["It's we'll DON'T 3²½ ª º µ × ÷ _foo_ a_b ''s !'s «x» ¿qué? ÉCOLE İstanbul", "ΑΣ σς", "é café", "a\u0085b",
+        "x" * 3000, "<|endoftext|> hi", "日本語 12 34", "a-b--c...d!!!'ll", "ĳ Ĳ ŀ ǰ ­ soft", "tab\tnew\nline\x0bv\x0cf\rr"]
+
+
+@pytest.mark.parametrize("text", HARD)
+def test_hard_texts(word_ids, text):
+    assert word_ids.by_word
+    assert word_ids(text) == own_ids(word_ids.encoder, text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text("ab'sdtlmrev ._-1ÀéŽ\n", max_size=40))
+def test_any_text(word_ids, text):
+    assert word_ids(text) == own_ids(word_ids.encoder, text)
+
+
+def test_the_memory_of_words_is_bounded(word_ids, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    random.seed(3)
+    for _ in range(30):
+        text = " ".join(f"w{random.randrange(500)}" for _ in range(20))
+        assert word_ids(text) == own_ids(word_ids.encoder, text)
+        assert len(word_ids.words) <= 70
+
+
+def test_histogram_and_its_sums(spark, odd, vocabulary, word_ids):
+    histogram = tokens.length_histogram(odd, vocabulary)
+    sums = {r["n_tokens"]: r for r in tokens.with_suffix_sums(histogram, block=4).collect()}
+    lengths = sorted(len(word_ids(t)) // 4 for _, t, *_ in ODD)
+    assert sorted(sums) == sorted(set(lengths))
+    for limit, row in sums.items():
+        assert row["docs"] == lengths.count(limit)
+        assert row["docs_at_least"] == sum(n >= limit for n in lengths)
+        assert row["tokens_at_least"] == sum(n for n in lengths if n >= limit)
+        assert row["truncated_tokens"] == sum(min(n, limit) for n in lengths)
+        assert row["share_within"] == pytest.approx(sum(n <= limit for n in lengths) / len(lengths))
+    every = tokens.with_suffix_sums(histogram)
+    for r in tokens.totals(every, [0, 5, 14, 10**6]).collect():
+        assert (r["docs"], r["tokens"]) == (len(lengths), sum(lengths))
+        assert r["docs_over"] == sum(n > r["limit"] for n in lengths)
+        assert r["truncated_tokens"] == sum(min(n, r["limit"]) for n in lengths)
+    found = {r["share"]: r["n_tokens"] for r in tokens.quantiles(every, [0.1, 0.5, 1.0]).collect()}
+    assert found == {s: next(n for n in lengths if sum(x <= n for x in lengths) >= s * len(lengths)) for s in found}
+
+
+def test_by_source_and_empty(spark, odd, nothing, vocabulary):
+    sums = tokens.with_suffix_sums(tokens.length_histogram(odd, vocabulary, ["source"]), ["source"])
+    found = sums.groupBy("source").agg(F.sum("docs").alias("n"), F.max("docs_at_least").alias("m")).collect()
+    counts = {s: sum(r[3] == s for r in ODD) for s in {r[3] for r in ODD}}
+    assert {r["source"]: r["n"] for r in found} == {r["source"]: r["m"] for r in found} == counts
+    assert tokens.with_suffix_sums(tokens.length_histogram(nothing, vocabulary)).count() == 0

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlens.functions.fields import data_key, number_of_key, text_of_key
+from eventlens.functions.fields import PARSED, data_key, needs_data, number_of_key, parsed_data, text_of_key
 from eventlens.functions.settings import check_session
 from eventlens.schema import OPERATORS, TEXT_COLUMNS
 
@@ -208,9 +208,22 @@ def time_range(df: DataFrame, start=None, end=None) -> Column | None:
 
 def apply_filters(df: DataFrame, filters=None, start=None, end=None) -> DataFrame:
     """All filters and the time bounds, joined by AND."""
+    found = filtered(df, filters, start, end)
+    return found.drop(PARSED) if PARSED in found.columns else found
+
+
+def filtered(df: DataFrame, filters=None, start=None, end=None, fields: Iterable[str | None] = ()) -> DataFrame:
+    """As ``apply_filters``; also has ``PARSED`` if a filter or one of ``fields`` is a ``data.<key>``. Time
+    and columns are looked at first, and only what they leave is parsed."""
     check_session(df.sparkSession)
-    parts = [predicate(f) for f in as_filters(filters)]
+    specs = as_filters(filters)
+    on_data = [predicate(f) for f in specs if needs_data(f.field)]
+    parts = [predicate(f) for f in specs if not needs_data(f.field)]
     bounds = time_range(df, start, end)
     if bounds is not None:
         parts.insert(0, bounds)
-    return df.filter(reduce(lambda a, b: a & b, parts)) if parts else df
+    if parts:
+        df = df.filter(reduce(lambda a, b: a & b, parts))
+    if on_data or needs_data(*fields):
+        df = parsed_data(df)
+    return df.filter(reduce(lambda a, b: a & b, on_data)) if on_data else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions.aggregates import aggregate, check_aggregation
 from eventlens.functions.fields import group_columns
-from eventlens.functions.predicates import apply_filters
+from eventlens.functions.predicates import filtered
 from eventlens.schema import TOPN_LIMIT
 
 
@@ -37,7 +37,7 @@ def analytics(
     """
     fields = [group_by] if isinstance(group_by, str) else list(group_by)
     keys = group_columns(fields)
-    result = aggregate(apply_filters(df, filters, start, end), keys, aggregation, field, approx)
+    result = aggregate(filtered(df, filters, start, end, [*fields, field]), keys, aggregation, field, approx)
     names = [f"group_{i}" for i in range(len(keys))]
     first = f"group_{fields.index(order_by)}" if order_by in fields else "value"
     rest = [n for n in [*names, "value"] if n != first]
@@ -57,7 +57,7 @@ def topn(
     if not isinstance(group_by, str) or not group_by:
         raise ValueError("name the one field whose top groups are wanted")
     (key,) = group_columns(group_by)
-    result = aggregate(apply_filters(df, filters, start, end), [key], aggregation, field, approx)
+    result = aggregate(filtered(df, filters, start, end, [group_by, field]), [key], aggregation, field, approx)
     return limited(result.withColumnRenamed("group_0", "key").orderBy(F.desc("value"), F.asc("key")), limit)
 
 
@@ -67,4 +67,4 @@ def gauge(
 ) -> DataFrame:
     """One aggregate over all matching events; always one row."""
     check_aggregation(aggregation, field)
-    return aggregate(apply_filters(df, filters, start, end), [], aggregation, field, approx)
+    return aggregate(filtered(df, filters, start, end, [field]), [], aggregation, field, approx)

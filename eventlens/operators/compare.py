@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.aggregates import aggregate, check_aggregation
-from eventlens.functions.predicates import apply_filters, parse_time, time_range
+from eventlens.functions.predicates import filtered, parse_time, time_range
 
 
 def compare(
@@ -30,7 +30,7 @@ def compare(
 
     current = time_range(df, start, end)
     previous = time_range(df, compare_start, compare_end)
-    tagged = apply_filters(df, filters).filter(current | previous).select(
+    tagged = filtered(df.filter(current | previous), filters, fields=[field]).select(
         "*",
         F.explode(
             F.when(current & previous, F.array(F.lit("current"), F.lit("previous")))

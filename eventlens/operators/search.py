@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from eventlens.functions.fields import text_of_key
-from eventlens.functions.predicates import apply_filters, as_filters, is_ntz, parse_time, time_literal
+from eventlens.functions.fields import DATA_PREFIX, text_of_any_key, text_of_key
+from eventlens.functions.predicates import apply_filters, as_filters, filtered, is_ntz, parse_time, time_literal
 from eventlens.operators.analytics import check_limit, limited
-from eventlens.schema import EVENT_COLUMNS, LABEL_COLUMNS, PAGE_LIMIT, SORT_COLUMNS, TEXT_COLUMNS
+from eventlens.schema import EVENT_COLUMNS, IDENTIFIER_PATTERN, LABEL_COLUMNS, PAGE_LIMIT, SORT_COLUMNS, TEXT_COLUMNS
 
 _TIE_BREAK = [c for c in SORT_COLUMNS if c != "timestamp"] + ["name", "data"]
 _TIE_BREAK += [c for c in TEXT_COLUMNS if c not in _TIE_BREAK]
@@ -130,5 +131,8 @@ def data_values(
     """Distinct non-empty texts of one data key, which may hold any characters: ``value``, in order."""
     if not key:
         raise ValueError("say of which key the values are wanted")
-    values = apply_filters(df, filters, start, end).select(text_of_key(key).alias("value")).distinct()
+    spelled = re.fullmatch(IDENTIFIER_PATTERN, key) is not None
+    found = filtered(df, filters, start, end, [DATA_PREFIX + key] if spelled else [])
+    text = text_of_key(key) if spelled else text_of_any_key(key)
+    values = found.select(text.alias("value")).distinct()
     return limited(values.filter(F.col("value") != "").orderBy("value"), limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventlens.functions.aggregates import aggregate, check_aggregation
 from eventlens.functions.buckets import bucket_start, bucket_step, check_grid
 from eventlens.functions.fields import group_columns
-from eventlens.functions.predicates import apply_filters, is_ntz, parse_time, time_literal
+from eventlens.functions.predicates import filtered, is_ntz, parse_time, time_literal
 
 
 def timeseries(
@@ -34,10 +34,12 @@ def timeseries(
     if fill_zeros and lower is not None and upper is not None:
         check_grid(lower, upper, interval, most_buckets)
 
-    keys = group_columns(group_by)
+    fields = [group_by] if isinstance(group_by, str) else list(group_by)
+    keys = group_columns(fields)
     names = [f"group_{i}" for i in range(len(keys))]
     bucket = bucket_start(F.col("timestamp"), interval, is_ntz(df)).alias("bucket")
-    points = aggregate(apply_filters(df, filters, lower, upper), [bucket, *keys], aggregation, field, approx)
+    events = filtered(df, filters, lower, upper, [*fields, field])
+    points = aggregate(events, [bucket, *keys], aggregation, field, approx)
 
     if fill_zeros and lower is not None and upper is not None:
         points = _fill(points, names, lower, upper, interval, is_ntz(df))

@@ -344,3 +344,10 @@ def test_nothing_is_cut_unasked(spark):
     assert data_keys(rows).count() == 12_000
     assert analytics(rows, group_by=["service", "env", "name", "level"] * 3, limit=1).count() == 1
     assert timeseries(rows, interval="day", start="2020-01-01T00:00:00Z", end="2026-12-31T00:00:00Z").count() == 1
+
+
+def test_the_last_of_two_equal_keys_counts(golden):
+    doubled = golden.withColumn("data", F.lit('{"k":1,"k":2}'))
+    assert apply_filters(doubled, {"data.k": 2}).count() == 8
+    assert apply_filters(doubled, {"data.k__gt": 1.5}).count() == 8
+    assert pairs(analytics(doubled, group_by="data.k"), "group_0", "value") == [("2", 8.0)]

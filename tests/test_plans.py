@@ -137,3 +137,12 @@ def test_bloom_filters_skip_row_groups(spark, table):
     present, absent = rows_read(trace(7)), rows_read("00000000-0000-4000-8000-00000000007x")
     assert 0 < present < 1000
     assert absent < present
+
+
+def test_data_is_parsed_once(table):
+    found = analytics(
+        table, filters={"data.code__in": "200,300,400", "data.value__gt": 5}, group_by=["data.endpoint", "data.code"],
+        aggregation="sum", field="data.value")
+    text = plan(found)
+    assert text.count("parseJson(") == 1 and "get_json_object" not in text
+    assert found.count() > 3

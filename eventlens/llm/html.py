@@ -151,7 +151,7 @@ def blocks_of(html: str) -> list[Block]:
                 finish()
             continue
         is_outside = outside or _is_outside(tag, rest, in_article)
-        is_article = in_article or tag in ("article", "main") or 'role="main"' in rest
+        is_article = in_article or tag in ("article", "main") or re.search(r"role\s*=\s*['\"]?main\b", rest, re.I) is not None
         changed = is_outside != outside
         stack.append((tag, is_outside, is_article and not is_outside, in_link or tag == "a"))
         state()

@@ -97,6 +97,8 @@ def nearest(
                 continue
             lo, hi = tree.span[node]
             scores = tree.points[lo:hi] @ query
+            if scores.dtype == object:
+                scores = np.minimum(np.maximum(scores, -LARGEST - 1), LARGEST)
             keep = uids[lo:hi] != own[q]
             if limit is not None:
                 keep &= -scores <= limit[0]
@@ -138,8 +140,7 @@ def found_in(vectors: pa.Table, queries: pa.Table, k: int, leaf: int) -> pa.Tabl
         ordered = uids[here][tree.order]
         for q, best in zip(at, nearest(tree, ordered, wanted, own[at], [worst[i] for i in at], k)):
             for score, vec_id, uid in best:
-                rows.append((int(own[q]), query_ids[q], None if uid in unknown else vec_id,
-                             max(min(-score, LARGEST), -LARGEST - 1)))
+                rows.append((int(own[q]), query_ids[q], None if uid in unknown else vec_id, -score))
     columns = list(zip(*rows)) or [()] * 4
     return pa.table(
         [pa.array(c, pa.int64()) for c in columns], ["query_uid", "query_id", "vec_id", "score"]
@@ -161,7 +162,7 @@ def top_k(
     Null vectors and those with null or non-finite components take no part; vectors of other lengths than the
     query's are no candidates; a null vec_id is no query, and as a candidate loses ties; rows with
     equal ids or vectors are rows of their own, of which only the query's own is left out. An empty
-    table gives no row. Scores beyond 64 bits are cut to the nearest 64-bit value.
+    table gives no row. Scores beyond 64 bits count as the nearest 64-bit value.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = settle(

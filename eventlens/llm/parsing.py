@@ -11,12 +11,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from eventlens.llm.common import bounded, settle, with_fields
+from eventlens.llm.common import bounded, settle, small, with_fields
 
 #: Bytes that the rolling hash looks at.
 ROLL = 16
 #: Contexts of one stem that go to one suffix array.
 SHARD = 256
+#: Keys of texts, of 16 bytes each, that are broadcast at most; more of them are joined by a shuffle.
+KEYS = 500_000
+SPANS = "array<struct<first:int,last:int,repeated:array<int>>>"
 #: Bytes of contexts in one suffix array, some.
 ARRAY = 1 << 21
 
@@ -191,7 +194,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             )
 
     located = settle(
-        texts.join(places, "k1").select("k1", "k2", "data", "places")
+        texts.join(small(places.select("k1"), KEYS), "k1", "left_semi").join(places, "k1")
+        .select("k1", "k2", "data", "places")
         .mapInArrow(locate, "k1 long, k2 long, first int, last int, stem long, c1 long, c2 long")
     )
     distinct = settle(
@@ -222,7 +226,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     schema = "stem long, shard long, shards int, c1 long, c2 long, n long, bytes binary"
     # copies of a text are one row here, whichever
     sources = (
-        texts.join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+        texts.join(small(settle(asked.select("k1", "k2").distinct()), KEYS), ["k1", "k2"], "left_semi")
         .groupBy("k1", "k2").agg(F.first("data").alias("data"))
     )
     pieces = sources.join(asked, ["k1", "k2"]).select(
@@ -264,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         .groupBy("c1", "c2").agg(F.array_distinct(F.flatten(F.collect_list("repeated"))).alias("repeated"))
     )
     decided = distinct.where("n > 1").select("c1", "c2", F.lit(None).cast("array<int>").alias("repeated")).unionAll(some)
-    return (
+    return settle(
         located.join(decided, ["c1", "c2"])
         .groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last", "repeated")).alias("spans"))
     )
@@ -328,21 +332,24 @@ def without_repeats(docs: DataFrame, *keep: str, length: int = 200, with_text: b
                 [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text],
             )
 
-    return (
-        hashed.join(spans, ["k1", "k2"], "left").select("row", F.col("text").cast("binary").alias("data"), "spans")
-        .mapInArrow(remove, schema)
-    )
+    keys = small(spans.select("k1", "k2"), KEYS)  # keeps texts without repeats out of the shuffle, if it can
+    data = F.col("text").cast("binary").alias("data")
+    whole = hashed.join(keys, ["k1", "k2"], "left_anti").select("row", data, F.lit(None).cast(SPANS).alias("spans"))
+    cut = hashed.join(keys, ["k1", "k2"], "left_semi").join(spans, ["k1", "k2"]).select("row", data, "spans")
+    return whole.unionAll(cut).mapInArrow(remove, schema)
 
 
 def stripped(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with all columns and without the repeated strings in ``text``; ``n_chars``, if there is such a
     column, follows the text. Null texts stay null, texts that are removed as a whole are empty."""
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*others, F.col("text").isNull().alias("no text")).alias("others"), "text")
-    found = without_repeats(rows, "others", length=length, with_text=True)
-    text = F.when(~F.col("others")["no text"], F.col("kept"))
+    rows = docs.select(
+        F.struct(F.struct(*others).alias("row"), F.col("text").isNull().alias("no_text")).alias("own"), "text"
+    )
+    found = without_repeats(rows, "own", length=length, with_text=True)
+    text = F.when(~F.col("own.no_text"), F.col("kept"))
     count = {"text": text, "n_chars": F.length(text)} if "n_chars" in others else {"text": text}
     return found.select(*[
-        count[c].cast(docs.schema[c].dataType).alias(c) if c in count else F.col("others")[c].alias(c)
+        count[c].cast(docs.schema[c].dataType).alias(c) if c in count else F.col("own.row")[c].alias(c)
         for c in docs.columns
     ])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Sequence
 from pathlib import Path
@@ -39,7 +40,13 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         context.setCheckpointDir(shared)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    del df
+    # the shuffle files behind what is settled go when its plan is collected, in Python (where it is
+    # part of a cycle) and in the JVM: now rather than some day
+    gc.collect()
+    context._jvm.System.gc()
+    return kept
 
 
 def with_fields(df: DataFrame, names: Sequence[str], more: str) -> T.StructType:

@@ -16,12 +16,12 @@ from eventlens.llm.common import bounded, settle, small, with_fields
 #: Bytes that the rolling hash looks at.
 ROLL = 16
 #: Contexts of one stem that go to one suffix array.
-SHARD = 256
+SHARD = 2048
 #: Keys of texts, of 16 bytes each, that are broadcast at most; more of them are joined by a shuffle.
 KEYS = 500_000
 SPANS = "array<struct<first:int,last:int,repeated:array<int>>>"
 #: Bytes of contexts in one suffix array, some.
-ARRAY = 1 << 21
+ARRAY = 1 << 20
 
 _RANDOM = np.random.Generator(np.random.PCG64(77_041))
 BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,17 +103,30 @@ def named(data: bytes, place: int, first: int, last: int, length: int) -> tuple[
     return struct.unpack("<qq", digest)
 
 
+def ranked(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks of keys below 2**(63 - bits), from 0, equal ones equal; ``bits`` are enough for their number.
+    Keys are sorted with their places in the low bits, which is much faster than to sort places."""
+    both = np.sort(keys << np.int64(bits) | np.arange(len(keys), dtype=np.int64))
+    order, keys = both & np.int64((1 << bits) - 1), both >> np.int64(bits)
+    ranks = np.empty(len(keys), np.int64)
+    ranks[order] = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
+    return ranks
+
+
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     """The rank of each place among all in the order of their next ``length`` bytes, by prefix doubling: the
     inverse of a suffix array that looks ``length`` bytes far; equal ranks are equal bytes."""
-    ranks, width = data.astype(np.int64), 1
-    while 2 * width <= length:
-        pairs = ranks[:-width] * np.int64(ranks.max() + 1) + ranks[width:]
-        ranks, width = np.unique(pairs, return_inverse=True)[1].astype(np.int64), 2 * width
-    if width < length:
-        rest = length - width
-        pairs = ranks[:-rest] * np.int64(ranks.max() + 1) + ranks[rest:]
-        ranks = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+    bits = len(data).bit_length()
+    if bits > 21:
+        raise ValueError("a suffix array holds 2 MB at most")
+    # four bytes are a number; their rank fits beside another one in a key
+    wide = data.astype(np.int64)
+    ranks = ranked(wide[:-3] << 24 | wide[1:-2] << 16 | wide[2:-1] << 8 | wide[3:], bits)
+    width = 4
+    while width < length:
+        step = min(width, length - width)
+        ranks = ranked(ranks[:-step] << np.int64(bits) | ranks[step:], bits)
+        width += step
     return ranks
 
 
@@ -169,7 +182,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 )
 
     parsed = texts.select("k1", "data").mapInArrow(parse, "k1 long, place int, phrase long")
-    dictionary = parsed.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase")
+    # settled, the dictionary is a table of its own, so that the join can split a phrase that is very common
+    dictionary = settle(parsed.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase"))
     # a text's key of 64 bits may stand for two texts here: that adds places to look at, no more
     places = settle(
         parsed.join(dictionary, "phrase", "left_semi").groupBy("k1").agg(F.collect_set("place").alias("places"))
@@ -208,7 +222,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     open_stems = (
         distinct.groupBy("stem").agg(F.count("*").alias("m"), F.min("n").alias("least"))
         .where("m > 1 and least = 1")
-        .select("stem", F.ceil(F.col("m") / SHARD).cast("int").alias("shards"))
+        .select("stem", F.ceil(F.col("m") / max(1, min(SHARD, ARRAY // 2 // (length + reach(length))))).cast("int")
+                .alias("shards"))
     )
     asked = settle(
         distinct.join(open_stems, "stem")

@@ -7,7 +7,7 @@ from golden import trace
 from pyspark.sql import functions as F
 
 from eventlens import (
-    analytics, append_events, apply_filters, compare, gauge, matching_events, read_events, search_events, timeseries,
+    CLUSTER, analytics, append_events, apply_filters, compare, gauge, matching_events, read_events, search_events, timeseries,
     topn,
 )
 from eventlens.functions.percentiles import exact_percentile
@@ -63,10 +63,23 @@ def test_one_pruned_scan_and_no_python(table, name):
     found = scans(text)
     assert len(found) == 1 or (not found and "ReusedExchange" in text), text
     for scan in found:
-        assert "event_date" in re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", scan).group(1)
+        days = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", scan).group(1)
+        assert re.search(r"event_date#\d+ >= 2024-01-0[18]", days) and re.search(r"event_date#\d+ <= 2024-01-14", days)
         assert "(timestamp," in re.search(r"PushedFilters: \[(.*?)\], ReadSchema", scan).group(1)
 
 
+def test_recommended_settings_exist_and_change_no_answer(spark, table):
+    wanted = analytics(table, aggregation="p95", field="data.value", group_by="name").collect()
+    before = {key: spark.conf.get(key) for key in CLUSTER}
+    try:
+        for key, value in CLUSTER.items():
+            spark.conf.set(key, value if "partitions" not in key else "64")
+        assert analytics(table, aggregation="p95", field="data.value", group_by="name").collect() == wanted
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_only_needed_columns_are_read(table):
     (scan,) = scans(plan(gauge(table, filters={"level": "error"})))
     assert "ReadSchema: struct<level:string>" in scan

@@ -17,8 +17,8 @@ WIDTH = 5
 #: Signatures have ``CHUNKS`` chunks of ``CHUNK`` values of 16 bits.
 CHUNKS, CHUNK = 12, 5
 SIZE = CHUNKS * CHUNK
-#: Groups of up to so many signatures are compared in one task.
-GROUP = 192
+#: Groups of up to so many signatures, 250 KB of them, are compared in one task.
+GROUP = 2048
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_011))
 FACTORS = _RANDOM.integers(1, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -280,18 +280,24 @@ def _finer(rows: DataFrame) -> DataFrame:
 def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The smallest uid reachable from each uid that has a link: ``id``, ``root``.
 
-    First every class is held against two others that it shares keys with: the smallest uid, and the one with
-    the most shared keys. What that links needs no further look: only pairs with a key in common that
-    are still apart, ``_dealt`` into parts of bounded size, are compared by signature, and the near ones
-    by set. No list of all pairs of a group is made, and no link between different groups is lost."""
+    First every class is held against two others that it shares keys with. Of all classes with the same key, the
+    hub is the one that shares most keys with any class: the original of many copies, if there is one.
+    A class meets the hub it shares most keys with, and the greatest of its hubs. What that links needs
+    no further look: only pairs with a key in common that are still apart, ``_dealt`` into parts of
+    bounded size, are compared by signature, and the near ones by set. No list of all pairs of a group
+    is made, and no link between different groups is lost."""
     signed_only = classes.where("signature is not null")
     keys = keyed(signed_only)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("center")).where("n > 1")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(keys.join(buckets, "key"))
+    degrees = members.groupBy("uid").agg(F.sum("n").alias("degree"))
+    hubs = members.join(degrees, "uid").groupBy("key").agg(F.max(F.struct("degree", "uid")).alias("hub"))
     star = (
-        members.where("uid <> center").groupBy("uid", "center").agg(F.count("*").alias("shared"))
-        .groupBy("uid").agg(F.min("center").alias("low"), F.max(F.struct("shared", "center")).alias("most"))
-        .select(F.explode(F.array_distinct(F.array("low", "most.center"))).alias("a"), F.col("uid").alias("b"))
+        members.join(hubs, "key").where(F.col("uid") != F.col("hub.uid")).groupBy("uid", "hub")
+        .agg(F.count("*").alias("shared"))
+        .groupBy("uid").agg(F.max(F.struct("shared", "hub.uid")).alias("nearest"), F.max("hub").alias("greatest"))
+        .select(F.explode(F.array_distinct(F.array("nearest.uid", "greatest.uid"))).alias("a"),
+                F.col("uid").alias("b"))
     )
     tried = settle(close(star, signed_only, distance(percent)))
     links = settle(confirmed(tried, classes, docs, percent))
@@ -308,7 +314,8 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     direct = _dealt(with_signature, "key", sizes.where(f"not ({many})"))
     crowded = settle(_finer(with_signature.join(sizes.where(many).select("key"), "key", "left_semi")))
     again = _dealt(crowded, "key", _sizes(crowded, "key"))
-    apart = _pairs_in_groups(direct.unionAll(again), distance(percent)).join(tried, ["a", "b"], "left_anti")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = _pairs_in_groups(direct.unionAll(again), distance(percent)).join(done, ["a", "b"], "left_anti")
     more = settle(confirmed(settle(apart), classes, docs, percent))
     return components(links.unionAll(more)) if more.limit(1).count() else roots
 

@@ -17,7 +17,9 @@ WIDTH = 5
 #: Signatures have ``CHUNKS`` chunks of ``CHUNK`` values of 16 bits.
 CHUNKS, CHUNK = 12, 5
 SIZE = CHUNKS * CHUNK
-#: Groups of up to so many signatures, 250 KB of them, are compared in one task.
+#: Bins of a sketch.
+BINS = 1024
+#: Groups of up to so many signatures, 2.5 MB with their sketches, are compared in one task.
 GROUP = 2048
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_011))
@@ -74,9 +76,30 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least & np.uint64(0xFFFF)).astype("<u2")
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One permutation, cut into ``BINS``: of each bin 8 bits of its least hash, 1 to 255, or 0 if it is empty.
+    Bins that are not empty in both of two sets agree as the sets do; with few hashes there are hardly two
+    in a bin, and the share is all but exact."""
+    values = np.sort(mixed(hashes + np.uint64(0x9E3779B97F4A7C15)))
+    bins = (values >> np.uint64(54)).astype(np.int64)
+    first = np.concatenate(([True], bins[1:] != bins[:-1]))
+    found = np.zeros(BINS, np.uint8)
+    found[bins[first]] = (values[first] % np.uint64(255)).astype(np.uint8) + 1
+    return found
+
+
+def likely(one: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of some sketches are as similar to one as asked, or up to 5.2 standard errors less: a pair that is as
+    similar falls below with a chance of one in 10 million."""
+    same = ((others == one) & (one > 0)).sum(axis=1)
+    seen = ((others > 0) | (one > 0)).sum(axis=1)
+    share = percent / 100
+    return same >= share * seen - 5.2 * np.sqrt(share * (1 - share) * seen)
+
+
 def signed(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, ``keep``, digest of the words in order (null without words), n_shingles and signature (null for texts
-    shorter than a shingle) of every row."""
+    """doc_id, ``keep``, digest of the words in order (null without words), n_shingles, signature and sketch (null for
+    texts shorter than a shingle) of every row."""
 
     names = ["doc_id", *keep]
     rows_of = docs.select(F.col("doc_id").cast("long"), *keep, "text")
@@ -87,26 +110,28 @@ def signed(docs: DataFrame, *keep: str) -> DataFrame:
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 if not words:
-                    rows.append((None, 0, None))
+                    rows.append((None, 0, None, None))
                     continue
                 digest = xxhash.xxh3_128_digest(b" ".join(words))
                 if len(words) < WIDTH:
-                    rows.append((digest, 1, None))
+                    rows.append((digest, 1, None, None))
                     continue
                 hashes = shingle_hashes(words)
-                rows.append((digest, len(hashes), signature(hashes).tobytes()))
-            columns = list(zip(*rows)) or [()] * 3
+                rows.append((digest, len(hashes), signature(hashes).tobytes(), sketch(hashes).tobytes()))
+            columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array(columns[0], pa.binary()),
-                 pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
-                [*names, "digest", "n_shingles", "signature"],
+                 pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
+                [*names, "digest", "n_shingles", "signature", "sketch"],
             )
 
-    return rows_of.mapInArrow(run, with_fields(rows_of, names, "digest binary, n_shingles long, signature binary"))
+    return rows_of.mapInArrow(run, with_fields(
+        rows_of, names, "digest binary, n_shingles long, signature binary, sketch binary"
+    ))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SIZE)
+def _matrix(column: pa.Array, kind: str = "<u2", width: int = SIZE) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def chunk_keys(signatures: np.ndarray, chunk: int) -> np.ndarray:
@@ -194,18 +219,48 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return pairs.join(fa, "a").join(fb, "b").mapInArrow(similar, "a long, b long")
 
 
-def _pairs_in_groups(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b), a < b, of rows of the same ``part`` and different ``root`` whose signatures are near;
-    of rows marked ``is_main`` none meet each other. Parts have some ``GROUP`` rows."""
+def first_keys(one: np.ndarray, others: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For some signatures that one is compared with: the first chunk, beyond those of ``skip`` (for each of them),
+    that agrees up to one value, or CHUNKS, and the key that the two share for it."""
+    apart = (others != one).reshape(len(others), CHUNKS, CHUNK)
+    fits = (apart.sum(axis=2) <= 1) & (np.arange(CHUNKS) != skip[:, None])
+    chunk = np.where(fits.any(axis=1), fits.argmax(axis=1), CHUNKS)
+    keys = np.concatenate([chunk_keys(one[None, :], c)[0] for c in range(CHUNKS)] + [np.zeros(1, np.uint64)])
+    left_out = apart[np.arange(len(others)), np.minimum(chunk, CHUNKS - 1)].argmax(axis=1)
+    return chunk, keys[np.where(chunk < CHUNKS, chunk * CHUNK + left_out, len(keys) - 1)]
+
+
+def finer_key(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mixed(key ^ mixed(group + np.uint64(1)))
+
+
+def _pairs_in_groups(rows: DataFrame, most: int, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of the same ``part`` and different ``root`` whose signatures and sketches are near;
+    of rows marked ``is_main`` none meet each other. Parts have some ``GROUP`` rows.
+
+    Similar signatures share many keys and meet in many groups. They are a pair only in that of their
+    first common key, or of their first two where that group was divided by finer keys."""
 
     def compare(table: pa.Table) -> pa.Table:
         signatures = _matrix(table["signature"].combine_chunks())
+        sketches = _matrix(table["sketch"].combine_chunks(), np.uint8, BINS)
         uids, roots = table["uid"].to_numpy(), table["root"].to_numpy()
         main = np.array(table["is_main"].to_pylist(), bool)
+        key, finer = np.uint64(table["key"][0].as_py() % (1 << 64)), table["finer"][0].as_py()
         found = [np.empty((2, 0), np.int64)]
         for i in np.flatnonzero(~main):
-            near = (signatures != signatures[i]).sum(axis=1) <= most
-            near &= (roots != roots[i]) & (main | (uids > uids[i]))
+            near = np.flatnonzero(
+                ((signatures != signatures[i]).sum(axis=1) <= most) & (roots != roots[i]) & (main | (uids > uids[i]))
+            )
+            if not len(near):
+                continue
+            chunk, first = first_keys(signatures[i], signatures[near], np.full(len(near), -1))
+            here = first == key
+            if finer is not None:
+                _, second = first_keys(signatures[i], signatures[near], chunk)
+                here &= finer_key(first, second) == np.uint64(finer % (1 << 64))
+            near = near[here]
+            near = near[likely(sketches[i], sketches[near], percent)]
             other = uids[near]
             found.append(np.stack([np.minimum(other, uids[i]), np.maximum(other, uids[i])]))
         a, b = np.concatenate(found, axis=1)
@@ -214,14 +269,14 @@ def _pairs_in_groups(rows: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _dealt(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Rows of each group ``key`` dealt into parts in which every pair of different roots meets that
-    is not of the group's main root twice. ``sizes``: key, main (root), n_main, n_rest.
+def _dealt(rows: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """Rows of each group of equal ``keys`` dealt into parts in which every pair of different roots meets that
+    is not of the group's main root twice. ``sizes``: keys, main (root), n_main, n_rest.
 
     The main root's rows are cut into blocks; the others, cut into blocks too, meet each of these blocks
     and each other. With few others that is little more than the group itself."""
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / GROUP)).cast("int")
-    own = rows.join(sizes, key).withColumn("is_main", F.col("root") == F.col("main"))
+    own = rows.join(sizes, keys).withColumn("is_main", F.col("root") == F.col("main"))
     own = own.withColumn("m", blocks("n_main")).withColumn("r", blocks("n_rest"))
     place = F.pmod(F.xxhash64("uid", F.lit(3)), F.when(F.col("is_main"), F.col("m")).otherwise(F.col("r")))
     # parts: (main block, other block), and (other block, other block) with the first one smaller or equal
@@ -235,17 +290,18 @@ def _dealt(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     parts = F.when(F.col("is_main"), with_others).otherwise(F.concat(with_main, among))
     return (
         own.withColumn("place", place.cast("int")).withColumn("p", F.explode(parts))
-        .select(F.xxhash64(key, "p.kind", "p.x", "p.y").alias("part"), "uid", "root", "signature", "is_main")
+        .select(F.xxhash64(*keys, "p.kind", "p.x", "p.y").alias("part"), "key", "finer", "uid", "root", "signature",
+                "sketch", "is_main")
     )
 
 
-def _sizes(rows: DataFrame, key: str) -> DataFrame:
-    """Groups with more than one root: key, main (the root with most rows), n_main and n_rest."""
+def _sizes(rows: DataFrame, *keys: str) -> DataFrame:
+    """Groups with more than one root: keys, main (the root with most rows), n_main and n_rest."""
     return (
-        rows.groupBy(key, "root").agg(F.count("*").alias("n"))
-        .groupBy(key).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+        rows.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+        .groupBy(*keys).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
         .where("roots > 1")
-        .select(key, F.col("top.root").alias("main"), F.col("top.n").alias("n_main"),
+        .select(*keys, F.col("top.root").alias("main"), F.col("top.n").alias("n_main"),
                 (F.col("n") - F.col("top.n")).alias("n_rest"))
     )
 
@@ -263,18 +319,13 @@ def _finer(rows: DataFrame) -> DataFrame:
             own = [(chunk_keys(signatures, c) == group[:, None]).any(axis=1) for c in range(CHUNKS)]
             for chunk in range(CHUNKS):
                 rows = np.flatnonzero(~own[chunk])
-                keys = chunk_keys(signatures[rows], chunk)
                 at = np.repeat(rows, CHUNK)
-                finer = mixed(keys.ravel() ^ mixed(group[at] + np.uint64(1)))
-                taken = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(finer.view(np.int64)), taken.column("uid"), taken.column("root"),
-                     taken.column("signature")], ["key", "uid", "root", "signature"],
-                )
+                finer = finer_key(group[at], chunk_keys(signatures[rows], chunk).ravel())
+                taken = batch.select(["key", "uid", "root"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(finer.view(np.int64))], [
+                    "key", "uid", "root", "finer"])
 
-    return rows.select("key", "uid", "root", "signature").mapInArrow(
-        run, "key long, uid long, root long, signature binary"
-    )
+    return rows.select("key", "uid", "root", "signature").mapInArrow(run, "key long, uid long, root long, finer long")
 
 
 def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -303,27 +354,38 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     links = settle(confirmed(tried, classes, docs, percent))
     roots = settle(components(links))
 
-    rest = (
-        members.where("n > 2").select("key", "uid")
-        .join(roots, F.col("uid") == F.col("id"), "left")
-        .select("key", "uid", F.coalesce("root", "uid").alias("root"))
-    )
+    def with_root(of: DataFrame) -> DataFrame:
+        known = of.join(roots, F.col("uid") == F.col("id"), "left")
+        return known.select("key", "uid", F.coalesce("root", "uid").alias("root"))
+
+    marks = signed_only.select("uid", "signature", "sketch")
+    rest = with_root(members.where("n > 2"))
     sizes = settle(_sizes(rest, "key"))
-    with_signature = rest.join(signed_only.select("uid", "signature"), "uid")
     many = "n_main + n_rest > {0} and n_rest > {0} / 2".format(GROUP)
-    direct = _dealt(with_signature, "key", sizes.where(f"not ({many})"))
-    crowded = settle(_finer(with_signature.join(sizes.where(many).select("key"), "key", "left_semi")))
-    again = _dealt(crowded, "key", _sizes(crowded, "key"))
+    plain = rest.withColumn("finer", F.lit(None).cast("long")).join(marks, "uid")
+    direct = _dealt(plain, ["key"], sizes.where(f"not ({many})"))
+    crowded = rest.join(sizes.where(many).select("key"), "key", "left_semi").join(marks, "uid")
+    crowded = settle(_finer(crowded))
+    again = _dealt(crowded.join(marks, "uid"), ["key", "finer"], _sizes(crowded, "key", "finer"))
+    # groups of two are a pair as they are
+    twos = (
+        with_root(members.where("n = 2")).groupBy("key")
+        .agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.min("root").alias("r"), F.max("root").alias("s"))
+        .where("r <> s").select("a", "b").distinct()
+    )
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    apart = _pairs_in_groups(direct.unionAll(again), distance(percent)).join(done, ["a", "b"], "left_anti")
-    more = settle(confirmed(settle(apart), classes, docs, percent))
+    apart = _pairs_in_groups(direct.unionByName(again), distance(percent), percent).unionAll(
+        close(twos, signed_only, distance(percent)))
+    apart = settle(apart.distinct().join(done, ["a", "b"], "left_anti"))
+    more = settle(confirmed(apart, classes, docs, percent))
     return components(links.unionAll(more)) if more.limit(1).count() else roots
 
 
 def _grouped(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Settled rows of ``signed`` that have words, with the ``root`` of their component."""
     classes = settle(
-        rows.where("digest is not null").groupBy("digest").agg(F.max("signature").alias("signature"))
+        rows.where("digest is not null").groupBy("digest").agg(F.max(F.struct("signature", "sketch")).alias("x"))
+        .select("digest", "x.*")
         .withColumn("uid", F.monotonically_increasing_id())
     )
     roots = linked(classes, docs, percent)
@@ -331,7 +393,7 @@ def _grouped(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         classes.select(F.col("digest").alias("_d"), "uid")
         .join(roots, F.col("uid") == F.col("id"), "left").select("_d", F.coalesce("root", "uid").alias("root"))
     )
-    return rows.join(named, F.col("digest") == F.col("_d")).drop("_d", "digest", "signature")
+    return rows.join(named, F.col("digest") == F.col("_d")).drop("_d", "digest", "signature", "sketch")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

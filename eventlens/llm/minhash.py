@@ -88,13 +88,18 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def likely(one: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
-    """Which of some sketches are as similar to one as asked, or up to 5.2 standard errors less: a pair that is as
-    similar falls below with a chance of one in 10 million."""
+def likely(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of some sketches, of sets of ``sizes``, are as similar to one as asked, or up to 5.2 standard errors and
+    one bin less: a pair that is as similar falls below with a chance of one in 10 million.
+
+    The bins that are not empty in both show a random part of the union, without repetition, so the number
+    that agrees is hypergeometric: the error vanishes as the bins show all of a small union."""
     same = ((others == one) & (one > 0)).sum(axis=1)
     seen = ((others > 0) | (one > 0)).sum(axis=1)
     share = percent / 100
-    return same >= share * seen - 5.2 * np.sqrt(share * (1 - share) * seen)
+    union = (n + sizes) / (1 + share)
+    unseen = np.clip((union - seen) / np.maximum(union - 1, 1), 0, 1)
+    return same >= share * seen - 5.2 * np.sqrt(share * (1 - share) * seen * unseen) - 1
 
 
 def signed(docs: DataFrame, *keep: str) -> DataFrame:
@@ -244,7 +249,7 @@ def _pairs_in_groups(rows: DataFrame, most: int, percent: int) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         signatures = _matrix(table["signature"].combine_chunks())
         sketches = _matrix(table["sketch"].combine_chunks(), np.uint8, BINS)
-        uids, roots = table["uid"].to_numpy(), table["root"].to_numpy()
+        uids, roots, sizes = (table[c].to_numpy() for c in ("uid", "root", "n_shingles"))
         main = np.array(table["is_main"].to_pylist(), bool)
         key, finer = np.uint64(table["key"][0].as_py() % (1 << 64)), table["finer"][0].as_py()
         found = [np.empty((2, 0), np.int64)]
@@ -260,7 +265,7 @@ def _pairs_in_groups(rows: DataFrame, most: int, percent: int) -> DataFrame:
                 _, second = first_keys(signatures[i], signatures[near], chunk)
                 here &= finer_key(first, second) == np.uint64(finer % (1 << 64))
             near = near[here]
-            near = near[likely(sketches[i], sketches[near], percent)]
+            near = near[likely(sketches[i], sizes[i], sketches[near], sizes[near], percent)]
             other = uids[near]
             found.append(np.stack([np.minimum(other, uids[i]), np.maximum(other, uids[i])]))
         a, b = np.concatenate(found, axis=1)
@@ -291,7 +296,7 @@ def _dealt(rows: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
     return (
         own.withColumn("place", place.cast("int")).withColumn("p", F.explode(parts))
         .select(F.xxhash64(*keys, "p.kind", "p.x", "p.y").alias("part"), "key", "finer", "uid", "root", "signature",
-                "sketch", "is_main")
+                "sketch", "n_shingles", "is_main")
     )
 
 
@@ -358,7 +363,7 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         known = of.join(roots, F.col("uid") == F.col("id"), "left")
         return known.select("key", "uid", F.coalesce("root", "uid").alias("root"))
 
-    marks = signed_only.select("uid", "signature", "sketch")
+    marks = signed_only.select("uid", "signature", "sketch", "n_shingles")
     rest = with_root(members.where("n > 2"))
     sizes = settle(_sizes(rest, "key"))
     many = "n_main + n_rest > {0} and n_rest > {0} / 2".format(GROUP)
@@ -384,7 +389,7 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def _grouped(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Settled rows of ``signed`` that have words, with the ``root`` of their component."""
     classes = settle(
-        rows.where("digest is not null").groupBy("digest").agg(F.max(F.struct("signature", "sketch")).alias("x"))
+        rows.where("digest is not null").groupBy("digest").agg(F.max(F.struct("signature", "sketch", "n_shingles")).alias("x"))
         .select("digest", "x.*")
         .withColumn("uid", F.monotonically_increasing_id())
     )

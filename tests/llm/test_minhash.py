@@ -118,3 +118,22 @@ def test_signatures_agree_as_the_sets_do():
         x, y = minhash.shingles(words), minhash.shingles(other)
         agree.append((a == b).mean() - len(x & y) / len(x | y))
     assert abs(np.mean(agree)) < 0.03
+
+
+@pytest.mark.parametrize("size", [30, 150, 600, 3000])
+def test_sketches_lose_no_similar_pair(size):
+    random.seed(size)
+    for _ in range(60):
+        words = [str(random.randrange(10**9)).encode() for _ in range(size + 4)]
+        other = list(words)
+        a = minhash.shingle_hashes(words)
+        while True:  # as many edits as the similarity allows
+            edited = list(other)
+            edited[random.randrange(len(edited))] = str(random.randrange(10**9)).encode()
+            b = minhash.shingle_hashes(edited)
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 85 * (len(a) + len(b) - both):
+                break
+            other = edited
+        b = minhash.shingle_hashes(other)
+        assert minhash.likely(minhash.sketch(a), len(a), minhash.sketch(b)[None, :], np.array([len(b)]), 85)[0]

@@ -13,13 +13,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch, instead of Spark's 10,000: texts are long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers on machines that share this folder import the package from it. On others
-    it has to be installed, or sent with the job."""
+    it has to be installed, or sent with the job. Batches of rows to Python are made small, unless
+    the session says how large they are to be."""
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

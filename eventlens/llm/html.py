@@ -34,19 +34,40 @@ BLOCK = frozenset(
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUTSIDE = frozenset("nav footer aside form button select option head dialog menu object canvas label".split())
 OUTSIDE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form".split())
+#: As a whole word of a class or an id.
 OUTSIDE_NAME = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored sponsors promo promotion banner cookie cookies "
     "consent gdpr notice notices notification popup modal newsletter subscribe subscription sidebar sidebars "
     "menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies "
     "reply share sharing social related recommended widget widgets toolbar pagination pager login signup".split()
 )
+#: Also as the first or the last part of a word, as in ``cookie-bar`` and ``site-footer``.
+OUTSIDE_PART = frozenset(
+    "ad ads advert advertisement sponsored promo banner cookie cookies gdpr popup modal newsletter subscribe sidebar "
+    "menu nav navbar navigation breadcrumb breadcrumbs footer comment comments related recommended share sharing "
+    "social widget widgets pagination pager login signup".split()
+)
+#: A word with such a part says what a page has or is about, as ``has-sidebar``, ``comments-open``, ``tag-menu``.
+STATE = frozenset(
+    "has with without no not is hide show open closed enabled disabled on off free supported layout content "
+    "category tag topic type format status".split()
+)
 #: Names that may also stand on the article as a whole, where they do not tell it from the rest.
 OUTSIDE_ARTICLE = frozenset("ad ads advert sponsored promo comment comments reply replies related teaser".split())
 HEADER_NAME = frozenset("header masthead topbar".split())
+#: Names of what stands beside the text: an element with one that holds most of a page's text is laid out so,
+#: as ``<div class='sidebar-right'>`` around all of it.
+LAYOUT_NAME = HEADER_NAME | frozenset("sidebar sidebars menu menus nav navbar navigation widget widgets toolbar banner".split())
+#: Names of what others write, often more than the text.
+OTHERS_NAME = frozenset("comment comments disqus respond replies reply related recommended teaser".split())
 
 GOOD, BAD, OPEN = 1, -1, 0
 
 
+#: Why an element is outside: it cannot be seen, its element or role tells, what its names tell, or it is a form.
+HIDDEN, PLACE, OTHERS, NAMED, LAYOUT, FORM = range(6)
+
+
 @dataclass
 class Block:
     tag: str
@@ -57,36 +78,91 @@ class Block:
     linked: int = 0
     text: str = ""
     label: int = OPEN
+    region: int = 0
+
 
+@dataclass
+class Region:
+    """An element that is outside as far as its start tag tells. The first one stands for the whole page."""
+
+    parent: int
+    reason: int | None
+    chars: int = 0
+    article: bool = False
+    outside: bool = True
 
-def _is_outside(tag: str, attributes: str, in_article: bool) -> bool:
+
+def _names(value: str, parts_too: bool, whole: frozenset[str], part: frozenset[str]) -> set[str]:
+    """The names among the words of a class or an id: those that are the whole word but for digits, and
+    with ``parts_too`` those that are its first or last part."""
+    found = set()
+    for word in value.split():
+        parts = re.findall(r"[a-z]+", word)
+        if len(parts) == 1:
+            found.update(whole.intersection(parts))
+        elif parts and parts_too and STATE.isdisjoint(parts):
+            found.update(part.intersection((parts[0], parts[-1])))
+    return found
+
+
+def _reason(tag: str, attributes: str, in_article: bool, is_main: bool) -> int | None:
+    """Why an element is outside, None if it is not."""
+    reason = None
     if tag in OUTSIDE or (tag == "header" and not in_article):
-        return True
+        reason = FORM if tag == "form" else PLACE
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return reason
     names: set[str] = set()
+    whole = OUTSIDE_NAME if in_article else OUTSIDE_NAME | HEADER_NAME
     for key, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if hidden or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return HIDDEN
         if key == "role" and value.strip() in OUTSIDE_ROLE:
-            return True
-        if key in ("class", "id"):
-            names.update(re.findall(r"[a-z]+", value))
-    if tag in ("html", "body", "main"):
-        return False
-    if tag == "article":
-        return bool(names & OUTSIDE_ARTICLE)
-    return bool(names & OUTSIDE_NAME) or (not in_article and bool(names & HEADER_NAME))
+            reason = FORM if value.strip() == "form" and reason is None else PLACE if value.strip() != "form" else reason
+        if key not in ("class", "id") or is_main or tag in ("html", "body") or (key == "id" and tag in HEADING):
+            continue
+        if tag == "article":
+            names |= _names(value, key == "class", OUTSIDE_ARTICLE, OUTSIDE_ARTICLE)
+        else:  # ids of sections, and of all parts of an article, are often made from their titles
+            made = key == "id" and (in_article or tag == "section")
+            names |= _names(value, not made, whole, OUTSIDE_PART if in_article else OUTSIDE_PART | HEADER_NAME)
+    if reason == PLACE or not names:
+        return reason
+    return OTHERS if names & OTHERS_NAME else LAYOUT if names <= LAYOUT_NAME else NAMED
+
+
+def _place(blocks: list[Block], regions: list[Region]) -> None:
+    """Settles which blocks are outside. A form, an element with a layout's name, or one with another name in which
+    an article starts, is not outside if it holds more than half of the text that is not outside by
+    any other reason: then it holds the page."""
+    def counts(b: Block) -> bool:
+        return regions[b.region].reason not in (HIDDEN, PLACE)
+
+    for b in blocks:
+        if counts(b):
+            regions[b.region].chars += b.chars
+    for r in reversed(regions[1:]):
+        regions[r.parent].chars += r.chars
+        regions[r.parent].article |= r.article
+    regions[0].outside = False
+    for r in regions[1:]:
+        holds = r.reason in (FORM, LAYOUT) or (r.reason == NAMED and r.article)
+        r.outside = regions[r.parent].outside or not holds or 2 * r.chars <= regions[0].chars
+    for b in blocks:
+        b.outside = regions[b.region].outside
+        b.in_article = b.in_article and not b.outside
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order: text between starts and ends of block elements, references decoded
     and white space made one space, with what their place in the page says of them. Markup that is
-    not closed ends where its parent ends; a block element closes an open paragraph."""
+    not closed ends where its parent ends; a block element closes an open paragraph. A ``main`` is outside only
+    if it cannot be seen, whatever it stands in; an ``article`` is not outside because of a form."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, in article, in link
-    outside = in_article = in_link = False
+    regions = [Region(0, None)]
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, region, in article, in link
+    region, in_article, in_link = 0, False, False
     block = Block("", False, False)
 
     def add(raw: str) -> None:
@@ -103,16 +179,33 @@ def blocks_of(html: str) -> list[Block]:
                 block.chars = len(block.text)
                 found.append(block)
         tag = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")
-        block = Block(tag, in_article, outside)
+        block = Block(tag, in_article, False, region=region)
 
     def state() -> None:
-        nonlocal outside, in_article, in_link
-        _, outside, in_article, in_link = stack[-1] if stack else ("", False, False, False)
+        nonlocal region, in_article, in_link
+        _, region, in_article, in_link = stack[-1] if stack else ("", 0, False, False)
 
     def close(k: int) -> None:
         del stack[k:]
         state()
 
+    def enter(tag: str, rest: str, is_main: bool) -> int:
+        """The region inside a start tag."""
+        at, reason = region, _reason(tag, rest, in_article, is_main)
+        if regions[at].reason == HIDDEN:
+            return at
+        if is_main:
+            at = 0
+        if tag == "article":
+            while regions[at].reason == FORM:
+                at = regions[at].parent
+            regions[at].article |= not in_article and reason is None
+        # nothing inside of an outside place is judged again, nor a form in a form
+        if reason is None or (reason != HIDDEN and regions[at].reason in (PLACE, reason if reason == FORM else PLACE)):
+            return at
+        regions.append(Region(at, reason))
+        return len(regions) - 1
+
     at, end = 0, len(html)
     while at < end:
         match = TOKEN.search(html, at)
@@ -128,7 +221,7 @@ def blocks_of(html: str) -> list[Block]:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if k >= 0:
                 close(k)
-            if tag in BLOCK or (k >= 0 and outside != block.outside):
+            if tag in BLOCK or (k >= 0 and region != block.region):
                 finish()
             continue
         if tag in RAW:
@@ -150,14 +243,15 @@ def blocks_of(html: str) -> list[Block]:
             if tag in BLOCK:
                 finish()
             continue
-        is_outside = outside or _is_outside(tag, rest, in_article)
-        is_article = in_article or tag in ("article", "main") or re.search(r"role\s*=\s*['\"]?main\b", rest, re.I) is not None
-        changed = is_outside != outside
-        stack.append((tag, is_outside, is_article and not is_outside, in_link or tag == "a"))
+        is_main = tag == "main" or re.search(r"role\s*=\s*['\"]?main\b", rest, re.I) is not None
+        inner = enter(tag, rest, is_main)
+        changed = inner != region
+        stack.append((tag, inner, in_article or is_main or tag == "article", in_link or tag == "a"))
         state()
         if tag in BLOCK or changed:
             finish()
     finish()
+    _place(found, regions)
     return found
 
 

@@ -48,6 +48,45 @@ def test_pages(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    (f"<body><form id='form1' runat='server'><nav>{LONG}</nav><div><p>{LONG}</p></div></form></body>", LONG),
+    (f"<form id='form1'><div><main><p>{LONG}</p></main></div></form>", LONG),
+    (f"<div><p>{LONG}</p></div><form><article><p>{LONG}</p></article></form>", LONG),
+    (f"<main><form runat='server'><p>{LONG}</p></form></main>", LONG),
+    (f"<form><div class='comments'><p>{LONG}</p></div><p>{LONG}</p><form><p>{LONG}</p></form></form>", f"{LONG}\n{LONG}"),
+    (f"<div class='content-sidebar-wrap'><main><p>{LONG}</p></main></div>", LONG),
+    (f"<div id='page' class='has-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='with-menu'><p>{LONG}</p></div>", LONG),
+    (f"<div class='sidebar-right'><article><p>{LONG}</p></article><div class='widget'>{LONG}</div></div>", LONG),
+    (f"<div class='page sidebar-right'><p>{LONG}</p><p>{LONG}</p><ul class='menu'><li>{LONG}</ul></div>", f"{LONG}\n{LONG}"),
+    (f"<div class='promo'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<nav><main><p>{LONG}</p></main></nav><div role='main' class='menu'><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    (f"<article class='post comments-open category-related'><p>{LONG}</p></article>", LONG),
+    (f"<article><h2 id='related'>Of it</h2><section id='related-work'><p>{LONG}</p></section></article>", f"Of it\n{LONG}"),
+    (f"<section id='social-life'><h2 id='notice'>Of it</h2><p>{LONG}</p></section>", f"Of it\n{LONG}"),
+])
+def test_marks_that_hold_the_page_do_not_lose_it(html, text):
+    assert main_text(html) == text
+
+
+@pytest.mark.parametrize("html", [
+    f"<article><p>{LONG}</p><form class='newsletter'><p>{LONG}</p></form></article>",
+    f"<article><p>{LONG}</p></article><div id='comments'><article><p>{LONG}</p></article><article>{LONG}</article></div>",
+    f"<p>{LONG}</p><div class='site-footer'>{LONG}</div><div id='sidebar2'>{LONG}</div><p class='ad_slot'>{LONG}</p>",
+    f"<div hidden><main><p>{LONG}</p></main></div><p>{LONG}</p>",
+    f"<article><p>{LONG}</p></article><article class='comment-body'><p>{LONG}</p></article>",
+    f"<div class='related'><article>{LONG}</article><article>{LONG}</article></div><p>{LONG}</p>",
+    f"<p>{LONG}</p><aside><form><p>{LONG}</p><p>{LONG}</p></form></aside>",
+])
+def test_marked_parts_stay_outside(html):
+    assert main_text(html) == LONG
+
+
+def test_many_marks_in_each_other():
+    assert main_text("<div class='menu'>" * 3000 + LONG) == LONG
+    assert main_text("<form><div class='menu'>" * 1500 + LONG + "<nav>" * 1500 + LONG) == LONG
+
+
 def labels(*blocks):
     made = [Block(tag, in_article, outside, text=t, chars=len(t)) for t, tag, in_article, outside in blocks]
     decide(made)

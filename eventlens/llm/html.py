@@ -74,6 +74,7 @@ class Block:
     in_article: bool
     outside: bool
     parts: list[str] = field(default_factory=list)
+    links: list[str] = field(default_factory=list)
     chars: int = 0
     linked: int = 0
     text: str = ""
@@ -169,14 +170,17 @@ def blocks_of(html: str) -> list[Block]:
         if raw:
             block.parts.append(raw)
             if in_link:
-                block.linked += len(raw.strip())
+                block.links.append(raw)
+
+    def plain(parts: list[str]) -> str:
+        return " ".join(unescape("".join(parts)).split())
 
     def finish() -> None:
         nonlocal block
         if block.parts:
-            block.text = " ".join(unescape("".join(block.parts)).split())
+            block.text = plain(block.parts)
             if block.text:
-                block.chars = len(block.text)
+                block.chars, block.linked = len(block.text), len(plain(block.links))
                 found.append(block)
         tag = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")
         block = Block(tag, in_article, False, region=region)

@@ -87,6 +87,17 @@ def test_many_marks_in_each_other():
     assert main_text("<form><div class='menu'>" * 1500 + LONG + "<nav>" * 1500 + LONG) == LONG
 
 
+@pytest.mark.parametrize("link", [
+    "".join(f"&#{ord(c)};" for c in "Привет"), "&eacute;&amp;&eacute;&amp;&eacute;", "one" + "\n" + " " * 60 + "two",
+])
+def test_linked_characters_are_counted_as_they_are_read(link):
+    text = " ".join(unescape(link).split())
+    block, = blocks_of(f"<p>{LONG} <a href='x'>\n  {link}\n</a> of it.</p>")
+    assert block.linked == len(text) and block.chars == len(block.text)
+    assert main_text(f"<article><p>{LONG} <a href='x'>{link}</a> of it.</p></article>") == f"{LONG} {text} of it."
+    assert main_text(f"<p>{LONG}</p><p><a href='x'>{link * 9}</a></p><p>{LONG}</p>") == f"{LONG}\n{LONG}"
+
+
 def labels(*blocks):
     made = [Block(tag, in_article, outside, text=t, chars=len(t)) for t, tag, in_article, outside in blocks]
     decide(made)

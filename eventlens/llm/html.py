@@ -262,22 +262,46 @@ def blocks_of(html: str) -> list[Block]:
 def decide(
     blocks: list[Block], short: int = 12, frequent: float = 0.12, linked: float = 0.35,
 ) -> None:
-    """Labels blocks. First pass, each block alone: parts of the page outside the article and blocks of
-    links are bad; long blocks with frequent words are good, and so are long blocks of an article
-    without them (a language or a notation that the list does not know). What is short stays open, and so
-    does what is long without frequent words outside an article. Second pass: an open block takes
-    the label of the nearest decided block before and after it; if they differ, of the nearer by
-    blocks, and at equal distance the good one for headings and in an article, else the bad one.
-    Within an article only its own blocks count as neighbours; an article without a decided block,
-    or a page without any article and good block, keeps its open blocks."""
-    articles = any(b.in_article and not b.outside for b in blocks)
+    """Labels blocks. First pass, each block alone: parts of the page that are outside and blocks of links are bad;
+    long blocks with frequent words are good. What is short or without frequent words stays open.
+
+    Then the article is looked at: if it has at least as much good text as the rest of the page (or, on a
+    page without any, at least as much long text), what is not in it is bad; else the rest is judged as it
+    is. An article without any good block has its long blocks good (a language or a notation
+    that the list does not know).
+
+    Second pass: an open block takes the label of the nearest decided block before and after it; if they
+    differ, of the nearer by blocks, and at equal distance the good one for headings and in an article,
+    else the bad one. Within an article only its own blocks count as neighbours; an article without
+    a decided block, or a page without any good block, keeps its open blocks, and so does a page
+    without frequent words whose text is not in its article."""
+    size = {True: 0, False: 0}  # of good text, in an article or not
+    rest = {True: 0, False: 0}  # of other long text
+    long_open = []
     for b in blocks:
         words = b.text.split()
         known = sum(w.strip(".,;:!?\"'()").lower() in FREQUENT for w in words)
-        if b.outside or (articles and not b.in_article) or b.linked > linked * b.chars:
+        if b.outside or b.linked > linked * b.chars:
             b.label = BAD
-        elif len(words) >= short and (b.in_article or known >= frequent * len(words)):
-            b.label = GOOD
+        elif len(words) >= short:
+            if known >= frequent * len(words):
+                b.label = GOOD
+                size[b.in_article] += b.chars
+            else:
+                rest[b.in_article] += b.chars
+                long_open.append(b)
+    unknown = not any(size.values())
+    weight = rest if unknown else size
+    inside = any(b.in_article and not b.outside for b in blocks)
+    exclusive = inside and weight[True] >= weight[False]
+    if inside and not size[True]:
+        for b in long_open:
+            if b.in_article:
+                b.label = GOOD
+    if exclusive:
+        for b in blocks:
+            if not b.in_article:
+                b.label = BAD
     first = [b.label for b in blocks]
     for i, b in enumerate(blocks):
         if first[i] != OPEN:
@@ -299,7 +323,7 @@ def decide(
             (d1, l1), (d2, l2) = near["before"], near["after"]
             lean = GOOD if b.in_article or (b.tag in HEADING and l2 == GOOD) else BAD
             b.label = l1 if d1 < d2 else l2 if d2 < d1 else lean
-    if not any(b.label == GOOD for b in blocks):
+    if not any(b.label == GOOD for b in blocks) or (unknown and inside and not exclusive):
         for b, label in zip(blocks, first):
             if label == OPEN:
                 b.label = GOOD

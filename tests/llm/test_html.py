@@ -98,6 +98,28 @@ def test_linked_characters_are_counted_as_they_are_read(link):
     assert main_text(f"<p>{LONG}</p><p><a href='x'>{link * 9}</a></p><p>{LONG}</p>") == f"{LONG}\n{LONG}"
 
 
+STRANGE = "zxq vbn " * 20
+
+
+@pytest.mark.parametrize("html, text", [
+    # the body in plain elements, and a card or a remark in the only article
+    (f"<div>{LONG}</div><div>Short.</div><div>{LONG}</div><article><h3>More</h3><p>A card.</p></article>",
+     f"{LONG}\nShort.\n{LONG}\nMore\nA card."),
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>{LONG}</p></article>", "\n".join([LONG] * 3)),
+    (f"<p>{LONG}</p><article><p>{STRANGE}</p></article><nav>{LONG}</nav>", f"{LONG}\n{STRANGE.strip()}"),
+    (f"<nav>{LONG}</nav><p>{STRANGE}</p><p>vbn</p><p>{STRANGE}</p><nav>{LONG}</nav><article><p>zxq</p></article>",
+     f"{STRANGE.strip()}\nvbn\n{STRANGE.strip()}\nzxq"),
+    # the article holds the text: the rest goes
+    (f"<p>{LONG}</p><article><p>{LONG}</p><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<p>Words of a site.</p><article><p>{STRANGE}</p></article>", STRANGE.strip()),
+    # frequent words decide in an article, too
+    (f"<article><p>{LONG}</p><p><a href='x'>{LONG}</a></p><p>{STRANGE}</p><p><a href='x'>{LONG}</a></p></article>", LONG),
+    (f"<article><p>{LONG}</p><p>{STRANGE}</p><p>{LONG}</p></article>", f"{LONG}\n{STRANGE.strip()}\n{LONG}"),
+])
+def test_an_article_is_evidence_beside_words_and_links(html, text):
+    assert main_text(html) == text
+
+
 def labels(*blocks):
     made = [Block(tag, in_article, outside, text=t, chars=len(t)) for t, tag, in_article, outside in blocks]
     decide(made)

@@ -130,11 +130,24 @@ def sample(labels: DataFrame, learn: Column, most: int) -> DataFrame:
     return usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
 
 
+def examples(docs: DataFrame, labels: DataFrame, learn: Column, most: int) -> DataFrame:
+    """text and quality, one row for each sampled label: of several texts with a sampled id the one of the least
+    hash, null last. Texts are reduced before the shuffle, so an id that very many rows have is no load."""
+    chosen = sample(labels, learn, most).withColumnRenamed("doc_id", "_id")
+    wanted = F.broadcast(chosen.select("_id").distinct())
+    texts = (
+        docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id")
+        .agg(F.min(F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")).alias("_least"))
+        .select("doc_id", "_least.text")
+    )
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "quality")
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, most: int = 6000, buckets: int = 1 << 17,
 ) -> tuple[np.ndarray, float]:
-    """Learns from ``most`` labelled documents, which is the bound of the one task that trains; whole texts
-    of them. ``learn`` says which rows of ``labels`` may be learned from."""
+    """Learns from ``most`` labelled documents, which is the bound of the one task that trains; one whole text
+    of each. ``learn`` says which rows of ``labels`` may be learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -146,11 +159,7 @@ def fit(
             [pa.array([logits.astype("<f4").tobytes()]), pa.array([bias])], ["logits", "bias"]
         )
 
-    chosen = F.broadcast(sample(labels, learn, most).withColumnRenamed("doc_id", "_id"))
-    rows = (
-        docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
-        .select("text", "quality").repartition(1).sortWithinPartitions(F.xxhash64("text"), "quality")
-    )
+    rows = examples(docs, labels, learn, most).repartition(1).sortWithinPartitions(F.xxhash64("text"), "quality")
     model = rows.mapInArrow(run, "logits binary, bias double").first()
     if model is None:
         return np.zeros(buckets, np.float32), 0.0

@@ -33,6 +33,19 @@ def test_held_out_labels_are_not_learned(spark):
     assert subword.sample(labels, ~held_out, 7).count() == 7
 
 
+def test_a_repeated_document_is_learned_once(spark):
+    rows = [(1, f"text {i}") for i in range(200)] + [(1, None), (2, "two"), (3, None), (4, "four"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (9, 1), (None, 1)], "doc_id long, quality int")
+    hashes = docs.where("doc_id = 1 and text is not null").select(F.xxhash64("text").alias("h"), "text").collect()
+    found = subword.examples(docs.repartition(5), labels, F.lit(True), 50).collect()
+    wanted = [(min(hashes)["text"], 1), ("two", 0), ("two", 1), (None, 0)]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))
+    model = subword.fit(docs, labels, F.lit(True))
+    once = subword.fit(spark.createDataFrame([(1, wanted[0][0]), *rows[201:]], docs.schema), labels, F.lit(True))
+    assert (model[0] == once[0]).all() and model[1] == once[1]
+
+
 def test_features():
     assert len(subword.buckets_of(None, 1000)) == len(subword.buckets_of(" \n", 1000)) == 0
     one = sorted(subword.buckets_of("ab cab", 1 << 17))

@@ -23,34 +23,51 @@ def uniform(*parts: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
 
 
+def with_sums(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """Settled rows with each of ``sums`` over the rows before them in ``order``. Rows are dealt to ranges of the
+    order; one window runs over the ranges, which are as many as a shuffle has partitions, and one
+    within each range, so no task gets all rows."""
+    dealt = settle(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = F.broadcast(
+        dealt.groupBy(F.col("_range").alias("_at")).agg(*[F.sum(x).alias(f"_all{n}") for n, x in sums.items()])
+        .select("_at", *[F.coalesce(F.sum(f"_all{n}").over(earlier), F.lit(0)).alias(f"_all{n}") for n in sums])
+    )
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = {n: F.coalesce(F.sum(x).over(own), F.lit(0)) for n, x in sums.items()}
+    kept = [c for c in dealt.columns if c != "_range"]
+    return (
+        dealt.select("*", *[x.alias(n) for n, x in within.items()]).join(ranges, F.col("_range") == F.col("_at"))
+        .select(*kept, *[(F.col(n) + F.col(f"_all{n}")).alias(n) for n in sums])
+    )
+
+
 def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
     """From ``source``, ``source_size``: adds ``target``, the words each source gives to a mix that is
     as large as all sources together. Weights go round the sources by code point, null last; no target
     passes ``most`` times its source, and what is above goes to the others by weight.
 
     With c = most * size / weight, sources of the smallest c are capped; the level at which the rest
-    share is found by two running sums over the sources, which are as many as there are sources."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
+    share is found by running sums over ranges of the sources, and is one number."""
+    by_name = [F.col("source").isNull(), F.col("source")]
+    place = F.pmod(F.col("_place"), F.lit(len(weights)))
     weight = F.element_at(F.array([F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
-    by_cap = Window.orderBy("_c", F.col("source").isNull(), "source")
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy(F.lit(1))
-    level = (
-        (F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0))).cast("double")
-        / F.sum("_w").over(rest)
+    weighed = settle(
+        with_sums(sources, by_name, {"_place": F.lit(1)})
+        .withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(most))
+        .withColumn("_c", F.col("_cap") / F.col("_w")).drop("_place")
     )
-    return (
-        sources.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(most))
-        .withColumn("_c", F.col("_cap") / F.col("_w"))
-        .withColumn("_level", level)
-        # the level holds from the first source on whose cap is above it
-        .withColumn("_free", F.min(F.when(F.col("_level") <= F.col("_c"), F.col("_c"))).over(whole))
-        .withColumn("_share", F.max(F.when(F.col("_c") == F.col("_free"), F.col("_level"))).over(whole))
-        .withColumn("target", F.least(F.col("_cap").cast("double"), F.col("_w") * F.col("_share")))
-        .select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
+    whole = weighed.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("weight")).first()
+    level = (F.lit(whole["size"]) - F.col("_capped")).cast("double") / (F.lit(whole["weight"]) - F.col("_passed"))
+    # the level holds from the first source on whose cap is above it
+    free = (
+        with_sums(weighed, [F.col("_c"), *by_name], {"_capped": F.col("_cap"), "_passed": F.col("_w")})
+        .withColumn("_level", level).where("_level <= _c").agg(F.min(F.struct("_c", -F.col("_level"))).alias("x")).first()
     )
+    share = F.lit(-free["x"][1] if free["x"] else None).cast("double")
+    # without a level, least() leaves the caps
+    return weighed.withColumn("target", F.least(F.col("_cap").cast("double"), F.col("_w") * share)).select(
+        "source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
 def mix(

@@ -35,6 +35,33 @@ def test_targets(spark, seed):
     assert found == pytest.approx(level(sizes, weights, 3), abs=1e-6)
 
 
+def test_many_sources_are_ranked_in_ranges(spark, monkeypatch):
+    random.seed(7)
+    sizes = {**{f"host{i}": random.choice([0, 1, 5, 100, 1000, 10_000]) for i in range(2000)}, None: 77}
+    names = sorted(x for x in sizes if x) + [None]
+    weights = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3)
+    dealt = []
+
+    def settle(df, keep=mixing.settle):
+        kept = keep(df)
+        if "_range" in kept.columns:
+            dealt.append([r["count"] for r in kept.groupBy("_range").count().collect()])
+        return kept
+
+    monkeypatch.setattr(mixing, "settle", settle)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {r["source"]: r["target"] for r in mixing.targets(sources).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == pytest.approx(level(sizes, weights, 3), abs=1e-6)
+    assert len(dealt) == 2 and all(sum(n) == 2001 and max(n) < 600 for n in dealt)
+
+
 def test_mix_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.mix(docs).collect()

@@ -1,0 +1,118 @@
+"""Each stage of the pipeline, and all of it, on a whole table against plain Python."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import test_minhash
+import test_mixing
+import test_packing
+
+import corpus_pipeline
+from eventlens.llm import rules, tokens
+from eventlens.llm.common import settle
+
+SF = "/root/testdata/sf0.001"
+SPACE = r"[^\x20\x09-\x0D]+"
+
+
+def repeated_words(words):
+    windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
+    times = Counter(windows)
+    return len({j for i, w in enumerate(windows) if times[w] > 1 for j in range(i, i + 8)})
+
+
+def judged(rows):
+    """Votes are the rules' own, one text at a time; the base counts are counted here."""
+    codes = [rules.votes(rules.measure(r["text"])[1]) for r in rows]
+    counted = sorted(Counter(codes).items())
+    quality = dict(zip((c for c, _ in counted), rules.estimate(*map(np.array, zip(*counted)))))
+    for r, code in zip(rows, codes):
+        words = re.findall(SPACE, r["text"] or "")
+        if len(words) >= 20 and 100 * repeated_words(words) <= 30 * len(words) and quality[code] >= 0.5:
+            yield r
+
+
+def one_of_each(rows):
+    roots = test_minhash.brute([(r["doc_id"], r["text"]) for r in rows], 80)
+    return [r for r in rows if roots[r["doc_id"]][1] == r["doc_id"]]
+
+
+def without_repeats(rows, length=200):
+    data = [r["text"].encode() for r in rows]
+    windows = Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
+    for r, d in zip(rows, data):
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if windows[d[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        text = bytes(b for b, g in zip(d, gone) if not g).decode("utf-8", "ignore")
+        yield {**r, "text": text, "n_chars": len(text)}
+
+
+def mixed(rows):
+    size = {r["doc_id"]: len(re.findall(SPACE, r["text"])) for r in rows}
+    sources = {}
+    for r in rows:
+        sources.setdefault(r["source"], []).append(r)
+    names = sorted(sources)
+    sizes = {s: sum(size[r["doc_id"]] for r in sources[s]) for s in names}
+    targets = test_mixing.level(sizes, {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}, 3)
+    for s in names:
+        expected = targets[s] / sizes[s]
+        whole, part = math.floor(expected), expected % 1
+        rest, done = targets[s] - whole * sizes[s], 0
+
+        def chance(r):
+            text = hashlib.md5(r["text"].encode()).hexdigest()
+            return int(hashlib.md5(f"mix|{r['doc_id']}|{text}".encode()).hexdigest()[:12], 16)
+
+        for r in sorted(sources[s], key=chance):
+            more = part > 0 and done + size[r["doc_id"]] / 2 <= rest
+            done += size[r["doc_id"]]
+            yield from [r] * ((whole + more) if size[r["doc_id"]] else 0)
+
+
+CHAIN = [judged, one_of_each, without_repeats, mixed]
+
+
+@pytest.fixture(scope="module")
+def wanted(spark):
+    """What each stage but the last gives, the table first."""
+    rows = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert len({r["doc_id"] for r in rows}) == len(rows) and all(r["source"] for r in rows)
+    found = [rows]
+    for stage in CHAIN:
+        found.append(list(stage(found[-1])))
+    return found
+
+
+def plain(rows):
+    return sorted((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows)
+
+
+def packed(rows):
+    return sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+
+
+@pytest.mark.parametrize("k", range(len(CHAIN)))
+def test_each_stage(spark, wanted, k):
+    docs = spark.createDataFrame(wanted[k], spark.read.parquet(f"{SF}/documents.parquet").schema).repartition(3)
+    found = plain(settle(corpus_pipeline.STAGES[k][1](spark, docs, SF)).collect())
+    assert found == plain(wanted[k + 1])
+    assert found != plain(wanted[k])
+
+
+def test_the_whole_pipeline(spark, wanted, vocabulary):
+    rows = [(r["doc_id"], r["text"]) for r in wanted[-1]]
+    found = corpus_pipeline.run(spark, SF).collect()
+    assert packed(found) == test_packing.pieces(rows, tokens.word_ids(vocabulary), 4096)
+    sequences = {}
+    for r in found:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        ends = [0, *(offset + length for offset, length in sorted(places))]
+        assert [offset for offset, _ in sorted(places)] == ends[:-1] and ends[-1] <= 4096

@@ -96,8 +96,51 @@ FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id
 WHERE rank <= 20
 """
 
+RESAMPLED = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS t
+),
+d AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+m AS (SELECT unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+w AS (SELECT doc_id, unnest(words) AS word FROM d),
+known AS (SELECT word, hex(word) AS h FROM (SELECT word FROM w UNION SELECT word FROM m)),
+b AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2),
+      lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM known, crc
+),
+s AS (SELECT bucket, count(*) AS n FROM w JOIN b USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM m JOIN b USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (a.s + 10000) AS DOUBLE)
+    / CAST((s.n + 1) * (a.t + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket),
+    (SELECT (SELECT count(*) FROM w) AS s, (SELECT count(*) FROM m) AS t) a
+),
+f AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN b USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(
+      sha256(concat('2024:', CAST(doc_id AS VARCHAR))), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM d LEFT JOIN f USING (doc_id)
+),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op6_near_duplicates": NEAR_DUPLICATES,
     "op9_mixing": MIXING,
     "op10_top_k": TOP_K,
+    "op11_resampling": RESAMPLED,
 }

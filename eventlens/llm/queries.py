@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventlens.llm import html, language, minhash, mixing, packing, parsing, rules, search, subword, tokens
+from eventlens.llm import (
+    html, language, minhash, mixing, packing, parsing, resample, rules, search, subword, tokens,
+)
 from eventlens.llm.common import table
 
 
@@ -55,6 +57,10 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_counts": token_counts,
     "op2_suffix_array_dedup": without_repeats,
@@ -66,4 +72,5 @@ QUERIES = {
     "op8_best_fit_packing": packed,
     "op9_mixing": mixed,
     "op10_top_k": neighbours,
+    "op11_resampling": resampled,
 }

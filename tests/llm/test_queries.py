@@ -21,7 +21,7 @@ ROOT = Path(__file__).resolve().parents[2]
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -35,7 +35,7 @@ def test_sql(spark, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:q.index("_")]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:q.index("_")]) for q in QUERIES) == list(range(1, 12))
 
 
 def test_stages(spark):

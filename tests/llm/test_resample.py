@@ -1,0 +1,94 @@
+"""Weights, scores and ranks against plain Python, and the radix sort against sorted()."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import pytest
+from conftest import ODD
+
+from eventlens.llm import resample
+from eventlens.llm.common import settle
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def features(text, longest, n):
+    words = WORDS.findall((text or "").translate(LOWER))
+    return len(words), [zlib.crc32(" ".join(words[i:i + k]).encode()) % n
+                        for k in range(1, longest + 1) for i in range(len(words) - k + 1)]
+
+
+def brute(docs, target, n=10_000, longest=1, least=20, percent=10, seed="2024"):
+    """Rows (doc_id, n_features, weight, score, rank) of (doc_id, text) rows, sorted."""
+    counted = [features(t, longest, n) for _, t in docs]
+    s, t = [0] * n, [0] * n
+    for _, found in counted:
+        for b in found:
+            s[b] += 1
+    for text in target:
+        for b in features(text, longest, n)[1]:
+            t[b] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + n) / ((s[b] + 1) * (sum(t) + n)))) for b in range(n)]
+    rows = []
+    for (doc_id, _), (words, found) in zip(docs, counted):
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in found)
+        rows.append([doc_id, len(found), weight,
+                     weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, words])
+    enough = sorted((r for r in rows if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for k, r in enumerate(enough[:len(enough) * percent // 100]):
+        r[4] = k + 1
+    return sorted((tuple(r[:5]) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("longest", [1, 3])
+def test_whole_table(spark, longest):
+    docs, target = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    found = resample.resampled(docs, target, longest=longest, buckets=5000)
+    assert found.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    wanted = brute(rows, [r["text"] for r in target.select("text").collect()], 5000, longest)
+    assert sorted(map(tuple, found.collect()), key=str) == wanted
+    assert any(r[4] for r in wanted)
+
+
+def test_ties_nulls_and_repeated_rows(spark, odd, nothing):
+    """Ids far apart, below zero and null, in blocks of few rows; equal rows have the next ranks in any order."""
+    random.seed(3)
+    ids = [None, None, -(2**63), 2**63 - 1, -1, 0] + random.sample(range(-(10**12), 10**12), 60) + [7] * 5
+    docs = [(i, "word " * random.choice([3, 20, 25])) for i in ids]
+    found = resample.resampled(spark.createDataFrame(docs, "doc_id long, text string"),
+                               spark.createDataFrame([("word w",), (None,)], "text string"), percent=70).collect()
+    wanted = brute(docs, ["word w", None], percent=70)
+    assert [r[:4] for r in sorted(map(tuple, found), key=str)] == [r[:4] for r in wanted]
+    by_rank = lambda rows: {r[4]: (r[0], r[3]) for r in rows if r[4]}
+    assert by_rank(found) == by_rank(wanted)
+    target = spark.createDataFrame([("the quick fox",)], "text string")
+    rows = [(r[0], r[1]) for r in ODD]
+    assert sorted(map(tuple, resample.resampled(odd, target, percent=100).collect()), key=str) == brute(
+        rows, ["the quick fox"], percent=100)
+    assert resample.resampled(nothing, target).count() == 0
+    assert resample.resampled(odd, nothing).count() == len(ODD)
+
+
+def test_radix_sort(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK", 4)  # many blocks, rows of one digit over several of them
+    monkeypatch.setattr(resample, "DIGIT", 5)
+    random.seed(5)
+    rows = [(random.choice([None, random.randrange(-5000, 5000)]), random.randrange(-900, 900)) for _ in range(700)]
+    df = settle(spark.createDataFrame(rows, "doc_id long, score long"))
+    found = sorted(resample.radix_sorted(df).collect(), key=lambda r: r["pos"])
+    assert [r["pos"] for r in found] == list(range(700))
+    assert [(r["doc_id"], r["score"]) for r in found] == sorted(
+        rows, key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+
+
+def test_a_pass_is_stable(spark):
+    rows = [(k, k * 7919 % 5) for k in range(1000)]
+    df = settle(spark.createDataFrame(rows, "pos long, d int").selectExpr("pos", "pos as was", "d"))
+    found = sorted(resample.counting_pass(df, df["d"]).collect(), key=lambda r: r["pos"])
+    assert [(r["d"], r["was"]) for r in found] == sorted((d, k) for k, d in rows)

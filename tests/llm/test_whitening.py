@@ -1,0 +1,131 @@
+"""Whitening against numpy's eigenvectors, and each exact part against another way to it."""
+
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from eventlens.llm import whitening
+from eventlens.llm.whitening import SHIFT
+
+FORM = "vec_id long, embedding array<float>, label int"
+
+
+def fixed(vectors):
+    return np.floor(64 * np.array(vectors, np.float32).astype(np.float64)).astype(np.int64) + SHIFT
+
+
+def check(rows, found, d, most=16):
+    """``rows``: (vec_id, vector) that take part. Holds every column against numpy."""
+    x = fixed([v for _, v in rows])
+    fit = np.unique(x, axis=0)
+    n, sums = len(fit), fit.sum(axis=0)
+    v = np.cov(fit.T, bias=True).reshape(d, d)
+    values, vectors = np.linalg.eigh(v)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    k = min(most, int((values > 1e-9 * values[0]).sum()))
+    by_row = {}
+    for r in found:
+        by_row.setdefault(r["vec_id"], {}).setdefault(r["component"], []).append(r)
+    assert len(found) == len(rows) * k and set(by_row) == {i for i, _ in rows}
+    assert len({r["identity_error"] for r in found}) == 1 and found[0]["identity_error"] < 1e-9
+    signs = None
+    for (i, _), row in zip(rows, x):
+        own = by_row[i]
+        assert sorted(own) == list(range(1, k + 1))
+        deviation = sum((n * int(a) - int(s)) ** 2 for a, s in zip(row, sums))
+        white = (row - sums / n) @ vectors[:, :k] / np.sqrt(values[:k])
+        got = np.array([own[c][0]["whitened"] for c in range(1, k + 1)])
+        assert all(r["deviation"] == deviation and r["n"] == n for c in own for r in own[c])
+        if signs is None:
+            signs = np.sign(white * got)
+        assert np.allclose(got * signs, white, atol=1e-5)
+    for c in range(1, k + 1):
+        share = by_row[rows[0][0]][c][0]["explained"]
+        assert share == pytest.approx(values[c - 1] / np.trace(v), rel=1e-6)
+
+
+def test_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    found = whitening.whitened(table)
+    assert found.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    check(rows, found.collect(), 64)
+
+
+def test_odd_rows(spark):
+    """Nulls, non-finite entries, other lengths, repeated rows, a null id, clashing columns, empty and constant tables."""
+    random.seed(1)
+    good = [(i, [random.gauss(0, 1) for _ in range(3)], 0) for i in range(40)]
+    bad = [(100, None, 0), (101, [1.0, None, 2.0], 0), (102, [1.0, float("nan"), 0.0], 0), (103, [float("inf")] * 3, 0),
+           (104, [1.0, 2.0], 0), (105, [], 0)]
+    rows = good + bad + [(None, good[0][1], 0), (7, good[7][1], 0)]
+    table = spark.createDataFrame([(*r, 1, "x", 0.5) for r in rows], FORM + ", n int, x string, whitened double")
+    found = [r for r in whitening.whitened(table).collect()]
+    assert sum(r["vec_id"] is None for r in found) == 3 and sum(r["vec_id"] == 7 for r in found) == 6
+    check([(i, v) for i, v, _ in good], [r for r in found if r["vec_id"] is not None and r["vec_id"] != 7] + [
+        r for r in found if r["vec_id"] == 7][:3], 3)
+    for rest in ([], [(1, [1.0, 2.0], 0)] * 3, bad[:3]):
+        assert whitening.whitened(spark.createDataFrame(rest, FORM)).count() == 0
+    huge = [(1, [1e38, 0.0], 0), (2, [-1e38, 1.0], 0), (3, [0.0, 5.0], 0)]
+    found = whitening.whitened(spark.createDataFrame(huge, FORM)).collect()
+    assert len(found) == 6 and {r["deviation"] for r in found if r["vec_id"] < 3} == {2**63 - 1}
+
+
+def test_repeated_eigenvalues(spark):
+    """The corners of a cube: all eigenvalues are equal, and any orthonormal components whiten."""
+    corners = [(k, [float(k >> j & 1) for j in range(4)], 0) for k in range(16)]
+    found = whitening.whitened(spark.createDataFrame(corners, FORM)).collect()
+    assert len(found) == 64 and all(r["explained"] == 0.25 for r in found)
+    assert found[0]["identity_error"] < 1e-12
+
+
+def test_exact_products():
+    rng = np.random.default_rng(2)
+    for top in (100, 2**21, 2**40, 2**62):
+        x = rng.integers(-top, top, (50, 3))
+        wanted = x.astype(object).T @ x.astype(object)
+        assert (whitening.products(x) == wanted).all()
+
+
+def determinant(a):
+    a, d, sign = [[Fraction(int(v)) for v in row] for row in a], len(a), 1
+    value = Fraction(1)
+    for k in range(d):
+        pivot = next((i for i in range(k, d) if a[i][k]), None)
+        if pivot is None:
+            return 0
+        if pivot != k:
+            a[k], a[pivot], sign = a[pivot], a[k], -sign
+        value *= a[k][k]
+        for i in range(k + 1, d):
+            f = a[i][k] / a[k][k]
+            a[i] = [x - f * y for x, y in zip(a[i], a[k])]
+    return value * sign
+
+
+@pytest.mark.parametrize("d", [1, 2, 5, 9])
+def test_polynomial(spark, d):
+    rng = np.random.default_rng(d)
+    b = rng.integers(-1000, 1000, (d, max(1, d - 1))).astype(object)  # a scatter that is singular from 2 on
+    a = b @ b.T
+    poly = whitening.characteristic(spark, a)
+    assert poly[d] == 1
+    for at in (0, 1, -7, 10**6):
+        assert sum(c * at**k for k, c in enumerate(poly)) == determinant(np.eye(d, dtype=int).astype(object) * at - a)
+
+
+def test_roots():
+    """(x - 3)^2 (x - 10) x: counted with multiplicity, and found from the greatest on."""
+    poly = [0, -90, 69, -16, 1]
+    assert [whitening.roots_above(poly, at) for at in (-1, 0, 2, 3, 9, 10)] == [4, 3, 3, 1, 1, 0]
+    assert whitening.greatest_roots(poly, 3, 16) == [(10, 1), (3, 2)]
+    assert whitening.greatest_roots(poly, 9, 16) == [(10, 1), (3, 2)]
+    assert whitening.greatest_roots([-6, 11, -6, 1], 2, 8) == [(3, 1), (2, 1)]  # (x - 1)(x - 2)(x - 3)
+
+
+def test_primes():
+    found = whitening.primes_below(2**31, 50)
+    assert found[0] == 2**31 - 1 and len(set(found)) == 50 and found == sorted(found, reverse=True)
+    assert all(pow(2, p - 1, p) == 1 for p in found)

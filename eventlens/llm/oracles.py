@@ -4,7 +4,7 @@ from __future__ import annotations
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-NEAR_DUPLICATES = rf"""
+COMPONENTS = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words
@@ -24,7 +24,7 @@ both_in AS (
 ),
 pairs AS (
   SELECT a, b FROM both_in JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-  WHERE 100 * shared >= 85 * (x.n_shingles + y.n_shingles - shared)
+  WHERE 100 * shared >= PERCENT * (x.n_shingles + y.n_shingles - shared)
 ),
 links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reached(doc_id, root) AS (
@@ -32,9 +32,15 @@ reached(doc_id, root) AS (
   UNION SELECT l.a, r.root FROM reached r JOIN links l ON l.b = r.doc_id
 ),
 c AS (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id)
-SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+SELECT doc_id, n_shingles, component_id FROM n JOIN c USING (doc_id)
 """
 
+NEAR_DUPLICATES = f"""
+SELECT *, doc_id = component_id AS kept FROM ({COMPONENTS.replace("PERCENT", "85")})
+"""
+
+SIMILAR = COMPONENTS.replace("PERCENT", "80")
+
 MIXING = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
@@ -143,4 +149,5 @@ ORACLES: dict[str, str] = {
     "op9_mixing": MIXING,
     "op10_top_k": TOP_K,
     "op11_resampling": RESAMPLED,
+    "op12_ngram_join": SIMILAR,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventlens.llm import (
-    html, language, minhash, mixing, packing, parsing, resample, rules, search, subword, tokens, whitening,
+    html, jaccard, language, minhash, mixing, packing, parsing, resample, rules, search, subword, tokens, whitening,
 )
 from eventlens.llm.common import table
 
@@ -61,6 +61,10 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -77,5 +81,6 @@ QUERIES = {
     "op9_mixing": mixed,
     "op10_top_k": neighbours,
     "op11_resampling": resampled,
+    "op12_ngram_join": similar,
     "op13_whitening": whitened,
 }

@@ -1,0 +1,114 @@
+"""Components of the join against all pairs, on one task's clusters and on clusters that are dealt out."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import ODD
+from test_minhash import brute, copies
+
+from eventlens.llm import clusters, jaccard
+
+
+def check(spark, rows, percent=80):
+    found = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), percent)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute(rows, percent)
+
+
+def test_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 3000)  # many chunks, and copies in several of them
+    monkeypatch.setattr(jaccard, "SHARD", 2000)
+    check(spark, copies(1, 12, 14, 6))
+    check(spark, copies(2, 5, 30, 9), 60)
+
+
+@pytest.mark.parametrize("part", [4_000, 30_000])
+def test_large_clusters_are_dealt(spark, monkeypatch, part):
+    """Two groups that share a passage, each beyond a task's size: held against a centre, then block by block."""
+    monkeypatch.setattr(clusters, "PART", part)
+    monkeypatch.setattr(clusters.links_in_clusters, "__defaults__", (part,))
+    rows = copies(9, 2, 50, 14)
+    check(spark, rows)
+
+
+def test_texts_of_shared_lines(spark):
+    """Every shingle is in many texts, so no prefix is made of rare ones alone."""
+    random.seed(4)
+    lines = [" ".join(f"w{random.randrange(10**6)}" for _ in range(12)) for _ in range(30)]
+    check(spark, [(i, " ".join(random.sample(lines, 6) if i % 3 else random.sample(lines[:8], 7))) for i in range(150)])
+
+
+def test_short_and_odd_texts(spark, odd, nothing):
+    check(spark, [(1, "a b c"), (2, "A  b\tC"), (3, "a b c d"), (4, ""), (5, None), (6, " \n"), (7, "a b c d e"),
+                  (8, "É x y z w v"), (9, "é x y z w v"), (10, "a b c d e a b c d e a b c d e"), (11, "a\u0085b c"),
+                  (12, "a b c d e"), (13, "a b c d e f g h i j k l m n"), (14, "a b c d e f g h i j k l m n o")])
+    found = sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard.joined(odd).collect())
+    assert len(found) == len(ODD) and found.count(("1", 1)) == 2 and found.count(("None", None)) == 2
+    assert jaccard.joined(nothing).count() == 0
+
+
+def test_the_prefix_of_least_cost_is_taken(spark):
+    rows = copies(8, 3, 20, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = jaccard.repeated(docs, 80).where("may_link").selectExpr("digest AS _digest").distinct()
+    classes = jaccard._classes(docs, wanted).cache()
+    sets = {r["uid"]: np.frombuffer(r["tokens"], np.uint64).tolist() for r in classes.collect()}
+    df = {}
+    for s in sets.values():
+        for t in s:
+            df[t] = df.get(t, 0) + 1
+    found = {}
+    for r in jaccard.prefixes(classes, 80).collect():
+        found.setdefault(r["uid"], (r["more"], set()))[1].add(r["key"] % 2**64)
+    longer = 0
+    for uid, s in sets.items():
+        n, least = len(s), -(-80 * len(s) // 100)
+        lists = np.cumsum(sorted(df[t] - 1 for t in s))
+        costs = {m: lists[n - least + m - 1] * (1 + n / m) for m in range(1, min(jaccard.MOST, least) + 1)}
+        costs = {m: c for m, c in costs.items() if c}  # without a shared token in the prefix there is no pair
+        if uid in found:
+            more, prefix = found[uid]
+            assert costs[more] == min(costs.values())
+            assert len(prefix) == sum(d > 1 for d in sorted(df[t] for t in s)[:n - least + more])
+            longer += more > 1
+    assert longer > 30
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Of any two that link, the prefixes share as many tokens as the shorter lengthening asks for."""
+    rows = copies(21, 6, 12, 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = jaccard.repeated(docs, 80).where("may_link").selectExpr("digest AS _digest").distinct()
+    classes = jaccard._classes(docs, wanted).cache()
+    sets = {r["uid"]: set(np.frombuffer(r["tokens"], np.uint64).tolist()) for r in classes.collect()}
+    found = {}
+    for r in jaccard.prefixes(classes, 80).collect():
+        found.setdefault(r["uid"], (r["more"], set()))[1].add(r["key"] % 2**64)
+    n_links = 0
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * len(sets[a] | sets[b]):
+                n_links += 1
+                assert len(found[a][1] & found[b][1]) >= min(found[a][0], found[b][0])
+    assert n_links > 50
+
+
+def test_a_part_gives_a_forest():
+    """Five equal rows and one of another root that they are like: five links join the six, and none more."""
+    tokens = np.arange(10, dtype=np.uint64)
+    table = pa.table({"n": [10] * 6, "more": [1] * 6, "tokens": [tokens.tobytes()] * 6, "prefix": [[0, 1, 2]] * 6})
+    links = jaccard.decide(80)(table, np.arange(6), np.zeros(6, int))
+    assert len(links) == 5
+    assert jaccard.decide(80)(table, np.zeros(6, int), np.zeros(6, int)) == []
+    assert {x for link in jaccard.decide(80)(table, np.arange(6), np.array([0, 1, 1, 1, 1, 1])) for x in link} == set(range(6))
+
+
+def test_links_are_fewer_than_rows(spark):
+    rows = copies(5, 1, 80, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = jaccard.repeated(docs, 80).where("may_link").selectExpr("digest AS _digest").distinct()
+    classes = jaccard._classes(docs, wanted)
+    assert jaccard.linked(classes, 80).count() <= classes.count()

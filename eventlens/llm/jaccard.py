@@ -118,6 +118,7 @@ def _sent(docs: DataFrame, percent: int, shards: int) -> DataFrame:
 def repeated(docs: DataFrame, percent: int) -> DataFrame:
     """Settled doc_id, digest (null without words), n_shingles and ``may_link`` of every row.
 
+    Chunks of documents send their tokens to shards, packed, and shards answer chunks, packed too.
     A token that no other text has is shared with none; a text of which fewer tokens than needed are found in others
     links with none. Tokens are matched here by 32 bits within ``shards``, which may find too many, and copies
     of a text in other chunks count as others: both only leave more texts to look at."""
@@ -140,26 +141,39 @@ def repeated(docs: DataFrame, percent: int) -> DataFrame:
         again[:-1] |= same
         hit = order[again]
         hit = hit[places[hit] >= 0]
-        # one row for each document that has repeated tokens here; a chunk has one row of tokens in a shard
+        # a chunk has one row of tokens in a shard, and gets one with its documents' numbers of repeated ones
         row = np.repeat(np.arange(len(each)), each)[hit]
         found, n = np.unique(row << 32 | places[hit].astype(np.int64), return_counts=True)
-        counts = pa.table({
-            "chunk": rows["chunk"].take(pa.array(found >> 32)), "place": pa.array((found & 0xFFFFFFFF).astype(np.int32)),
-            "doc_id": pa.nulls(len(n), pa.int64()), "digest": pa.nulls(len(n), pa.binary()),
-            "n_shingles": pa.nulls(len(n), pa.int64()), "known": pa.array(n, pa.int64()),
+        bounds = np.searchsorted(found >> 32, np.arange(len(each) + 1))
+        told = [k for k in range(len(each)) if bounds[k] < bounds[k + 1]]
+        at, n = (found & 0xFFFFFFFF).astype("<i4"), n.astype("<i4")
+        replies = pa.table({
+            **{c: pa.nulls(len(told), docs_here.schema.field(c).type) for c in docs_here.column_names},
+            "chunk": rows["chunk"].take(pa.array(told, pa.int64())),
+            "places": pa.array([at[bounds[k]:bounds[k + 1]].tobytes() for k in told], pa.binary()),
+            "counts": pa.array([n[bounds[k]:bounds[k + 1]].tobytes() for k in told], pa.binary()),
         })
-        return pa.concat_tables([docs_here, counts.select(docs_here.column_names)])
-
-    form = "chunk long, place int, doc_id long, digest binary, n_shingles long, known long"
-    counted = settle(sent.groupBy("shard").applyInArrow(count, form))
-    others = counted.where("n_shingles is null").groupBy(
-        F.col("chunk").alias("_c"), F.col("place").alias("_p")).agg(F.sum("known").alias("_n"))
-    rows = counted.where("n_shingles is not null").join(
-        others, (F.col("chunk") == F.col("_c")) & (F.col("place") == F.col("_p")), "left")
-    shared = F.col("known") + F.coalesce("_n", F.lit(0))
-    return settle(rows.select(
-        "doc_id", "digest", "n_shingles",
-        (F.col("digest").isNotNull() & (shared > 0) & (100 * shared >= percent * F.col("n_shingles"))).alias("may_link")))
+        docs_here = docs_here.append_column("places", pa.nulls(len(docs_here), pa.binary())).append_column(
+            "counts", pa.nulls(len(docs_here), pa.binary()))
+        return pa.concat_tables([docs_here, replies.select(docs_here.column_names)])
+
+    def add(table: pa.Table) -> pa.Table:
+        is_doc = np.array([p is not None for p in table["place"].to_pylist()])
+        docs_here, replies = table.filter(pa.array(is_doc)), table.filter(pa.array(~is_doc))
+        place, size = docs_here["place"].to_numpy(), docs_here["n_shingles"].to_numpy()
+        shared = np.zeros(int(place.max(initial=-1)) + 1, np.int64)
+        shared[place] = docs_here["known"].to_numpy()
+        at, n = (np.frombuffer(b"".join(replies[c].to_pylist()), "<i4") for c in ("places", "counts"))
+        np.add.at(shared, at, n)
+        shared = shared[place]
+        return docs_here.select(["doc_id", "digest", "n_shingles"]).append_column(
+            "may_link", pa.array((shared > 0) & (100 * shared >= percent * size)))
+
+    form = ("chunk long, place int, doc_id long, digest binary, n_shingles long, known long, "
+            "places binary, counts binary")
+    counted = sent.groupBy("shard").applyInArrow(count, form)
+    return settle(counted.groupBy("chunk").applyInArrow(
+        add, "doc_id long, digest binary, n_shingles long, may_link boolean"))
 
 
 def _classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from eventlens.plans.session import CLUSTER
 from eventlens.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from eventlens.sources.ndjson import accepted, ingest_counts, parse_lines, read_lines, rejected, to_lines
 from eventlens.sources.table import (
-    append_events, days_to_publish, drop_expired, publish_days, read_batches, read_events, read_live, register_view,
-    retained,
+    append_events, days_to_publish, drop_expired, publish_days, read_batches, read_events, read_ledger, read_live,
+    register_view, retained, retained_from,
 )
-from eventlens.streaming.ingest import BatchCounts, start_ingest, stream_lines, write_batch
+from eventlens.streaming.ingest import BatchCounts, ingest_progress, start_ingest, stream_lines, write_batch

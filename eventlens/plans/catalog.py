@@ -24,7 +24,7 @@ from eventlens.sources.ndjson import (
 from eventlens.sources.table import (
     append_events, days_to_publish, drop_expired, publish_days, read_events, read_live, register_view, retained,
 )
-from eventlens.streaming.ingest import start_ingest, stream_lines
+from eventlens.streaming.ingest import ingest_progress, start_ingest, stream_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,6 +164,46 @@ def _live_with_late_rows(events: DataFrame) -> DataFrame:
     return _by_day(read_live(spark, landing, table))
 
 
+def _retention_live(events: DataFrame) -> DataFrame:
+    """Days that have expired from the table are not live, listed or published again, though they are in landing."""
+    spark = events.sparkSession
+    landing, _ = _stream(events)
+    table = landing.replace("/landing", "/table")
+    _publish_open_days(spark, landing, table)
+    drop_expired(spark, table, AS_OF)
+    _publish_open_days(spark, landing, table)
+    return _by_day(read_live(spark, landing, table))
+
+
+def _replayed_source(events: DataFrame) -> DataFrame:
+    """The same files by a second stream, whose checkpoint is new: nothing lands twice."""
+    spark = events.sparkSession
+    folder = scratch_dir(spark)
+    landing, quarantine = _ingest(events, folder, "first")
+    lines = stream_lines(spark, f"{folder}/first/lines", max_files=3)
+    start_ingest(lines, landing, quarantine, f"{folder}/second", available_now=True).awaitTermination()
+    refused = spark.read.parquet(quarantine).groupBy(
+        F.lit(None).cast("date").alias("event_date"), F.col("reject_reason").alias("service"))
+    return _by_day(read_events(spark, landing)).unionAll(refused.agg(F.count(F.lit(1)).alias("events")))
+
+
+def _stream_progress(events: DataFrame) -> DataFrame:
+    """One environment's files have landed, the other's wait in the same folder."""
+    spark = events.sparkSession
+    folder, done = scratch_dir(spark), F.col("env") == "production"
+    landing, _ = _ingest(events.filter(done), folder, "one")
+    spoiled_lines(events.filter(~done)).write.mode("append").text(f"{folder}/one/lines")
+    found = ingest_progress(spark, f"{folder}/one/lines", landing)
+    return found.select("enqueued", "accepted", "refused", "pending")
+
+
+def _stored_lookup(events: DataFrame) -> DataFrame:
+    register_view(_evolved(events), "stored_events")
+    return events.sparkSession.sql(
+        "SELECT trace_id, env, name, user_id FROM stored_events WHERE user_id = '' AND"
+        " trace_id = '00000000-0000-4000-8000-000000000007'")
+
+
 def _stream_ingest(events: DataFrame) -> DataFrame:
     landing, _ = _stream(events)
     return _by_day(read_events(events.sparkSession, landing))
@@ -382,6 +422,10 @@ def _build() -> dict[str, Query]:
     q["stream_two_sources"] = _on_events(_two_streams)
     q["stream_new_checkpoint"] = _on_events(_new_checkpoint)
     q["live_with_late_rows"] = _on_events(_live_with_late_rows)
+    q["retention_live"] = _on_events(_retention_live)
+    q["stream_replayed_source"] = _on_events(_replayed_source)
+    q["stream_progress"] = _on_events(_stream_progress)
+    q["sql_view_stored_lookup"] = _on_events(_stored_lookup)
     q["ingest_insert_stamp"] = _on_events(_insert_stamp)
     q["retention_cutoff"] = _run(_retained_by_day)
     q["retention_drop"] = _on_events(_drop_expired)

@@ -221,6 +221,20 @@ CAST({num('k')} AS BIGINT) AS k, round({num('value')}, 6) AS number, {txt('code'
     o["retention_drop"] = o["retention_cutoff"]
     for same in ("stream_two_sources", "stream_new_checkpoint", "live_with_late_rows"):
         o[same] = o["stream_ingest_count"]
+    o["retention_live"] = (
+        f"SELECT CAST(timestamp AS DATE) AS event_date, service, count(*) AS events FROM e WHERE {FAULT} = ''"
+        " AND CAST(timestamp AS DATE) + 30 > DATE '2024-02-10' GROUP BY 1, 2")
+    o["stream_replayed_source"] = (
+        f"{o['stream_ingest_count']} UNION ALL SELECT NULL AS event_date, reject_reason AS service, lines AS events"
+        f" FROM ({o['stream_quarantine']})")
+    landed = "count(CASE WHEN env = 'production' AND reason {} THEN 1 END)"
+    waiting = "count(CASE WHEN env <> 'production' THEN reason END)"
+    o["stream_progress"] = (
+        f"SELECT count(reason) AS enqueued, {landed.format("= ''")} AS accepted, {landed.format("<> ''")} AS refused,"
+        f" {waiting} AS pending FROM (SELECT env, {FAULT} AS reason FROM e)")
+    o["sql_view_stored_lookup"] = (
+        "SELECT trace_id, env, name, CASE WHEN env = 'production' THEN user_id ELSE '' END AS user_id FROM e"
+        " WHERE trace_id = '00000000-0000-4000-8000-000000000007' AND (env <> 'production' OR user_id = '')")
     o["ingest_insert_stamp"] = "SELECT count(*) AS events, count(*) AS stamped FROM e"
     o["sql_view_absent_column"] = (
         "SELECT env, count(*) AS events FROM e WHERE env <> 'production' OR user_id = '' GROUP BY env")

@@ -34,11 +34,20 @@ RETENTION_DAYS = 30
 FLUSH_INTERVAL = "5 seconds"
 # ---------------------------------------------------------------------------
 
+#: What a column reads as in files older than it.
+DEFAULTS = {c: "{}" if c == "data" else "" for c in EVENT_COLUMNS if c != "timestamp"}
+
+
+def _text(column: str) -> T.StructField:
+    # the name under which Spark's readers look for the value of a column that a file lacks
+    return T.StructField(column, T.StringType(), True, {"EXISTS_DEFAULT": f"'{DEFAULTS[column]}'"})
+
+
 #: Schema given to every read of the table. Reading with a fixed schema (and
-#: not with ``mergeSchema``) needs no footer scan: a file written before a
-#: column existed simply yields NULL there, which every operator reads as ''.
+#: not with ``mergeSchema``) needs no footer scan: of a file written before a
+#: column existed the reader itself gives the column's default, so filters on it reach the scan.
 EVENT_SCHEMA = T.StructType(
     [T.StructField("timestamp", T.TimestampType())]
-    + [T.StructField(c, T.StringType()) for c in EVENT_COLUMNS if c != "timestamp"]
+    + [_text(c) for c in EVENT_COLUMNS if c != "timestamp"]
     + [T.StructField("_inserted_at", T.TimestampType()), T.StructField("event_date", T.DateType())]
 )

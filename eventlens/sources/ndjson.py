@@ -21,6 +21,8 @@ RFC3339_PATTERN = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d
 ZERO_TIME = "0001-01-01 00:00:00Z"
 
 LINE_FEED = "\n"
+#: The column that says which file a line comes from.
+SOURCE = "source"
 END_MARK = "<end of the line>"
 _LINE_SCHEMA = T.ArrayType(T.StructType([T.StructField(c, T.VariantType()) for c in [*EVENT_COLUMNS, END_MARK]]))
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -44,7 +46,7 @@ def _is_text(member: Column) -> Column:
 
 def parse_lines(lines: DataFrame, max_bytes: int = LINE_MAX_BYTES) -> DataFrame:
     """``value`` -> the event columns, ``event_date``, ``_inserted_at``, ``line`` and
-    ``reject_reason`` (NULL = accepted).
+    ``reject_reason`` (NULL = accepted); ``source`` is kept if lines have it.
 
     Empty lines are skipped. A wrong JSON type is an invalid line (no casting of 5 to
     '5'); unknown members are ignored; null counts as missing. Member names are exact
@@ -52,16 +54,17 @@ def parse_lines(lines: DataFrame, max_bytes: int = LINE_MAX_BYTES) -> DataFrame:
     ones. The first failing rule gives the reason.
     """
     check_session(lines.sparkSession)
+    kept = [SOURCE] if SOURCE in lines.columns else []
     # The JSON reader stops at the end of the first value. Read as a list with a mark
     # behind the line, a line with anything else on it gives another list, or none.
     marked = F.concat(F.lit("["), "value", F.lit(f',{{"{END_MARK}":""}}]'))
     read = lines.filter(F.col("value") != "").select(
-        F.col("value").alias("line"), F.from_json(marked, _LINE_SCHEMA, _STRICT).alias("_list")
+        *kept, F.col("value").alias("line"), F.from_json(marked, _LINE_SCHEMA, _STRICT).alias("_list")
     )
     event, end = F.get("_list", F.lit(0)), F.get("_list", F.lit(1))
     whole = (F.size("_list") == 2) & end[END_MARK].isNotNull() & event.isNotNull()
     members = read.select(
-        "line",
+        *kept, "line",
         F.coalesce(whole, F.lit(False)).alias("_whole"),
         reduce(and_, [_is_text(event[c]) for c in ["timestamp", *TEXT_COLUMNS]]).alias("_text"),
         F.try_variant_get(event["timestamp"], "$", "string").alias("_raw_time"),
@@ -71,7 +74,7 @@ def parse_lines(lines: DataFrame, max_bytes: int = LINE_MAX_BYTES) -> DataFrame:
     time = F.when(F.col("_raw_time").rlike(RFC3339_PATTERN), F.try_to_timestamp("_raw_time"))
     no_data = F.col("_data").isNull() | (F.col("_data") == "null")
     typed = members.select(
-        "line",
+        *kept, "line",
         (F.col("_whole") & F.col("_text")).alias("_well_typed"),
         "_raw_time",
         F.date_trunc("MILLISECOND", time).alias("timestamp"),
@@ -98,11 +101,12 @@ def parse_lines(lines: DataFrame, max_bytes: int = LINE_MAX_BYTES) -> DataFrame:
         F.to_date("timestamp").alias("event_date"),
         "line",
         reason.alias("reject_reason"),
+        *kept,
     )
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("reject_reason").isNull()).drop("line", "reject_reason")
+    return parsed.filter(F.col("reject_reason").isNull()).drop("line", "reject_reason", SOURCE)
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Writing, reading, publishing and expiring the events table; streaming ingest."""
 
 import os
+import re
 from datetime import date, datetime, timedelta, timezone
 from types import SimpleNamespace
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from eventlens import (
     analytics, append_events, apply_filters, days_to_publish, drop_expired, publish_days, read_batches, read_events,
-    read_live, register_view, search_events, start_ingest, stream_lines, timeseries, write_batch,
+    ingest_progress, read_ledger, read_live, register_view, retained_from, search_events, start_ingest, stream_lines,
+    timeseries, write_batch,
 )
 from eventlens.plans.session import scratch_dir
+from eventlens.sources import table as tables
 from eventlens.sources.table import STORED_COLUMNS
 
 
@@ -56,11 +59,22 @@ def test_files_without_a_column_read_as_empty(spark, golden, folder):
     assert spark.sql("SELECT * FROM evolved WHERE user_id = '' AND service = 'web'").count() == 3
     register_view(table, "all_filled")
     assert spark.sql("SELECT * FROM all_filled WHERE user_id = '' AND service = 'web'").count() == 3
-    register_view(table, absent_as_empty=())
+    register_view(table)
     found = spark.sql(f"SELECT * FROM events WHERE trace_id = '{trace(3)}' AND timestamp >= '2026-02-01 00:00:00'")
     assert ids(found) == [3]
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     assert f"EqualTo(trace_id,{trace(3)})" in found._jdf.queryExecution().executedPlan().toString()
+    # also of the column that some files lack
+    found = spark.sql("SELECT * FROM events WHERE user_id = '' AND service = 'web'")
+    assert found.count() == 3
+    assert "EqualTo(user_id,)" in found._jdf.queryExecution().executedPlan().toString()
+    assert "coalesce" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nulls_of_other_events_read_as_empty_in_the_view(spark):
+    events = spark.createDataFrame([(None, "s", None)], "timestamp timestamp, service string, user_id string")
+    register_view(events, "foreign")
+    assert spark.sql("SELECT * FROM foreign WHERE user_id = ''").count() == 1
 
 
 def test_drop_expired(spark, golden, folder):
@@ -72,6 +86,91 @@ def test_drop_expired(spark, golden, folder):
     assert drop_expired(spark, path, datetime(2026, 3, 5, 23, 59)) == []
 
 
+def land(spark, folder, batch_id, *pairs):
+    lines = [(LINE.format(ts, "s", trace(i)),) for ts, i in pairs]
+    write_batch(spark.createDataFrame(lines, "value string"), batch_id, f"{folder}/landing", f"{folder}/quarantine", "s")
+    return f"{folder}/landing", f"{folder}/table"
+
+
+def publish_all(spark, landing, table):
+    for day in days_to_publish(spark, landing, table):
+        publish_days(spark, landing, table, day, day)
+
+
+DAYS = [(f"2026-02-{d:02d}T10:00:00Z", d) for d in range(1, 8)]
+
+
+def test_expired_days_stay_away(spark, folder):
+    """From the table, while landing still has them; then from landing, with its ledger."""
+    landing, table = land(spark, folder, 0, *DAYS[:2])
+    land(spark, folder, 1, *DAYS[1:])
+    publish_all(spark, landing, table)
+    gone = drop_expired(spark, table, date(2026, 2, 5), days=3)
+    assert gone == [date(2026, 2, 1), date(2026, 2, 2)] and retained_from(spark, table) == date(2026, 2, 3)
+    for _ in range(2):
+        assert days_to_publish(spark, landing, table) == []
+        assert sorted(ids(read_live(spark, landing, table))) == [3, 4, 5, 6, 7] == sorted(ids(read_events(spark, table)))
+        publish_days(spark, landing, table, date(2026, 2, 1), date(2026, 2, 9))
+    land(spark, folder, 2, DAYS[0], ("2026-02-05T11:00:00Z", 50))  # an expired day and an open one
+    assert days_to_publish(spark, landing, table) == [date(2026, 2, 5)]
+    assert sorted(ids(read_live(spark, landing, table))) == [3, 4, 5, 6, 7, 50]
+    assert drop_expired(spark, table, date(2026, 1, 1)) == []  # the mark never goes back
+    assert retained_from(spark, table) == date(2026, 2, 3)
+    drop_expired(spark, landing, date(2026, 2, 5), days=3)
+    assert {r["batch_id"] for r in read_ledger(spark, landing).collect()} == {1, 2}  # batch 0 had expired days alone
+    assert sorted(ids(read_live(spark, landing, table))) == [3, 4, 5, 6, 7, 50]
+    assert sorted(ids(read_events(spark, landing))) == [3, 4, 5, 6, 7, 50]
+    assert drop_expired(spark, f"{folder}/none", date(2026, 2, 5)) == []
+
+
+def test_a_publication_that_broke_off(spark, folder, monkeypatch):
+    """The day is rewritten with a late batch, its list is not: every event is live once."""
+    landing, table = land(spark, folder, 0, *DAYS[:3])
+    publish_all(spark, landing, table)
+    land(spark, folder, 1, ("2026-02-02T11:00:00Z", 20))
+
+    def breaks(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, "_list_days", breaks)
+        with pytest.raises(OSError):
+            publish_days(spark, landing, table, date(2026, 2, 2), date(2026, 2, 2))
+    assert sorted(ids(read_events(spark, table))) == [1, 2, 3, 20]
+    assert sorted(ids(read_live(spark, landing, table))) == [1, 2, 3, 20]
+    assert days_to_publish(spark, landing, table) == [date(2026, 2, 2)]
+    publish_all(spark, landing, table)
+    assert days_to_publish(spark, landing, table) == []
+    assert sorted(ids(read_live(spark, landing, table))) == [1, 2, 3, 20]
+
+
+def test_a_table_without_lists_is_listed_by_its_rows(spark, folder):
+    landing, table = land(spark, folder, 0, *DAYS[:3])
+    publish_all(spark, landing, table)
+    os.rename(f"{table}/_published", f"{folder}/lists")
+    assert days_to_publish(spark, landing, table) == []
+    land(spark, folder, 1, ("2026-02-02T11:00:00Z", 20))
+    assert days_to_publish(spark, landing, table) == [date(2026, 2, 2)]
+    publish_all(spark, landing, table)
+    assert sorted(d for d in os.listdir(f"{table}/_published") if "=" in d) == days_in(table)
+    assert sorted(ids(read_live(spark, landing, table))) == [1, 2, 3, 20]
+
+
+def test_live_reads_only_the_asked_and_listed_days(spark, folder):
+    landing, table = land(spark, folder, 0, *DAYS[:4])
+    publish_all(spark, landing, table)
+    land(spark, folder, 1, *DAYS[3:])
+    found = read_live(spark, landing, table, date(2026, 2, 3), date(2026, 2, 5))
+    assert sorted(ids(found)) == [3, 4, 4, 5]
+    events = [f for f in found.inputFiles() if "/_batches/" not in f and "/_published/" not in f]
+    assert events and all(re.search("event_date=2026-02-0[345]", f) for f in events)
+    # what is missing is known without reading an event
+    lists = tables._missing(spark, landing, table).inputFiles()
+    assert lists and all("/_batches/" in f or "/_published/" in f for f in lists)
+    text = read_live(spark, landing, table)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet [timestamp") == 2 and "Distinct" not in text
+
+
 LINE = '{{"timestamp":"{}","service":"{}","name":"n","trace_id":"{}"}}'
 
 
@@ -177,6 +276,57 @@ def test_a_new_checkpoint_adds_to_what_landed(spark, folder):
     assert sorted(ids(read_events(spark, f"{folder}/landing"))) == [1, 2]
 
 
+def test_files_that_landed_are_not_landed_again(spark, folder):
+    """A lost checkpoint begun anew over the same folder: rows, refused lines and ledger stay; a new file lands."""
+    write_lines(f"{folder}/in", "1.json", [LINE.format("2026-02-01T10:00:00Z", "a", trace(1)), "{bad"])
+    write_lines(f"{folder}/in", "2 b.json", ["{worse"])
+    run_stream(spark, folder)
+    ledger = sorted(map(str, read_ledger(spark, f"{folder}/landing").collect()))
+    os.rename(f"{folder}/checkpoint", f"{folder}/lost")
+    assert {(c.accepted, tuple(c.rejected)) for c in run_stream(spark, folder)} == {(0, ())}
+    assert ids(read_events(spark, f"{folder}/landing")) == [1]
+    assert spark.read.parquet(f"{folder}/quarantine").count() == 2
+    assert sorted(map(str, read_ledger(spark, f"{folder}/landing").collect())) == ledger
+    write_lines(f"{folder}/in", "3.json", [LINE.format("2026-02-01T11:00:00Z", "a", trace(2))])
+    run_stream(spark, folder)
+    assert sorted(ids(read_events(spark, f"{folder}/landing"))) == [1, 2]
+    write_lines(f"{folder}/in", "1.json", [LINE.format("2026-02-01T12:00:00Z", "a", trace(3)), "{bad", ""])
+    os.rename(f"{folder}/checkpoint", f"{folder}/lost again")
+    run_stream(spark, folder)  # the same name, but another file
+    assert sorted(ids(read_events(spark, f"{folder}/landing"))) == [1, 2, 3]
+
+
+def test_a_batch_that_did_not_land_delivers_nothing(spark, folder):
+    """Files of a batch that broke off before its ledger entry are taken by the next stream."""
+    write_lines(f"{folder}/in", "1.json", [LINE.format("2026-02-01T10:00:00Z", "a", trace(1))])
+    run_stream(spark, folder)
+    os.rename(f"{folder}/landing/_batches", f"{folder}/torn")
+    os.rename(f"{folder}/checkpoint", f"{folder}/lost")
+    (again,) = run_stream(spark, folder)
+    assert again.accepted == 1
+    assert ids(read_live(spark, f"{folder}/landing", f"{folder}/table")) == [1]
+
+
+def test_progress_and_flushes_of_bounded_size(spark, folder):
+    good = [LINE.format(f"2026-02-01T10:{i % 60:02d}:00Z", "a", trace(i)) for i in range(250)]
+    write_lines(f"{folder}/in", "1.json", good + ["{bad", "", "{bad"])
+    query = start_ingest(
+        stream_lines(spark, f"{folder}/in"), f"{folder}/landing", f"{folder}/quarantine", f"{folder}/checkpoint",
+        available_now=True, flush_events=100)
+    query.awaitTermination()
+    sizes = [pq.read_metadata(f"{at}/{name}").num_rows for at, _, names in os.walk(f"{folder}/landing")
+             for name in names if name.endswith(".parquet") and "_batches" not in at]
+    assert sum(sizes) == 250 and max(sizes) <= 100
+    write_lines(f"{folder}/in", "2.json", good[:3] + [""] + ["{bad"])
+    (row,) = ingest_progress(spark, f"{folder}/in", f"{folder}/landing").collect()
+    size = os.path.getsize(f"{folder}/in/2.json")
+    assert row.asDict() == {"enqueued": 256, "accepted": 250, "refused": 2, "pending": 4, "pending_files": 1,
+                            "pending_bytes": size}
+    run_stream(spark, folder)
+    (row,) = ingest_progress(spark, f"{folder}/in", f"{folder}/landing").collect()
+    assert tuple(row) == (256, 253, 3, 0, 0, 0)
+
+
 def test_batches_that_broke_off_are_not_published(spark, folder):
     landing, table = f"{folder}/landing", f"{folder}/table"
     lines = spark.createDataFrame([(LINE.format("2026-02-01T10:00:00Z", "a", trace(1)),)], "value string")

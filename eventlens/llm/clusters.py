@@ -51,6 +51,36 @@ class Forest:
             self.links.append((i, j))
 
 
+class Sets:
+    """Whole sets of 64-bit tokens of a part's rows, ``sizes`` of them in each."""
+
+    #: Tokens that one row's tokens are looked up in at once.
+    BATCH = 1 << 22
+
+    def __init__(self, tokens: pa.ChunkedArray, sizes: np.ndarray, percent: int):
+        self.sizes, self.percent = sizes, percent
+        _, self.number = np.unique(np.frombuffer(b"".join(tokens.to_pylist()), np.uint64), return_inverse=True)
+        self.start = np.concatenate(([0], np.cumsum(sizes)))
+        self.mark = np.zeros(int(self.number.max(initial=-1)) + 1, bool)
+
+    def batches(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Some rows in lists that ``similar`` has room for."""
+        return np.array_split(rows, max(1, int(self.sizes[rows].sum()) // self.BATCH))
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` have a set as similar to that of ``i`` as asked."""
+        if not len(others):
+            return np.empty(0, bool)
+        own = self.number[self.start[i]:self.start[i + 1]]
+        self.mark[own] = True
+        n = self.sizes[others]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) - np.repeat(ends - n - self.start[others], n)
+        both = np.add.reduceat(self.mark[self.number[at]], ends - n, dtype=np.int64)
+        self.mark[own] = False
+        return 100 * both >= self.percent * (n + len(own) - both)
+
+
 def clustered(keys: DataFrame) -> DataFrame:
     """Settled ``uid`` and ``cluster`` of the rows that share a ``key`` with others, directly or by way of others.
     ``keys`` (uid, key) is settled; a key's rows all link to the smallest of them, so a key that

@@ -10,7 +10,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from eventlens.llm.clusters import Forest, links_in_clusters
+from eventlens.llm.clusters import Forest, Sets, links_in_clusters
 from eventlens.llm.common import components, settle, small
 
 #: Words in a shingle.
@@ -253,8 +253,7 @@ def decide(percent: int):
     def run(table: pa.Table, roots: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
         k = len(table)
         n, more = table["n"].to_numpy(), table["more"].to_numpy()
-        tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint64)
-        start = np.concatenate(([0], np.cumsum(n)))
+        sets = Sets(table["tokens"], n, percent)
         prefix = [np.array(p, np.int64) for p in table["prefix"].to_pylist()]
         keys, inverse = np.unique(np.concatenate(prefix), return_inverse=True)
         cuts = np.cumsum([0] + [len(p) for p in prefix])
@@ -263,8 +262,6 @@ def decide(percent: int):
         order = np.argsort(inverse, kind="stable")
         rows_of = np.repeat(np.arange(k), np.diff(cuts))[order]
         first = np.searchsorted(inverse[order], np.arange(len(keys) + 1))
-        _, number = np.unique(tokens, return_inverse=True)
-        mark = np.zeros(int(number.max(initial=-1)) + 1, bool)
         for i in range(k):
             lists = [rows_of[first[t]:first[t + 1]] for t in inverse[cuts[i]:cuts[i + 1]]]
             lists = [x[:np.searchsorted(x, i)] for x in lists]
@@ -285,17 +282,9 @@ def decide(percent: int):
             if not len(others):
                 continue
             others = others[forest.roots(others) != forest.root(i)]
-            if not len(others):
-                continue
-            own = number[start[i]:start[i + 1]]
-            mark[own] = True
-            for some in np.array_split(others, max(1, int(n[others].sum()) >> 22)):
-                ends = np.cumsum(n[some])
-                at = np.arange(ends[-1]) - np.repeat(ends - n[some] - start[some], n[some])
-                both = np.add.reduceat(mark[number[at]], ends - n[some], dtype=np.int64)
-                for j in some[100 * both >= percent * (n[some] + n[i] - both)]:
+            for some in sets.batches(others):
+                for j in some[sets.similar(i, some)]:
                     forest.join(i, int(j))
-            mark[own] = False
         return forest.links
 
     return run

@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from eventlens.llm.clusters import Forest, Sets, links_in_clusters
 from eventlens.llm.common import WORD, components, settle, small, with_fields
 
 #: Words in a shingle.
 WIDTH = 5
 #: Signatures have ``CHUNKS`` chunks of ``CHUNK`` values of 16 bits.
-CHUNKS, CHUNK = 12, 5
+CHUNKS, CHUNK = 16, 4
 SIZE = CHUNKS * CHUNK
-#: Bins of a sketch.
-BINS = 1024
-#: Groups of up to so many signatures, 2.5 MB with their sketches, are compared in one task.
-GROUP = 2048
 
 _RANDOM = np.random.Generator(np.random.PCG64(20_011))
 FACTORS = _RANDOM.integers(1, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,34 +73,8 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least & np.uint64(0xFFFF)).astype("<u2")
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """One permutation, cut into ``BINS``: of each bin 8 bits of its least hash, 1 to 255, or 0 if it is empty.
-    Bins that are not empty in both of two sets agree as the sets do; with few hashes there are hardly two
-    in a bin, and the share is all but exact."""
-    values = np.sort(mixed(hashes + np.uint64(0x9E3779B97F4A7C15)))
-    bins = (values >> np.uint64(54)).astype(np.int64)
-    first = np.concatenate(([True], bins[1:] != bins[:-1]))
-    found = np.zeros(BINS, np.uint8)
-    found[bins[first]] = (values[first] % np.uint64(255)).astype(np.uint8) + 1
-    return found
-
-
-def likely(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which of some sketches, of sets of ``sizes``, are as similar to one as asked, or up to 5.2 standard errors and
-    one bin less: a pair that is as similar falls below with a chance of one in 10 million.
-
-    The bins that are not empty in both show a random part of the union, without repetition, so the number
-    that agrees is hypergeometric: the error vanishes as the bins show all of a small union."""
-    same = ((others == one) & (one > 0)).sum(axis=1)
-    seen = ((others > 0) | (one > 0)).sum(axis=1)
-    share = percent / 100
-    union = (n + sizes) / (1 + share)
-    unseen = np.clip((union - seen) / np.maximum(union - 1, 1), 0, 1)
-    return same >= share * seen - 5.2 * np.sqrt(share * (1 - share) * seen * unseen) - 1
-
-
 def signed(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, ``keep``, digest of the words in order (null without words), n_shingles, signature and sketch (null for
+    """doc_id, ``keep``, digest of the words in order (null without words), n_shingles and signature (null for
     texts shorter than a shingle) of every row."""
 
     names = ["doc_id", *keep]
@@ -115,28 +86,26 @@ def signed(docs: DataFrame, *keep: str) -> DataFrame:
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 if not words:
-                    rows.append((None, 0, None, None))
+                    rows.append((None, 0, None))
                     continue
                 digest = xxhash.xxh3_128_digest(b" ".join(words))
                 if len(words) < WIDTH:
-                    rows.append((digest, 1, None, None))
+                    rows.append((digest, 1, None))
                     continue
                 hashes = shingle_hashes(words)
-                rows.append((digest, len(hashes), signature(hashes).tobytes(), sketch(hashes).tobytes()))
-            columns = list(zip(*rows)) or [()] * 4
+                rows.append((digest, len(hashes), signature(hashes).tobytes()))
+            columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array(columns[0], pa.binary()),
-                 pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
-                [*names, "digest", "n_shingles", "signature", "sketch"],
+                 pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
+                [*names, "digest", "n_shingles", "signature"],
             )
 
-    return rows_of.mapInArrow(run, with_fields(
-        rows_of, names, "digest binary, n_shingles long, signature binary, sketch binary"
-    ))
+    return rows_of.mapInArrow(run, with_fields(rows_of, names, "digest binary, n_shingles long, signature binary"))
 
 
-def _matrix(column: pa.Array, kind: str = "<u2", width: int = SIZE) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SIZE)
 
 
 def chunk_keys(signatures: np.ndarray, chunk: int) -> np.ndarray:
@@ -157,8 +126,7 @@ def keyed(classes: DataFrame) -> DataFrame:
     """uid and key for every key of every signature.
 
     The pigeonhole: if two signatures differ in fewer than 2 * CHUNKS values, some chunk differs in one at
-    most. Pairs that differ in more are mostly found too: of two documents of similarity 0.85 no chunk
-    agrees that far with a chance of less than one in a billion."""
+    most, and they have a key in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,233 +140,139 @@ def keyed(classes: DataFrame) -> DataFrame:
     return classes.select("uid", "signature").mapInArrow(run, "uid long, key long")
 
 
-def close(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose signatures differ in ``most`` values or fewer."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """uid, n and sorted shingle hashes of each text in ``wanted`` (uid, _digest; settled). Texts are read anew, and
+    one for each task and text in ``wanted`` is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # 16 bytes for each text of the task's split
         for batch in batches:
-            left, right = _matrix(batch.column("sa")), _matrix(batch.column("sb"))
-            near = (left != right).sum(axis=1) <= most
-            yield batch.filter(pa.array(near)).select(["a", "b"])
-
-    sides = [classes.select(F.col("uid").alias(x), F.col("signature").alias(f"s{x}")) for x in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose whole sets of shingles are as similar as asked. Texts are read anew, one for
-    each class in ``pairs``; only these are shuffled."""
-    wanted = settle(
-        pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        .join(classes.select("uid", F.col("digest").alias("_digest")), "uid").select("uid", "_digest")
-    )
+            digests, found = [], []
+            for text in batch.column("text"):
+                form = b" ".join(words_of(text.as_py()))
+                digest = xxhash.xxh3_128_digest(form)
+                if digest not in seen:
+                    seen.add(digest)
+                    digests.append(digest)
+                    found.append(form)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()), pa.array(found, pa.binary())], ["digest", "form"])
 
-    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [b" ".join(words_of(t.as_py())) for t in batch.column("text")]
+            found = [shingle_hashes(x.as_py().split()) for x in batch.column("form")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())],
-                ["digest", "form"],
-            )
+                [batch.column("uid"), pa.array([len(x) for x in found], pa.int64()),
+                 pa.array([x.tobytes() for x in found], pa.binary())], ["uid", "n", "tokens"])
 
     texts = (
         docs.select("text").where("text is not null").mapInArrow(forms, "digest binary, form binary")
         .join(small(wanted, 200_000), F.col("digest") == F.col("_digest"))
         .groupBy("uid").agg(F.first("form").alias("form"))
     )
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("fa"), batch.column("fb")):
-                x, y = a.as_py(), b.as_py()
-                if x != last:
-                    last, own = x, shingles(x.split())
-                other = shingles(y.split())
-                both = len(own & other)
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    fa, fb = (texts.select(F.col("uid").alias(x), F.col("form").alias(f"f{x}")) for x in ("a", "b"))
-    return pairs.join(fa, "a").join(fb, "b").mapInArrow(similar, "a long, b long")
-
-
-def first_keys(one: np.ndarray, others: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For some signatures that one is compared with: the first chunk, beyond those of ``skip`` (for each of them),
-    that agrees up to one value, or CHUNKS, and the key that the two share for it."""
-    apart = (others != one).reshape(len(others), CHUNKS, CHUNK)
-    fits = (apart.sum(axis=2) <= 1) & (np.arange(CHUNKS) != skip[:, None])
-    chunk = np.where(fits.any(axis=1), fits.argmax(axis=1), CHUNKS)
-    keys = np.concatenate([chunk_keys(one[None, :], c)[0] for c in range(CHUNKS)] + [np.zeros(1, np.uint64)])
-    left_out = apart[np.arange(len(others)), np.minimum(chunk, CHUNKS - 1)].argmax(axis=1)
-    return chunk, keys[np.where(chunk < CHUNKS, chunk * CHUNK + left_out, len(keys) - 1)]
-
-
-def finer_key(group: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return mixed(key ^ mixed(group + np.uint64(1)))
-
-
-def _pairs_in_groups(rows: DataFrame, most: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of rows of the same ``part`` and different ``root`` whose signatures and sketches are near;
-    of rows marked ``is_main`` none meet each other. Parts have some ``GROUP`` rows.
-
-    Similar signatures share many keys and meet in many groups. They are a pair only in that of their
-    first common key, or of their first two where that group was divided by finer keys."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        signatures = _matrix(table["signature"].combine_chunks())
-        sketches = _matrix(table["sketch"].combine_chunks(), np.uint8, BINS)
-        uids, roots, sizes = (table[c].to_numpy() for c in ("uid", "root", "n_shingles"))
-        main = np.array(table["is_main"].to_pylist(), bool)
-        key, finer = np.uint64(table["key"][0].as_py() % (1 << 64)), table["finer"][0].as_py()
-        found = [np.empty((2, 0), np.int64)]
-        for i in np.flatnonzero(~main):
-            near = np.flatnonzero(
-                ((signatures != signatures[i]).sum(axis=1) <= most) & (roots != roots[i]) & (main | (uids > uids[i]))
-            )
-            if not len(near):
-                continue
-            chunk, first = first_keys(signatures[i], signatures[near], np.full(len(near), -1))
-            here = first == key
-            if finer is not None:
-                _, second = first_keys(signatures[i], signatures[near], chunk)
-                here &= finer_key(first, second) == np.uint64(finer % (1 << 64))
-            near = near[here]
-            near = near[likely(sketches[i], sizes[i], sketches[near], sizes[near], percent)]
-            other = uids[near]
-            found.append(np.stack([np.minimum(other, uids[i]), np.maximum(other, uids[i])]))
-        a, b = np.concatenate(found, axis=1)
-        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return rows.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
-
-
-def _dealt(rows: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
-    """Rows of each group of equal ``keys`` dealt into parts in which every pair of different roots meets that
-    is not of the group's main root twice. ``sizes``: keys, main (root), n_main, n_rest.
-
-    The main root's rows are cut into blocks; the others, cut into blocks too, meet each of these blocks
-    and each other. With few others that is little more than the group itself."""
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / GROUP)).cast("int")
-    own = rows.join(sizes, keys).withColumn("is_main", F.col("root") == F.col("main"))
-    own = own.withColumn("m", blocks("n_main")).withColumn("r", blocks("n_rest"))
-    place = F.pmod(F.xxhash64("uid", F.lit(3)), F.when(F.col("is_main"), F.col("m")).otherwise(F.col("r")))
-    # parts: (main block, other block), and (other block, other block) with the first one smaller or equal
-    with_others = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda j: F.struct(
-        F.lit(0).alias("kind"), F.col("place").alias("x"), j.alias("y")))
-    with_main = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.struct(
-        F.lit(0).alias("kind"), i.alias("x"), F.col("place").alias("y")))
-    among = F.when(F.col("r") > 1, F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda j: F.struct(
-        F.lit(1).alias("kind"), F.least(j, F.col("place")).alias("x"), F.greatest(j, F.col("place")).alias("y")))
-    ).otherwise(F.array().cast("array<struct<kind:int,x:int,y:int>>"))
-    parts = F.when(F.col("is_main"), with_others).otherwise(F.concat(with_main, among))
-    return (
-        own.withColumn("place", place.cast("int")).withColumn("p", F.explode(parts))
-        .select(F.xxhash64(*keys, "p.kind", "p.x", "p.y").alias("part"), "key", "finer", "uid", "root", "signature",
-                "sketch", "n_shingles", "is_main")
-    )
-
-
-def _sizes(rows: DataFrame, *keys: str) -> DataFrame:
-    """Groups with more than one root: keys, main (the root with most rows), n_main and n_rest."""
-    return (
-        rows.groupBy(*keys, "root").agg(F.count("*").alias("n"))
-        .groupBy(*keys).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots"))
-        .where("roots > 1")
-        .select(*keys, F.col("top.root").alias("main"), F.col("top.n").alias("n_main"),
-                (F.col("n") - F.col("top.n")).alias("n_rest"))
-    )
-
-
-def _finer(rows: DataFrame) -> DataFrame:
-    """Rows of groups with many roots, keyed by their group and one more key each: pairs of such groups
-    are looked for in a second chunk as well. Two documents of similarity 0.85 have fewer than two
-    chunks that agree so far with a chance of three in 100 million."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signatures = _matrix(batch.column("signature"))
-            group = batch.column("key").to_numpy().view(np.uint64)
-            # the group's own chunk is the one that yields its key
-            own = [(chunk_keys(signatures, c) == group[:, None]).any(axis=1) for c in range(CHUNKS)]
-            for chunk in range(CHUNKS):
-                rows = np.flatnonzero(~own[chunk])
-                at = np.repeat(rows, CHUNK)
-                finer = finer_key(group[at], chunk_keys(signatures[rows], chunk).ravel())
-                taken = batch.select(["key", "uid", "root"]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(finer.view(np.int64))], [
-                    "key", "uid", "root", "finer"])
-
-    return rows.select("key", "uid", "root", "signature").mapInArrow(run, "key long, uid long, root long, finer long")
+    return texts.mapInArrow(sets, "uid long, n long, tokens binary")
+
+
+def decide(percent: int) -> Callable[[pa.Table, np.ndarray, np.ndarray], list[tuple[int, int]]]:
+    """Joins the rows of a part that link: those with a key in common whose signatures are near, by their whole sets.
+
+    Each row first meets the first row of each of its keys, which joins most of what links. Keys all of whose rows
+    are joined by then are done; of the others, each row that is not joined to the key's largest group meets
+    all rows that it is not joined to."""
+    most = distance(percent)
+
+    def run(table: pa.Table, roots: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+        k = len(table)
+        signatures = _matrix(table["signature"])
+        sets = Sets(table["tokens"], table["n"].to_numpy(), percent)
+        forest = Forest(k, roots)
+
+        def meet(i: int, others: np.ndarray) -> None:
+            others = others[forest.roots(others) != forest.root(i)]
+            if side[i]:
+                others = others[side[others] == 0]
+            others = others[(signatures[others] != signatures[i]).sum(axis=1) <= most]
+            for some in sets.batches(others):
+                some = some[forest.roots(some) != forest.root(i)]
+                for j in some[sets.similar(i, some)]:
+                    forest.join(i, int(j))
+
+        # the rows of each key that two have, those of side 0 first
+        of_row = np.concatenate([chunk_keys(signatures, c) for c in range(CHUNKS)], axis=1)
+        _, key = np.unique(of_row, return_inverse=True)
+        key, row = key.ravel(), np.repeat(np.arange(k), SIZE)
+        shared = np.bincount(key)[key] > 1
+        key, row = key[shared], row[shared]
+        order = np.lexsort((row, side[row], key))
+        key, row = key[order], row[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        bounds = np.append(new, len(key))
+        at = np.repeat(np.arange(len(new)), np.diff(bounds))  # the key of each entry, from 0
+        firsts = np.unique(row * k + row[new[at]]) if len(key) else np.empty(0, np.int64)
+        asker, first = firsts // max(k, 1), firsts % max(k, 1)
+        cuts = np.searchsorted(asker, np.arange(k + 1))
+        for i in range(k):
+            if cuts[i] < cuts[i + 1]:
+                meet(i, first[cuts[i]:cuts[i + 1]])
+        # what is still apart
+        root = forest.roots(np.arange(k))[row]
+        group, size = np.unique(at * k + root, return_counts=True)
+        order = np.lexsort((size, group // max(k, 1)))
+        main = np.empty(len(new), np.int64)
+        main[(group // max(k, 1))[order]] = (group % max(k, 1))[order]  # the last, the largest, stays
+        asks = root != main[at]
+        asker, of_key = row[asks], at[asks]
+        order = np.argsort(asker, kind="stable")
+        asker, of_key = asker[order], of_key[order]
+        level = np.add.reduceat(side[row] == 0, new, dtype=np.int64) if len(new) else new
+        cuts = np.searchsorted(asker, np.arange(k + 1))
+        for i in np.unique(asker):
+            ends = bounds[:-1] + level if side[i] else bounds[1:]
+            lists = [row[bounds[t]:ends[t]] for t in of_key[cuts[i]:cuts[i + 1]]]
+            meet(int(i), np.unique(np.concatenate(lists)))
+        return forest.links
+
+    return run
 
 
 def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The smallest uid reachable from each uid that has a link: ``id``, ``root``.
 
-    First every class is held against two others that it shares keys with. Of all classes with the same key, the
-    hub is the one that shares most keys with any class: the original of many copies, if there is one.
-    A class meets the hub it shares most keys with, and the greatest of its hubs. What that links needs
-    no further look: only pairs with a key in common that are still apart, ``_dealt`` into parts of
-    bounded size, are compared by signature, and the near ones by set. No list of all pairs of a group
-    is made, and no link between different groups is lost."""
+    Signatures that have a key in common, directly or by way of others, are brought together with their whole
+    sets of shingles, and decided there: what leaves a task is as many links as join what is joined.
+    One rule holds for groups of all sizes."""
     signed_only = classes.where("signature is not null")
     keys = keyed(signed_only)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = settle(keys.join(buckets, "key"))
-    degrees = members.groupBy("uid").agg(F.sum("n").alias("degree"))
-    hubs = members.join(degrees, "uid").groupBy("key").agg(F.max(F.struct("degree", "uid")).alias("hub"))
-    star = (
-        members.join(hubs, "key").where(F.col("uid") != F.col("hub.uid")).groupBy("uid", "hub")
-        .agg(F.count("*").alias("shared"))
-        .groupBy("uid").agg(F.max(F.struct("shared", "hub.uid")).alias("nearest"), F.max("hub").alias("greatest"))
-        .select(F.explode(F.array_distinct(F.array("nearest.uid", "greatest.uid"))).alias("a"),
-                F.col("uid").alias("b"))
-    )
-    tried = settle(close(star, signed_only, distance(percent)))
-    links = settle(confirmed(tried, classes, docs, percent))
-    roots = settle(components(links))
-
-    def with_root(of: DataFrame) -> DataFrame:
-        known = of.join(roots, F.col("uid") == F.col("id"), "left")
-        return known.select("key", "uid", F.coalesce("root", "uid").alias("root"))
-
-    marks = signed_only.select("uid", "signature", "sketch", "n_shingles")
-    rest = with_root(members.where("n > 2"))
-    sizes = settle(_sizes(rest, "key"))
-    many = "n_main + n_rest > {0} and n_rest > {0} / 2".format(GROUP)
-    plain = rest.withColumn("finer", F.lit(None).cast("long")).join(marks, "uid")
-    direct = _dealt(plain, ["key"], sizes.where(f"not ({many})"))
-    crowded = rest.join(sizes.where(many).select("key"), "key", "left_semi").join(marks, "uid")
-    crowded = settle(_finer(crowded))
-    again = _dealt(crowded.join(marks, "uid"), ["key", "finer"], _sizes(crowded, "key", "finer"))
-    # groups of two are a pair as they are
-    twos = (
-        with_root(members.where("n = 2")).groupBy("key")
-        .agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.min("root").alias("r"), F.max("root").alias("s"))
-        .where("r <> s").select("a", "b").distinct()
-    )
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    apart = _pairs_in_groups(direct.unionByName(again), distance(percent), percent).unionAll(
-        close(twos, signed_only, distance(percent)))
-    apart = settle(apart.distinct().join(done, ["a", "b"], "left_anti"))
-    more = settle(confirmed(apart, classes, docs, percent))
-    return components(links.unionAll(more)) if more.limit(1).count() else roots
+    buckets = settle(
+        keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key"))
+    shared = settle(keys.join(small(buckets, 200_000), F.col("key") == F.col("_key"), "left_semi"))
+    wanted = settle(
+        shared.select(F.col("uid").alias("_u")).distinct()
+        .join(signed_only.select("uid", F.col("digest").alias("_digest"), "signature"), F.col("_u") == F.col("uid"))
+        .select("uid", "_digest", "signature"))
+    signatures = wanted.select(F.col("uid").alias("_u"), "signature")
+    rows = settle(
+        _sets(docs, wanted.select("uid", "_digest")).join(signatures, F.col("uid") == F.col("_u"))
+        .select("uid", "n", "tokens", "signature", (8 * F.col("n") + 16 * SIZE).alias("bytes")))
+    return components(links_in_clusters(rows, shared, "bytes", decide(percent)))
 
 
 def _grouped(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Settled rows of ``signed`` that have words, with the ``root`` of their component."""
+    """Settled rows of ``signed`` that have words, with the ``group`` of their component, a digest."""
+    if 2 * CHUNKS <= distance(percent):
+        raise ValueError(f"signatures of {CHUNKS} chunks guarantee no similarity as low as {percent} %")
     classes = settle(
-        rows.where("digest is not null").groupBy("digest").agg(F.max(F.struct("signature", "sketch", "n_shingles")).alias("x"))
-        .select("digest", "x.*")
+        rows.where("digest is not null").groupBy("digest").agg(F.max("signature").alias("signature"))
         .withColumn("uid", F.monotonically_increasing_id())
     )
-    roots = linked(classes, docs, percent)
-    named = (
-        classes.select(F.col("digest").alias("_d"), "uid")
-        .join(roots, F.col("uid") == F.col("id"), "left").select("_d", F.coalesce("root", "uid").alias("root"))
-    )
-    return rows.join(named, F.col("digest") == F.col("_d")).drop("_d", "digest", "signature", "sketch")
+    named = classes.select("uid", "digest")
+    firsts = named.select(F.col("uid").alias("_r"), F.col("digest").alias("group"))
+    groups = settle(
+        linked(classes, docs, percent).join(named, F.col("id") == F.col("uid")).join(firsts, F.col("root") == F.col("_r"))
+        .select(F.col("digest").alias("_d"), "group"))
+    return settle(
+        rows.where("digest is not null").join(small(groups, 200_000), F.col("digest") == F.col("_d"), "left")
+        .withColumn("group", F.coalesce("group", "digest")).drop("_d", "digest", "signature"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -407,13 +281,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Rows with the same words in order are one class from the start. Null and empty texts, and those of white
     space, have no shingle and are a component each; texts shorter than a shingle link with equal
     ones only. A null doc_id never names a component unless all of its ids are null; it is kept
-    only then. Rows with equal ids are kept or not together. An empty table gives no row."""
+    only then. Rows with equal ids are kept or not together. Other columns are not looked at. An empty table gives
+    no row. Shingles are compared by 64-bit hashes; a similarity below 80 per cent is refused."""
     rows = settle(signed(docs))
     grouped = _grouped(rows, docs, percent)
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = settle(grouped.groupBy(F.col("group").alias("_g")).agg(F.min("doc_id").alias("component_id")))
     empty = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return (
-        grouped.join(least, "root").select("doc_id", "n_shingles", "component_id").unionAll(empty)
+        grouped.join(least, F.col("group") == F.col("_g")).select("doc_id", "n_shingles", "component_id").unionAll(empty)
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
@@ -423,7 +298,7 @@ def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     that id the one of the smallest hash of its text, of equal ones any. Rows without a word all stay."""
     named = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_id"))
     rows = settle(signed(named, "text_id"))
-    first = _grouped(rows, docs, percent).groupBy("root").agg(
+    first = _grouped(rows, docs, percent).groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")).alias("x")
     )
     kept = first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_id").alias("_text_id"))

@@ -52,20 +52,50 @@ def copies(seed, groups, size, edits):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("group", [2048, 8])
+@pytest.fixture(params=[None, 20_000])
+def part(request, monkeypatch):
+    """Clusters decided whole, and in blocks that hardly hold ten texts."""
+    if request.param:
+        real = minhash.links_in_clusters
+        monkeypatch.setattr(minhash, "links_in_clusters", lambda *a: real(*a, part=request.param))
+
+
 @pytest.mark.parametrize("percent", [80, 85])
-def test_groups_of_copies(spark, monkeypatch, group, percent):
-    monkeypatch.setattr(minhash, "GROUP", group)  # 8: groups are dealt into parts, or looked up by finer keys
-    check(spark, copies(group, 12, 14, 6), percent)
+def test_groups_of_copies(spark, part, percent):
+    check(spark, copies(8, 12, 14, 6), percent)
 
 
-def test_one_large_group(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "GROUP", 16)
+def test_one_large_group(spark, part):
     check(spark, copies(9, 1, 150, 12))
 
 
-def test_a_shared_passage_links_nothing(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "GROUP", 16)
+def test_a_large_group_of_almost_similar_texts(spark, part):
+    random.seed(5)
+    words = lambda n: [f"w{random.randrange(10**6)}" for _ in range(n)]
+    base, rows = words(100), []
+    for _ in range(120):  # pairs are about 0.8 alike: some link, most do not
+        text, at = list(base), random.randrange(90)
+        text[at:at + random.randint(5, 9)] = words(5)
+        rows.append(" ".join(text))
+    check(spark, list(enumerate(rows)), 85)
+
+
+def test_pairs_of_any_distance_up_to_the_bound_share_a_key():
+    assert all(2 * minhash.CHUNKS > minhash.distance(p) for p in (80, 85, 90, 100))
+    rng = np.random.Generator(np.random.PCG64(1))
+    for _ in range(200):
+        one = rng.integers(0, 1 << 16, (1, minhash.SIZE)).astype("<u2")
+        other = one.copy()
+        other[0, rng.permutation(minhash.SIZE)[:minhash.distance(80)]] ^= np.uint16(1)
+        assert any(np.isin(minhash.chunk_keys(one, c), minhash.chunk_keys(other, c)).any() for c in range(minhash.CHUNKS))
+
+
+def test_lower_similarities_are_refused(spark):
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), 70)
+
+
+def test_a_shared_passage_links_nothing(spark, part):
     random.seed(4)
     words = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
     passage = words(70)
@@ -118,22 +148,3 @@ def test_signatures_agree_as_the_sets_do():
         x, y = minhash.shingles(words), minhash.shingles(other)
         agree.append((a == b).mean() - len(x & y) / len(x | y))
     assert abs(np.mean(agree)) < 0.03
-
-
-@pytest.mark.parametrize("size", [30, 150, 600, 3000])
-def test_sketches_lose_no_similar_pair(size):
-    random.seed(size)
-    for _ in range(60):
-        words = [str(random.randrange(10**9)).encode() for _ in range(size + 4)]
-        other = list(words)
-        a = minhash.shingle_hashes(words)
-        while True:  # as many edits as the similarity allows
-            edited = list(other)
-            edited[random.randrange(len(edited))] = str(random.randrange(10**9)).encode()
-            b = minhash.shingle_hashes(edited)
-            both = len(np.intersect1d(a, b))
-            if 100 * both < 85 * (len(a) + len(b) - both):
-                break
-            other = edited
-        b = minhash.shingle_hashes(other)
-        assert minhash.likely(minhash.sketch(a), len(a), minhash.sketch(b)[None, :], np.array([len(b)]), 85)[0]

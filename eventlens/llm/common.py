@@ -81,37 +81,42 @@ def bounded(rows: Iterable, size, most: int):
         yield group
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = 100_000) -> DataFrame:
     """The smallest id reachable from each id of ``edges`` (columns ``a``, ``b``): ``id``, ``root``.
 
     Large-star and small-star steps: every id hooks what it neighbours to the smallest id it knows.
-    All steps are a minimum by id and a join, so an id with very many neighbours is summed up
-    before the shuffle and its join is split; nothing is collected. Ids without an edge are absent.
+    All steps are a minimum by id and a join with it. The minima are broadcast while there are up to ``most`` links;
+    beyond, they are settled first: a join in the stage of its own aggregate cannot be split, this one can, so
+    an id with very many neighbours is many tasks. Nothing is collected. Ids without an edge are absent.
     """
+
+    def state(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
     links = settle(
         edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
         .where("u < v").distinct()
     )
+    before = state(links)
     while True:
+        beside = F.broadcast if before[0] <= most else settle
         both = links.select(F.col("v").alias("x"), F.col("u").alias("y")).unionAll(links.select("u", "v"))
-        smallest = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"))
+        smallest = both.groupBy(F.col("x").alias("_x")).agg(F.least(F.col("x"), F.min("y")).alias("m"))
         large = (
-            both.join(smallest, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u"))
-            .distinct()
+            both.join(beside(smallest), F.col("x") == F.col("_x")).where("y > x")
+            .select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
         )
-        lowest = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = (
-            large.join(lowest, "v")
+        large = large if before[0] <= most else settle(large)
+        lowest = large.groupBy(F.col("v").alias("_v")).agg(F.min("u").alias("m"))
+        hooked = (
+            large.join(beside(lowest), F.col("v") == F.col("_v"))
             .select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")),
                                       F.struct("v", F.col("m").alias("u")))).alias("e"))
             .select("e.*").where("u < v").distinct()
         )
-        after = settle(small)
-        before_sum, after_sum = (
-            x.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-            for x in (links, after)
-        )
-        links = after
-        if before_sum == after_sum:
+        links = settle(hooked)
+        after = state(links)
+        if before == after:
             roots = links.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "id")
             return roots.unionAll(links.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
+        before = after

@@ -78,7 +78,7 @@ def test_the_prefix_of_least_cost_is_taken(spark):
 
 def test_prefixes_lose_no_pair(spark):
     """Of any two that link, the prefixes share as many tokens as the shorter lengthening asks for."""
-    rows = copies(21, 6, 12, 7)
+    rows = copies(21, 6, 12, 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = jaccard.repeated(docs, 80).where("may_link").selectExpr("digest AS _digest").distinct()
     classes = jaccard._classes(docs, wanted).cache()

@@ -11,6 +11,10 @@ from eventlens.operators.timeseries import timeseries
 from eventlens.plans.session import CLUSTER
 from eventlens.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from eventlens.sources.ndjson import accepted, ingest_counts, parse_lines, read_lines, rejected, to_lines
+from eventlens.sources.summaries import (
+    Summary, days_to_summarise, fresh_days, summarise_days, summary_analytics, summary_data_keys, summary_data_values,
+    summary_label_values, summary_timeseries,
+)
 from eventlens.sources.table import (
     append_events, days_to_publish, drop_expired, publish_days, read_batches, read_events, read_ledger, read_live,
     register_view, retained, retained_from,

@@ -22,6 +22,15 @@ def limited(df: DataFrame, limit: int | None) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
+def ordered(result: DataFrame, fields: list[str], order_by: str, descending: bool, limit: int | None) -> DataFrame:
+    """``group_0...`` and ``value`` by value or one of the group fields, ties by the keys, up to a limit."""
+    names = [f"group_{i}" for i in range(len(fields))]
+    first = f"group_{fields.index(order_by)}" if order_by in fields else "value"
+    rest = [n for n in [*names, "value"] if n != first]
+    order = [F.col(first).desc() if descending else F.col(first).asc(), *rest]
+    return limited(result.orderBy(*order), limit)
+
+
 def analytics(
     df: DataFrame, *, aggregation: str = "count", field: str | None = None, group_by=(), filters=None,
     start=None, end=None, order_by: str = "value", descending: bool = False, limit: int | None = None,
@@ -38,13 +47,9 @@ def analytics(
     fields = [group_by] if isinstance(group_by, str) else list(group_by)
     keys = group_columns(fields)
     result = aggregate(filtered(df, filters, start, end, [*fields, field]), keys, aggregation, field, approx)
-    names = [f"group_{i}" for i in range(len(keys))]
-    first = f"group_{fields.index(order_by)}" if order_by in fields else "value"
-    rest = [n for n in [*names, "value"] if n != first]
-    order = [F.col(first).desc() if descending else F.col(first).asc(), *rest]
-    result = limited(result.orderBy(*order), limit)
+    result = ordered(result, fields, order_by, descending, limit)
     if groups_as_map and fields:
-        pairs = [part for f, n in zip(fields, names) for part in (F.lit(f), F.col(n))]
+        pairs = [part for i, f in enumerate(fields) for part in (F.lit(f), F.col(f"group_{i}"))]
         return result.select(F.create_map(*pairs).alias("groups"), "value")
     return result
 

@@ -29,20 +29,29 @@ def timeseries(
     """
     check_aggregation(aggregation, field)
     lower, upper = parse_time(start), parse_time(end)
-    if nested and (lower is None or upper is None):
-        raise ValueError("nested series need a start and an end; ask for long rows without them")
-    if fill_zeros and lower is not None and upper is not None:
-        check_grid(lower, upper, interval, most_buckets)
-
     fields = [group_by] if isinstance(group_by, str) else list(group_by)
     keys = group_columns(fields)
-    names = [f"group_{i}" for i in range(len(keys))]
     bucket = bucket_start(F.col("timestamp"), interval, is_ntz(df)).alias("bucket")
     events = filtered(df, filters, lower, upper, [*fields, field])
     points = aggregate(events, [bucket, *keys], aggregation, field, approx)
+    return arranged(
+        points, len(keys), interval=interval, start=lower, end=upper, fill_zeros=fill_zeros, nested=nested,
+        most_buckets=most_buckets, ntz=is_ntz(df))
+
 
+def arranged(
+    points: DataFrame, n_keys: int, *, interval: str, start, end, fill_zeros: bool, nested: bool,
+    most_buckets: int | None, ntz: bool,
+) -> DataFrame:
+    """Points (``bucket``, ``group_0...``, ``value``) as the series that ``timeseries`` gives."""
+    lower, upper = parse_time(start), parse_time(end)
+    if nested and (lower is None or upper is None):
+        raise ValueError("nested series need a start and an end; ask for long rows without them")
+    if fill_zeros and lower is not None and upper is not None:
+        check_grid(lower, upper, interval, most_buckets)
+    names = [f"group_{i}" for i in range(n_keys)]
     if fill_zeros and lower is not None and upper is not None:
-        points = _fill(points, names, lower, upper, interval, is_ntz(df))
+        points = _fill(points, names, lower, upper, interval, ntz)
 
     name = F.concat_ws("|", *names) if names else F.lit("")
     if nested:

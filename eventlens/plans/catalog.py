@@ -21,6 +21,10 @@ from eventlens.schema import LABEL_COLUMNS
 from eventlens.sources.ndjson import (
     accepted, event_line, ingest_counts, parse_lines, read_lines, to_lines,
 )
+from eventlens.sources.summaries import (
+    DISTINCT_ERROR, RANK_ERROR, Summary, days_to_summarise, summarise_days, summary_analytics, summary_data_keys,
+    summary_data_values, summary_label_values, summary_timeseries,
+)
 from eventlens.sources.table import (
     append_events, days_to_publish, drop_expired, publish_days, read_events, read_live, register_view, retained,
 )
@@ -164,6 +168,77 @@ def _live_with_late_rows(events: DataFrame) -> DataFrame:
     return _by_day(read_live(spark, landing, table))
 
 
+def _summary(events: DataFrame) -> Summary:
+    """Most events landed, published and summarised by hour; then late ones on every other day."""
+    spark = events.sparkSession
+    folder, late = scratch_dir(spark), (F.col("service") == "svc_4") & (F.dayofmonth("timestamp") % 2 == 0)
+    landing, _ = _ingest(events.filter(~late), folder, "first")
+    summary = Summary(
+        landing, f"{folder}/table", f"{folder}/summary", group_by=("service", "name", "level", "data.endpoint"),
+        numbers=("data.value",), distinct=("user_id",))
+    _publish_open_days(spark, landing, summary.table)
+    days = days_to_summarise(spark, summary)
+    if days:
+        summarise_days(spark, summary, days[0], days[-1])
+    _ingest(events.filter(late), folder, "late")
+    return summary
+
+
+def _summary_counts(events: DataFrame) -> DataFrame:
+    """Bounds within an hour: the hours that they cut are read from events."""
+    return summary_analytics(
+        events.sparkSession, _summary(events), group_by=["service", "data.endpoint"], filters={"level__neq": "debug"},
+        start="2024-01-08T00:30:00Z", end="2024-01-21T22:59:59Z")
+
+
+def _summary_averages(events: DataFrame) -> DataFrame:
+    return summary_analytics(
+        events.sparkSession, _summary(events), aggregation="avg", field="data.value", group_by="name")
+
+
+def _summary_sums_by_day(events: DataFrame) -> DataFrame:
+    found = summary_timeseries(
+        events.sparkSession, _summary(events), interval="day", aggregation="sum", field="data.value", group_by="service",
+        **WEEK)
+    return found.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+def _summary_quantiles(events: DataFrame) -> DataFrame:
+    """Whether the share of values up to a merged sketch's percentile is off by no more than its bound, one event aside."""
+    spark, summary = events.sparkSession, _summary(events)
+    found = summary_analytics(
+        spark, summary, aggregation="p95", field="data.value", group_by="name", approx=True, order_by="name")
+    value = F.try_variant_get(F.try_parse_json("data"), "$.value", "double")
+    live = read_live(spark, summary.landing, summary.table).select("name", value.alias("x"))
+    share = F.avg((F.col("x") <= F.col("value")).cast("double"))
+    return live.join(F.broadcast(found), F.col("name") == F.col("group_0")).groupBy("name").agg(
+        F.count("x").alias("numbers"),
+        (F.abs(share - 0.95) <= RANK_ERROR + 1 / F.count("x")).alias("within"))
+
+
+def _summary_distinct(events: DataFrame) -> DataFrame:
+    """Whether merged sketches count users as exactly as four standard errors allow; a user of many days counts once."""
+    spark, summary = events.sparkSession, _summary(events)
+    request = dict(aggregation="count_unique", field="user_id", group_by="service")
+    found = summary_analytics(spark, summary, approx=True, **request)
+    exact = analytics(read_live(spark, summary.landing, summary.table), **request)
+    return exact.select(F.col("group_0").alias("service"), F.col("value").alias("users")).join(
+        F.broadcast(found), F.col("service") == F.col("group_0")
+    ).select("service", "users", (F.abs(F.col("value") / F.col("users") - 1) <= 4 * DISTINCT_ERROR).alias("within"))
+
+
+def _summary_discovery(events: DataFrame) -> DataFrame:
+    spark, summary = events.sparkSession, _summary(events)
+    request = dict(filters={"level__neq": "debug"}, start="2024-01-03T10:20:30Z")
+    kinds = {
+        "label": summary_label_values(spark, summary, "service", **request),
+        "key": summary_data_keys(spark, summary, **request),
+        "value": summary_data_values(spark, summary, "endpoint", **request),
+    }
+    named = [found.select(F.lit(kind).alias("kind"), F.col(found.columns[0]).alias("value")) for kind, found in kinds.items()]
+    return named[0].unionAll(named[1]).unionAll(named[2])
+
+
 def _retention_live(events: DataFrame) -> DataFrame:
     """Days that have expired from the table are not live, listed or published again, though they are in landing."""
     spark = events.sparkSession
@@ -425,6 +500,12 @@ def _build() -> dict[str, Query]:
     q["retention_live"] = _on_events(_retention_live)
     q["stream_replayed_source"] = _on_events(_replayed_source)
     q["stream_progress"] = _on_events(_stream_progress)
+    q["summary_counts"] = _on_events(_summary_counts)
+    q["summary_averages"] = _on_events(_summary_averages)
+    q["summary_sums_by_day"] = _on_events(_summary_sums_by_day)
+    q["summary_quantiles"] = _on_events(_summary_quantiles)
+    q["summary_distinct"] = _on_events(_summary_distinct)
+    q["summary_discovery"] = _on_events(_summary_discovery)
     q["sql_view_stored_lookup"] = _on_events(_stored_lookup)
     q["ingest_insert_stamp"] = _on_events(_insert_stamp)
     q["retention_cutoff"] = _run(_retained_by_day)

@@ -232,6 +232,23 @@ CAST({num('k')} AS BIGINT) AS k, round({num('value')}, 6) AS number, {txt('code'
     o["stream_progress"] = (
         f"SELECT count(reason) AS enqueued, {landed.format("= ''")} AS accepted, {landed.format("<> ''")} AS refused,"
         f" {waiting} AS pending FROM (SELECT env, {FAULT} AS reason FROM e)")
+    landed_rows = f"{FAULT} = ''"
+    o["summary_counts"] = analytics(
+        ["service", txt("endpoint")], "count(*)",
+        where=f"{landed_rows} AND level <> 'debug' AND {MS} BETWEEN TIMESTAMP '2024-01-08 00:30:00' AND TIMESTAMP '2024-01-21 22:59:59'")
+    o["summary_averages"] = analytics(["name"], f"avg({num('value')})", where=landed_rows)
+    o["summary_sums_by_day"] = series(
+        "day", ["service"], f"sum({num('value')})", f"{landed_rows.replace('name', 'event_name')} AND {WEEK}")
+    o["summary_quantiles"] = (
+        f"SELECT name, count({num('value')}) AS numbers, true AS within FROM e WHERE {landed_rows} GROUP BY name")
+    o["summary_distinct"] = (
+        "SELECT service, CAST(count(DISTINCT user_id) AS DOUBLE) AS users, true AS within"
+        f" FROM e WHERE {landed_rows} GROUP BY service")
+    since = f"FROM e WHERE {landed_rows} AND level <> 'debug' AND {MS} >= TIMESTAMP '2024-01-03 10:20:30'"
+    o["summary_discovery"] = (
+        f"SELECT DISTINCT 'label' AS kind, service AS value {since}"
+        f" UNION ALL SELECT DISTINCT 'key' AS kind, unnest(json_keys(data)) AS value {since}"
+        f" UNION ALL SELECT DISTINCT 'value' AS kind, {txt('endpoint')} AS value {since} AND {txt('endpoint')} <> ''")
     o["sql_view_stored_lookup"] = (
         "SELECT trace_id, env, name, CASE WHEN env = 'production' THEN user_id ELSE '' END AS user_id FROM e"
         " WHERE trace_id = '00000000-0000-4000-8000-000000000007' AND (env <> 'production' OR user_id = '')")

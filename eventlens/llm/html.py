@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -13,13 +15,10 @@ from pyspark.sql import DataFrame
 from eventlens.llm.common import with_fields
 from eventlens.llm.rules import FREQUENT
 
-#: A comment, a declaration, or a tag; the last form is a tag with a quote that is not closed.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])")
+#: How a comment, a declaration or a tag starts.
+START = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))")
+QUOTE = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])")
 
 # ---------------------------------------------------------------------------
 # Names of HTML elements, of roles, and usual names of page parts.
@@ -58,6 +57,9 @@ HEADER_NAME = frozenset("header masthead topbar".split())
 #: Names of what stands beside the text: an element with one that holds most of a page's text is laid out so,
 #: as ``<div class='sidebar-right'>`` around all of it.
 LAYOUT_NAME = HEADER_NAME | frozenset("sidebar sidebars menu menus nav navbar navigation widget widgets toolbar banner".split())
+#: Names of what is paid for; inside an article too, whatever it is like.
+PAID_NAME = frozenset(
+    "ad ads adv advert adverts advertisement sponsor sponsored sponsors promo promotion".split())
 #: Names of what others write, often more than the text.
 OTHERS_NAME = frozenset("comment comments disqus respond replies reply related recommended teaser".split())
 
@@ -66,6 +68,8 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 #: Why an element is outside: it cannot be seen, its element or role tells, what its names tell, or it is a form.
 HIDDEN, PLACE, OTHERS, NAMED, LAYOUT, FORM = range(6)
+#: A long block has so many words, a dense one this share of frequent ones; a block of links has this share of them.
+LONG, DENSE, LINKED = 12, 0.12, 0.35
 
 
 @dataclass
@@ -81,6 +85,14 @@ class Block:
     label: int = OPEN
     region: int = 0
 
+    @cached_property
+    def words(self) -> int:
+        return len(self.text.split())
+
+    @cached_property
+    def frequent(self) -> int:
+        return sum(w.strip(".,;:!?\"'()").lower() in FREQUENT for w in self.text.split())
+
 
 @dataclass
 class Region:
@@ -91,6 +103,10 @@ class Region:
     chars: int = 0
     article: bool = False
     outside: bool = True
+    #: Inside an article: how many words of dense blocks it takes to outweigh its name. None: it is the name that tells.
+    text_wanted: int | None = None
+    text_words: int = 0
+    text_chars: int = 0
 
 
 def _names(value: str, parts_too: bool, whole: frozenset[str], part: frozenset[str]) -> set[str]:
@@ -106,19 +122,19 @@ def _names(value: str, parts_too: bool, whole: frozenset[str], part: frozenset[s
     return found
 
 
-def _reason(tag: str, attributes: str, in_article: bool, is_main: bool) -> int | None:
-    """Why an element is outside, None if it is not."""
-    reason = None
+def _reason(tag: str, attributes: str, in_article: bool, is_main: bool) -> tuple[int | None, frozenset[str]]:
+    """Why an element is outside, None if it is not, and its names that tell so."""
+    reason, none = None, frozenset()
     if tag in OUTSIDE or (tag == "header" and not in_article):
         reason = FORM if tag == "form" else PLACE
     if "=" not in attributes and "hidden" not in attributes:
-        return reason
+        return reason, none
     names: set[str] = set()
     whole = OUTSIDE_NAME if in_article else OUTSIDE_NAME | HEADER_NAME
     for key, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if hidden or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return HIDDEN
+            return HIDDEN, none
         if key == "role" and value.strip() in OUTSIDE_ROLE:
             reason = FORM if value.strip() == "form" and reason is None else PLACE if value.strip() != "form" else reason
         if key not in ("class", "id") or is_main or tag in ("html", "body") or (key == "id" and tag in HEADING):
@@ -129,32 +145,100 @@ def _reason(tag: str, attributes: str, in_article: bool, is_main: bool) -> int |
             made = key == "id" and (in_article or tag == "section")
             names |= _names(value, not made, whole, OUTSIDE_PART if in_article else OUTSIDE_PART | HEADER_NAME)
     if reason == PLACE or not names:
-        return reason
-    return OTHERS if names & OTHERS_NAME else LAYOUT if names <= LAYOUT_NAME else NAMED
+        return reason, none
+    return OTHERS if names & OTHERS_NAME else LAYOUT if names <= LAYOUT_NAME else NAMED, frozenset(names)
+
+
+def _text_wanted(tag: str, attributes: str, names: frozenset[str]) -> int | None:
+    """How much text it takes for a part of an article not to be what its names say. A section, or a word of which the name
+    is a part, as in ``newsletter-study``, is more likely to be about it than to be it."""
+    if names & PAID_NAME:
+        return None
+    about = tag == "section" or not any(
+        names & set((a or b or c).lower().split()) for key, a, b, c, _ in ATTRIBUTE.findall(attributes)
+        if key.lower() in ("class", "id"))
+    return 2 * LONG if about else 6 * LONG
 
 
 def _place(blocks: list[Block], regions: list[Region]) -> None:
     """Settles which blocks are outside. A form, an element with a layout's name, or one with another name in which
     an article starts, is not outside if it holds more than half of the text that is not outside by
-    any other reason: then it holds the page."""
+    any other reason: then it holds the page. Nor is a part of an article with a name in which dense blocks
+    of text have the words that the name takes to be outweighed, and three quarters of the characters."""
     def counts(b: Block) -> bool:
         return regions[b.region].reason not in (HIDDEN, PLACE)
 
     for b in blocks:
         if counts(b):
             regions[b.region].chars += b.chars
+            if b.words >= LONG and b.frequent >= DENSE * b.words and b.linked <= LINKED * b.chars:
+                regions[b.region].text_words += b.words
+                regions[b.region].text_chars += b.chars
     for r in reversed(regions[1:]):
         regions[r.parent].chars += r.chars
         regions[r.parent].article |= r.article
     regions[0].outside = False
     for r in regions[1:]:
         holds = r.reason in (FORM, LAYOUT) or (r.reason == NAMED and r.article)
-        r.outside = regions[r.parent].outside or not holds or 2 * r.chars <= regions[0].chars
+        is_text = r.text_wanted is not None and r.text_words >= r.text_wanted and 4 * r.text_chars >= 3 * r.chars
+        r.outside = regions[r.parent].outside or not (is_text or holds and 2 * r.chars > regions[0].chars)
     for b in blocks:
         b.outside = regions[b.region].outside
         b.in_article = b.in_article and not b.outside
 
 
+def _tags(html: str) -> Iterator[tuple[str, bool, str, str]]:
+    """The text before each tag, whether it is an end tag, its name and the rest of it; in the end what is left,
+    without a tag. Comments, declarations and what is inside raw elements are left out.
+
+    A tag ends at the first ``>`` outside of quotes or, if there is none, at the first one. Each place is looked at a
+    bounded number of times: quotes from which no such ``>`` is found are remembered."""
+    at, size, last = 0, len(html), html.rfind(">")
+    last_quote = {q: html.rfind(q) for q in "\"'"}
+    lost: set[int] = set()  # quotes that open on the way to a quote that nothing closes
+
+    def end_of(start: int) -> int:
+        p, passed = start, []
+        while True:
+            match = QUOTE.search(html, p)
+            if match and match[0] == ">":
+                return match.start()
+            if not match or match.start() in lost or last_quote[match[0]] == match.start():
+                lost.update(passed)
+                if match:
+                    lost.add(match.start())
+                return html.find(">", start)
+            passed.append(match.start())
+            p = html.find(match[0], match.end()) + 1
+
+    since = 0  # where the text before the next tag starts
+    while True:
+        match = START.search(html, at)
+        if not match:
+            break
+        if match["comment"]:
+            yield html[since:match.start()], False, "", ""
+            close = html.find("-->", match.end())
+            at = since = close + 3 if close >= 0 else size
+            continue
+        if match.end() > last:  # no tag ends any more; a comment may still start
+            at = html.find("<!--", match.start())
+            if at < 0:
+                break
+            continue
+        if match["other"]:
+            yield html[since:match.start()], False, "", ""
+            at = since = html.find(">", match.end()) + 1
+            continue
+        stop, tag = end_of(match.end()), match["tag"].lower()
+        yield html[since:match.start()], bool(match["end"]), tag, html[match.end():stop]
+        at = since = stop + 1
+        if tag in RAW and not match["end"]:
+            close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
+            at = since = html.find(">", close.end()) + 1 or size if close else size
+    yield html[since:], False, "", ""
+
+
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order: text between starts and ends of block elements, references decoded
     and white space made one space, with what their place in the page says of them. Markup that is
@@ -162,7 +246,8 @@ def blocks_of(html: str) -> list[Block]:
     if it cannot be seen, whatever it stands in; an ``article`` is not outside because of a form."""
     found: list[Block] = []
     regions = [Region(0, None)]
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, region, in article, in link
+    stack: list[tuple[str, int, bool, bool, int]] = []  # tag, region, in article, in link, place of the nearest block
+    opened: Counter[str] = Counter()  # tags in the stack
     region, in_article, in_link = 0, False, False
     block = Block("", False, False)
 
@@ -182,20 +267,25 @@ def blocks_of(html: str) -> list[Block]:
             if block.text:
                 block.chars, block.linked = len(block.text), len(plain(block.links))
                 found.append(block)
-        tag = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")
-        block = Block(tag, in_article, False, region=region)
+        k = nearest()
+        block = Block(stack[k][0] if k >= 0 else "", in_article, False, region=region)
+
+    def nearest() -> int:
+        return stack[-1][4] if stack else -1
 
     def state() -> None:
         nonlocal region, in_article, in_link
-        _, region, in_article, in_link = stack[-1] if stack else ("", 0, False, False)
+        _, region, in_article, in_link, _ = stack[-1] if stack else ("", 0, False, False, -1)
 
     def close(k: int) -> None:
+        opened.subtract(s[0] for s in stack[k:])
         del stack[k:]
         state()
 
     def enter(tag: str, rest: str, is_main: bool) -> int:
         """The region inside a start tag."""
-        at, reason = region, _reason(tag, rest, in_article, is_main)
+        at = region
+        reason, names = _reason(tag, rest, in_article, is_main)
         if regions[at].reason == HIDDEN:
             return at
         if is_main:
@@ -207,42 +297,31 @@ def blocks_of(html: str) -> list[Block]:
         # nothing inside of an outside place is judged again, nor a form in a form
         if reason is None or (reason != HIDDEN and regions[at].reason in (PLACE, reason if reason == FORM else PLACE)):
             return at
-        regions.append(Region(at, reason))
+        wanted = _text_wanted(tag, rest, names) if in_article and reason in (NAMED, LAYOUT) else None
+        regions.append(Region(at, reason, text_wanted=wanted))
         return len(regions) - 1
 
-    at, end = 0, len(html)
-    while at < end:
-        match = TOKEN.search(html, at)
-        if not match:
-            add(html[at:])
-            break
-        add(html[at:match.start()])
-        at, tag = match.end(), (match["tag"] or match["tag2"] or "").lower()
+    for before, end_tag, tag, rest in _tags(html):
+        add(before)
         if not tag:
             continue
-        rest = match["rest"] or match["rest2"] or ""
-        if match["end"] or match["end2"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+        if end_tag:
+            # what is walked over here is closed
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1) if opened[tag] else -1
             if k >= 0:
                 close(k)
             if tag in BLOCK or (k >= 0 and region != block.region):
                 finish()
             continue
         if tag in RAW:
-            stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
-            at = html.find(">", stop.end()) + 1 or end if stop else end
             continue
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCK:
             closes = {"p"} | ({tag} if tag in ("li", "dt", "dd", "tr", "td", "th") else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            if nearest() >= 0 and stack[nearest()][0] in closes:
+                close(nearest())
         if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             if tag in BLOCK:
                 finish()
@@ -250,7 +329,9 @@ def blocks_of(html: str) -> list[Block]:
         is_main = tag == "main" or re.search(r"role\s*=\s*['\"]?main\b", rest, re.I) is not None
         inner = enter(tag, rest, is_main)
         changed = inner != region
-        stack.append((tag, inner, in_article or is_main or tag == "article", in_link or tag == "a"))
+        opened[tag] += 1
+        stack.append((tag, inner, in_article or is_main or tag == "article", in_link or tag == "a",
+                      len(stack) if tag in BLOCK else nearest()))
         state()
         if tag in BLOCK or changed:
             finish()
@@ -259,11 +340,10 @@ def blocks_of(html: str) -> list[Block]:
     return found
 
 
-def decide(
-    blocks: list[Block], short: int = 12, frequent: float = 0.12, linked: float = 0.35,
-) -> None:
+def decide(blocks: list[Block]) -> None:
     """Labels blocks. First pass, each block alone: parts of the page that are outside and blocks of links are bad;
-    long blocks with frequent words are good. What is short or without frequent words stays open.
+    long blocks with frequent words are good. What is short or without frequent words stays open, and so do linked
+    headings and blocks of links in an article that is not made of links.
 
     Then the article is looked at: if it has at least as much good text as the rest of the page (or, on a
     page without any, at least as much long text), what is not in it is bad; else the rest is judged as it
@@ -278,13 +358,15 @@ def decide(
     size = {True: 0, False: 0}  # of good text, in an article or not
     rest = {True: 0, False: 0}  # of other long text
     long_open = []
+    own = [b for b in blocks if b.in_article and not b.outside]
+    of_links = sum(b.linked for b in own) > LINKED * sum(b.chars for b in own)
     for b in blocks:
-        words = b.text.split()
-        known = sum(w.strip(".,;:!?\"'()").lower() in FREQUENT for w in words)
-        if b.outside or b.linked > linked * b.chars:
+        if b.outside:
             b.label = BAD
-        elif len(words) >= short:
-            if known >= frequent * len(words):
+        elif b.linked > LINKED * b.chars:
+            b.label = OPEN if b.in_article and not of_links else BAD
+        elif b.words >= LONG:
+            if b.frequent >= DENSE * b.words:
                 b.label = GOOD
                 size[b.in_article] += b.chars
             else:
@@ -303,17 +385,26 @@ def decide(
             if not b.in_article:
                 b.label = BAD
     first = [b.label for b in blocks]
+    # the nearest decided block, and the nearest that is not of an article, on either side
+    sides = []
+    for places in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        decided, border, seen = None, None, [(None, None)] * len(blocks)
+        for i in places:
+            seen[i] = decided, border
+            if first[i] != OPEN:
+                decided = i
+            if not blocks[i].in_article or blocks[i].outside:
+                border = i
+        sides.append(seen)
     for i, b in enumerate(blocks):
         if first[i] != OPEN:
             continue
         near = {}
-        for side, places in (("before", range(i - 1, -1, -1)), ("after", range(i + 1, len(blocks)))):
-            for j in places:
-                if b.in_article and not (blocks[j].in_article and not blocks[j].outside):
-                    break
-                if first[j] != OPEN:
-                    near[side] = (abs(j - i), first[j])
-                    break
+        for side, seen in zip(("before", "after"), sides):
+            decided, border = seen[i]
+            beyond = b.in_article and border is not None and decided is not None and abs(border - i) <= abs(decided - i)
+            if decided is not None and not beyond:
+                near[side] = (abs(decided - i), first[decided])
         labels = {label for _, label in near.values()}
         if not near:
             b.label = GOOD

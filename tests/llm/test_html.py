@@ -1,6 +1,7 @@
 """Main text of pages: rules one by one, and the articles of the test pages."""
 
 import re
+import time
 from html import unescape
 
 import pytest
@@ -151,3 +152,50 @@ def test_odd_rows(spark):
     assert sorted(map(str, map(tuple, extract(pages).collect()))) == sorted(map(str, [
         (1, "u", "", 0), (1, "u", "", 0), (None, None, "text", 4), (2, "v", "", 0)]))
     assert extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<a '" * 250_000, "<b>" * 150_000 + "<p>" * 150_000, "<div>" + "<b>" * 100_000 + "<h1></h1>" * 60_000,
+    '<a b=">"' * 120_000 + "'", "<b>" * 100_000 + "</i>" * 150_000, "<p>a</p>" * 120_000,
+    "<a " + "a" * 1_000_000 + " =>", "<a" + " " * 1_000_000 + "=>", "<!--" * 250_000, "<a \"'" * 200_000 + ">",
+], ids=range(10))
+def test_hostile_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 5
+
+
+RIVER = "It was the first time that the people of the town had seen the river so high in the middle of the summer."
+
+
+@pytest.mark.parametrize("before, part, after", [
+    ("", "<h1><a href='x'>Linked title</a></h1>", RIVER),
+    (RIVER, "<p><a href='x'>The whole report of the commission</a></p>", RIVER),
+    (f"{RIVER}</p><p>{RIVER}</p><h2>Sources</h2><p>",
+     "<ul><li><a href='1'>Report of the town</a></li><li><a href='2'>The river in numbers</a></li></ul>", ""),
+    (RIVER, f"<section class='social'><h2>The social side</h2><p>{RIVER} {RIVER}</p></section>", RIVER),
+    (RIVER, f"<div class='newsletter-study'><p>{RIVER} {RIVER}</p></div>", RIVER),
+])
+def test_parts_of_an_article_that_look_like_others_stay(before, part, after):
+    page = f"<body><nav><a href='/'>Home</a></nav><article><p>{before}</p>{part}<p>{after}</p></article><footer>End</footer></body>"
+    found = main_text(page)
+    wanted = [" ".join(re.sub("<[^>]*>", " ", x).split()) for x in re.split("</?(?:p|li|ul|h1|h2|section|div)[^>]*>", f"{before}<p>{part}<p>{after}")]
+    assert found.split("\n") == [w for w in wanted if w]
+
+
+@pytest.mark.parametrize("part", [
+    f"<div class='comments'><p>{RIVER} {RIVER}</p><p>{RIVER} {RIVER}</p></div>",
+    f"<div class='advert'><p>{RIVER} {RIVER}</p></div>",
+    f"<section class='sponsored'><p>{RIVER} {RIVER}</p></section>",
+    "<div class='newsletter'><p>Sign up for our newsletter and get the best of the week in your inbox.</p></div>",
+    "<div class='share'><a href='1'>Share this</a> <a href='2'>Tell your friends</a></div>",
+    "<nav><ul><li><a href='1'>Home</a></li><li><a href='2'>News of the town</a></li></ul></nav>",
+    f"<aside><p>{RIVER}</p></aside>",
+])
+def test_parts_of_an_article_that_are_others_go(part):
+    assert main_text(f"<article><p>{RIVER}</p>{part}<p>{RIVER}</p></article>") == f"{RIVER}\n{RIVER}"
+
+
+def test_an_article_of_links_is_a_list_of_links():
+    links = "".join(f"<li><a href='{i}'>The story number {i}</a></li>" for i in range(40))
+    assert "story number 3" not in main_text(f"<main><p>{RIVER}</p><ul>{links}</ul></main>")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventlens.llm.common import with_fields
+from eventlens.llm.common import settle, with_fields
 
 UNKNOWN = "und"
 #: n-gram vectors held at once; more of them are added up block by block.
@@ -102,12 +102,16 @@ def document_vectors(
     return total
 
 
-def _texts(column: pa.Array, most_rows: int = 128, most_chars: int = 1 << 19) -> Iterator[list[str | None]]:
+def _texts(
+    column: pa.Array, most_rows: int = 128, most_chars: int = 1 << 19, most_counts: int = 1 << 24,
+) -> Iterator[list[str | None]]:
+    """Texts in groups, of which the counts of n-grams (of up to as many as there are characters, for each text) have a
+    bounded size; a text that is longer is a group of its own."""
     group, chars = [], 0
     for value in column:
         text = value.as_py()
         size = len(text) if text else 0
-        if group and (len(group) >= most_rows or chars + size > most_chars):
+        if group and (len(group) >= most_rows or chars + size > min(most_chars, most_counts // (len(group) + 1))):
             yield group
             group, chars = [], 0
         group.append(text)
@@ -117,11 +121,12 @@ def _texts(column: pa.Array, most_rows: int = 128, most_chars: int = 1 << 19) ->
 
 
 def prototypes(
-    docs: DataFrame, learn: Column, n: int = 3, dimensions: int = 1024, seed: int = 1,
+    docs: DataFrame, learn: Column, n: int = 3, dimensions: int = 1024, seed: int = 1, most_labels: int = 10_000,
 ) -> dict[str, np.ndarray]:
     """The bundle (sum) of all document vectors of each language, from ``text`` and ``lang`` of the rows
-    where ``learn`` holds. Tasks add up their rows first; one vector for each label of a language
-    goes to the driver, so what comes is as large as the set of labels, not as the corpus."""
+    where ``learn`` holds; none of an empty table. Tasks add up their rows first; one vector for each label of a language
+    goes to the driver. The labels are counted before: with more than ``most_labels``, ``lang`` holds something
+    else than languages, and a ValueError says so."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -147,6 +152,9 @@ def prototypes(
         .groupBy("lang", "place").agg(F.sum("value").alias("value"))
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("vector"))
     )
+    added = settle(added)
+    if (labels := added.count()) > most_labels:
+        raise ValueError(f"{labels} labels of a language; up to {most_labels} are expected")
     return {r["lang"]: np.array([v["value"] for v in r["vector"]]) for r in added.orderBy("lang").collect()}
 
 
@@ -156,7 +164,8 @@ def identify(
     """``keep``, lang_pred and score for every row: the language whose prototype has the greatest cosine with
     the document's vector, ties to the first name, and that cosine, 0 at least. Only ``text`` is
     looked at. Texts that are null, empty or without a letter are ``und`` with score 0, and so is
-    every text if nothing was learned; repeated rows get equal answers."""
+    every text if nothing was learned; repeated rows get equal answers, an empty table none. Other columns are not
+    looked at, whatever their names."""
     schema = with_fields(docs, keep, "lang_pred string, score double")
     names = sorted(profiles)
     matrix = np.array([profiles[k] / max(np.linalg.norm(profiles[k]), 1e-300) for k in names], np.float32)
@@ -187,7 +196,8 @@ def identify(
 
 
 def language_of(docs: DataFrame, dimensions: int = 1024) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document; learns from those not held out."""
+    """doc_id, held_out, lang_pred and score of every document; learns from those not held out. A null doc_id is not
+    held out; an empty table gives no row; other columns are not looked at, whatever their names."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     rows = docs.select("doc_id", "text", "lang", held_out.alias("held_out"))
     profiles = prototypes(rows, ~F.col("held_out"), dimensions=dimensions)

@@ -1,6 +1,11 @@
 """Held-out accuracy, and what predictions may depend on."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from eventlens.llm import language
@@ -48,3 +53,50 @@ def test_counts_of_each_text():
     grams, counts = language.gram_counts(["abab", None, "", "Ab-ab", "1"], 3)
     found = [{"".join(map(chr, g)): int(c) for g, c in zip(grams, row) if c} for row in counts]
     assert found == [{" ab": 1, "aba": 1, "bab": 1, "ab ": 1}, {}, {}, {" ab": 2, "ab ": 2, "b a": 1}, {}]
+
+
+def test_answers_of_a_whole_table(spark):
+    """Every document against the prototypes, gram by gram in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    vectors, cache = {}, {}
+
+    def vector_of(gram):
+        if gram not in cache:
+            cache[gram] = language.gram_vectors(np.array([[ord(c) for c in gram]], np.uint32), 3, 256, 1)[0].astype(float)
+        return cache[gram]
+
+    for i, text, _ in rows:
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        run = f" {' '.join(letters.split())} "
+        grams = Counter(run[k:k + 3] for k in range(len(run) - 2)) if run.strip() else {}
+        vectors[i] = sum((n * vector_of(g) for g, n in grams.items()), np.zeros(256))
+    learned = {}
+    for i, _, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang] = learned.get(lang, 0) + vectors[i]
+    found = {r["doc_id"]: r for r in language.language_of(docs, dimensions=256).collect()}
+    assert len(found) == len(rows)
+    for i, text, _ in rows:
+        assert found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        size = np.linalg.norm(vectors[i])
+        if size == 0:
+            assert (found[i]["lang_pred"], found[i]["score"]) == (language.UNKNOWN, 0.0)
+            continue
+        cosines = {k: vectors[i] @ v / size / np.linalg.norm(v) for k, v in learned.items()}
+        assert abs(cosines[found[i]["lang_pred"]] - max(cosines.values())) < 1e-4
+        assert abs(found[i]["score"] - max(0, max(cosines.values()))) < 1e-4
+
+
+def test_counts_of_varied_texts_are_bounded():
+    texts = ["".join(map(chr, range(0x4E00 + 100 * k, 0x4E00 + 100 * k + 4000))) for k in range(128)]
+    groups = list(language._texts(pa.array(texts)))
+    assert sum(map(len, groups)) == 128
+    assert all(language.gram_counts(g, 3)[1].nbytes <= 1 << 26 for g in groups)
+    assert [len(g) for g in language._texts(pa.array(["x" * (1 << 22), "y"]))] == [1, 1]
+
+
+def test_labels_are_counted_before_they_are_collected(spark):
+    docs = spark.range(30).selectExpr("id AS doc_id", "'some text' AS text", "cast(id AS string) AS lang")
+    with pytest.raises(ValueError, match="30 labels"):
+        language.prototypes(docs, F.lit(True), dimensions=16, most_labels=20)

@@ -55,7 +55,7 @@ class Sets:
     """Whole sets of 64-bit tokens of a part's rows, ``sizes`` of them in each."""
 
     #: Tokens that one row's tokens are looked up in at once.
-    BATCH = 1 << 22
+    BATCH = 1 << 20
 
     def __init__(self, tokens: pa.ChunkedArray, sizes: np.ndarray, percent: int):
         self.sizes, self.percent = sizes, percent

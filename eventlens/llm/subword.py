@@ -13,7 +13,8 @@ from eventlens.llm.common import with_fields
 #: Hash of an n-gram or word of bytes: a polynomial in this odd number, modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Texts are hashed in runs of about this many bytes, cut at white space.
+#: Texts are hashed in runs of this many bytes or up to twice as many, cut at white space; a word that has more bytes than
+#: this may be cut too, and counts as several.
 RUN = 1 << 20
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -35,24 +36,46 @@ def _mixed(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) % np.uint64(buckets)).astype(np.int32)
 
 
-def buckets_of(text: str | bytes | None, buckets: int) -> np.ndarray:
+def _runs(data: bytes) -> Iterator[bytes]:
+    start = 0
+    while len(data) - start > 2 * RUN:
+        first, last = start + RUN, start + 2 * RUN
+        spaces = [data.find(c, first, last) for c in (b" ", b"\n", b"\t")]
+        cut = min((s for s in spaces if s >= 0), default=last)
+        yield data[start:cut]
+        start = cut
+    yield data[start:]
+
+
+def buckets_by_run(text: str | bytes | None, buckets: int) -> Iterator[np.ndarray]:
     """The bucket of each word, of each 3 and 4 bytes within a word and the space at its ends, and of two
     marks of each word: whether it repeats the word one or two before, and the length class (power of
-    two of the words) of its text. In any order, repeats counted. Null and empty texts have none."""
+    two of the words) of its text. In any order, repeats counted, a run of the text at a time. Null and empty texts
+    have none."""
     data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    found = []
-    while data:
-        cut = len(data)
-        if cut > RUN:
-            spaces = [data.find(c, RUN) for c in (b" ", b"\n", b"\t")]
-            cut = min((s for s in spaces if s >= 0), default=len(data))
-        found.append(_run_buckets(data[:cut], buckets))
-        data = data[cut:]
-    n = sum(words for words, _ in found)
-    if not n:
-        return np.empty(0, np.int32)
+    n = 0
+    for run in _runs(data):
+        words, found = _run_buckets(run, buckets)
+        n += words
+        yield found
     size = _mixed(np.array([n.bit_length() * 1024 + 9], np.uint64) * BASE, buckets)
-    return np.concatenate([*[x for _, x in found], np.repeat(size, n)])
+    for done in range(0, n, RUN):
+        yield np.repeat(size, min(RUN, n - done))
+
+
+def buckets_of(text: str | bytes | None, buckets: int) -> np.ndarray:
+    """All of ``buckets_by_run`` at once."""
+    return np.concatenate([np.empty(0, np.int32), *buckets_by_run(text, buckets)])
+
+
+def shares_of(text: str | bytes | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text, and the share of each in all of them."""
+    counts = np.zeros(buckets, np.int64)
+    for found in buckets_by_run(text, buckets):
+        distinct, times = np.unique(found, return_counts=True)
+        counts[distinct] += times
+    distinct = np.flatnonzero(counts)
+    return distinct.astype(np.int32), (counts[distinct] / max(counts.sum(), 1)).astype(np.float32)
 
 
 def _run_buckets(data: bytes, buckets: int) -> tuple[int, np.ndarray]:
@@ -87,10 +110,11 @@ def _run_buckets(data: bytes, buckets: int) -> tuple[int, np.ndarray]:
 
 
 def train(
-    rows: list[tuple[np.ndarray, int]], buckets: int, width: int = 16, epochs: int = 8, rate: float = 0.5,
+    data: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, width: int = 16, epochs: int = 8, rate: float = 0.5,
     seed: int = 1,
 ) -> tuple[np.ndarray, float]:
-    """Embeddings and softmax weights by stochastic gradient descent on one document at a time.
+    """Embeddings and softmax weights by stochastic gradient descent on one document at a time: its distinct
+    buckets, their shares and its label.
 
     Before the softmax everything is linear: a document's log-odds are the mean, over its buckets, of
     (embedding times difference of the two output vectors). That one number for each bucket, and the
@@ -99,10 +123,6 @@ def train(
     vectors = ((random.random((buckets, width)) - 0.5) / width).astype(np.float32)
     output = (random.random((2, width)) - 0.5).astype(np.float32) / width
     bias = np.zeros(2, np.float32)
-    data = []
-    for found, label in rows:
-        distinct, counts = np.unique(found, return_counts=True)
-        data.append((distinct, (counts / max(len(found), 1)).astype(np.float32), label))
     steps, done = max(epochs * len(data), 1), 0
     for _ in range(epochs):
         for k in random.permutation(len(data)):
@@ -153,7 +173,7 @@ def fit(
         rows = []
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("quality").to_pylist()):
-                rows.append((buckets_of(text.as_py(), buckets), int(label)))
+                rows.append((*shares_of(text.as_py(), buckets), int(label)))
         logits, bias = train(rows, buckets) if rows else (np.zeros(buckets), 0.0)
         yield pa.RecordBatch.from_arrays(
             [pa.array([logits.astype("<f4").tobytes()]), pa.array([bias])], ["logits", "bias"]
@@ -170,7 +190,8 @@ def scored(
     docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, threshold: float = 0.3,
 ) -> DataFrame:
     """``keep``, score (0 to 1, the softmax output of label 1) and predicted for every row, from ``text``
-    alone. Null and empty texts have the score of the biases; repeated rows score equally."""
+    alone. Null and empty texts have the score of the biases; repeated rows score equally; an empty table gives no
+    row; columns of ``docs`` other than these may have any names. A long text is scored a run at a time."""
     schema = with_fields(docs, keep, "score double, predicted int")
     logits, bias = model[0].astype(np.float64), model[1]
 
@@ -178,8 +199,10 @@ def scored(
         for batch in batches:
             odds = []
             for text in batch.column("text"):
-                found = buckets_of(text.as_py(), len(logits))
-                odds.append(bias + (logits[found].mean() if len(found) else 0.0))
+                total, n = 0.0, 0
+                for found in buckets_by_run(text.as_py(), len(logits)):
+                    total, n = total + logits[found].sum(), n + len(found)
+                odds.append(bias + total / max(n, 1))
             scores = 1 / (1 + np.exp(-np.clip(np.array(odds, np.float64), -700, 700)))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(scores),
@@ -190,7 +213,9 @@ def scored(
 
 
 def quality_of(docs: DataFrame, labels: DataFrame, most: int = 6000) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; learns from labels not held out."""
+    """doc_id, held_out, score and predicted of every document; learns from labels not held out. A null doc_id is
+    not held out, and no label belongs to it. Without labels to learn from all scores are 0.5; an empty table
+    gives no row; columns other than doc_id, text and quality are not looked at."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = fit(docs, labels, ~held_out, most)
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out)

@@ -49,10 +49,12 @@ def test_a_repeated_document_is_learned_once(spark):
 def test_features():
     assert len(subword.buckets_of(None, 1000)) == len(subword.buckets_of(" \n", 1000)) == 0
     one = sorted(subword.buckets_of("ab cab", 1 << 17))
-    assert one == sorted(subword.buckets_of("\nab \t cab ", 1 << 17)) or len(one) > 0
+    assert one == sorted(subword.buckets_of("\nab \t cab ", 1 << 17))
     # words, marks and length class once each; of " ab " and " cab " the n-grams of 3 and 4 within a word
     assert len(one) == 3 * 2 + (2 + 1) + (3 + 2)
-    assert (subword.buckets_of("x " * 10, 1 << 17) == subword.buckets_of("x " * 10, 1 << 17)).all()
+    # ten words of one letter: 10 buckets of the word, 10 length marks, 10 marks of repeats (three kinds), 10 of " x "
+    kinds, times = np.unique(subword.buckets_of("x " * 10, 1 << 17), return_counts=True)
+    assert sorted(times) == [1, 1, 8, 10, 10, 10] and len(kinds) == 6
 
 
 def test_long_texts_are_hashed_in_runs(monkeypatch):
@@ -63,6 +65,30 @@ def test_long_texts_are_hashed_in_runs(monkeypatch):
     assert len(runs) == pytest.approx(len(whole), rel=0.01)
 
 
+def test_a_word_of_any_length_is_hashed_in_runs(monkeypatch):
+    monkeypatch.setattr(subword, "RUN", 100)
+    text = "ab" * 5000 + " tail"
+    assert b"".join(subword._runs(text.encode())) == text.encode()
+    assert max(map(len, subword._runs(text.encode()))) <= 200
+    assert max(map(len, subword.buckets_by_run(text, 1 << 17))) < 3 * 200
+    found = subword.buckets_of(text, 1 << 17)
+    distinct, share = subword.shares_of(text, 1 << 17)
+    kinds, times = np.unique(found, return_counts=True)
+    assert (distinct == kinds).all() and share == pytest.approx(times / len(found))
+
+
+def test_scores_by_plain_python(spark):
+    texts = [None, "", "one two two three", "ß words \n of\tmore " * 40, "x" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    logits = np.random.default_rng(3).normal(size=512).astype(np.float32)
+    rows = subword.scored(docs, (logits, 0.25), "doc_id").collect()
+    for row in rows:
+        values = [float(logits[b]) for b in subword.buckets_of(texts[row["doc_id"]], 512)]
+        odds = 0.25 + sum(values) / max(len(values), 1)
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-odds)))
+        assert row["predicted"] == int(row["score"] >= 0.3)
+
+
 def test_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame(
         [(1, 1, 0), (1, 0, 0), (2, 0, 0), (None, 1, 0), (6, None, 0), (7, 0, 1), (99, 1, 0)],

@@ -2,6 +2,7 @@
 
 from eventlens.functions.predicates import Filter, apply_filters
 from eventlens.functions.settings import REQUIRED, check_session, configure
+from eventlens.functions.sql import register_functions
 from eventlens.operators.analytics import analytics, gauge, topn
 from eventlens.operators.compare import compare
 from eventlens.operators.search import (

@@ -20,6 +20,11 @@ def check_aggregation(aggregation: str, field: str | None) -> None:
         raise ValueError(f"{aggregation} needs to know of which field")
 
 
+def reads_once(aggregation: str, approx: bool) -> bool:
+    """Whether an aggregate's plan meets its rows once; exact percentiles join them to their slots."""
+    return approx or aggregation not in PERCENTILES
+
+
 def _aggregate_column(aggregation: str, field: str | None, approx: bool) -> Column:
     if aggregation == "count":
         return F.count(F.lit(1))

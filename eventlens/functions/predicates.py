@@ -212,9 +212,11 @@ def apply_filters(df: DataFrame, filters=None, start=None, end=None) -> DataFram
     return found.drop(PARSED) if PARSED in found.columns else found
 
 
-def filtered(df: DataFrame, filters=None, start=None, end=None, fields: Iterable[str | None] = ()) -> DataFrame:
+def filtered(
+    df: DataFrame, filters=None, start=None, end=None, fields: Iterable[str | None] = (), once: bool = False,
+) -> DataFrame:
     """As ``apply_filters``; also has ``PARSED`` if a filter or one of ``fields`` is a ``data.<key>``. Time
-    and columns are looked at first, and only what they leave is parsed."""
+    and columns are looked at first, and only what they leave is parsed. ``once`` as in ``parsed_data``."""
     check_session(df.sparkSession)
     specs = as_filters(filters)
     on_data = [predicate(f) for f in specs if needs_data(f.field)]
@@ -225,5 +227,5 @@ def filtered(df: DataFrame, filters=None, start=None, end=None, fields: Iterable
     if parts:
         df = df.filter(reduce(lambda a, b: a & b, parts))
     if on_data or needs_data(*fields):
-        df = parsed_data(df)
+        df = parsed_data(df, once)
     return df.filter(reduce(lambda a, b: a & b, on_data)) if on_data else df

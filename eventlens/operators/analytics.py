@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions.aggregates import aggregate, check_aggregation
+from eventlens.functions.aggregates import aggregate, check_aggregation, reads_once
 from eventlens.functions.fields import group_columns
 from eventlens.functions.predicates import filtered
 from eventlens.schema import TOPN_LIMIT
@@ -46,7 +46,8 @@ def analytics(
     """
     fields = [group_by] if isinstance(group_by, str) else list(group_by)
     keys = group_columns(fields)
-    result = aggregate(filtered(df, filters, start, end, [*fields, field]), keys, aggregation, field, approx)
+    once = reads_once(aggregation, approx)
+    result = aggregate(filtered(df, filters, start, end, [*fields, field], once), keys, aggregation, field, approx)
     result = ordered(result, fields, order_by, descending, limit)
     if groups_as_map and fields:
         pairs = [part for i, f in enumerate(fields) for part in (F.lit(f), F.col(f"group_{i}"))]
@@ -62,7 +63,8 @@ def topn(
     if not isinstance(group_by, str) or not group_by:
         raise ValueError("name the one field whose top groups are wanted")
     (key,) = group_columns(group_by)
-    result = aggregate(filtered(df, filters, start, end, [group_by, field]), [key], aggregation, field, approx)
+    once = reads_once(aggregation, approx)
+    result = aggregate(filtered(df, filters, start, end, [group_by, field], once), [key], aggregation, field, approx)
     return limited(result.withColumnRenamed("group_0", "key").orderBy(F.desc("value"), F.asc("key")), limit)
 
 
@@ -72,4 +74,5 @@ def gauge(
 ) -> DataFrame:
     """One aggregate over all matching events; always one row."""
     check_aggregation(aggregation, field)
-    return aggregate(filtered(df, filters, start, end, [field]), [], aggregation, field, approx)
+    once = reads_once(aggregation, approx)
+    return aggregate(filtered(df, filters, start, end, [field], once), [], aggregation, field, approx)

@@ -151,10 +151,10 @@ def _new_checkpoint(events: DataFrame) -> DataFrame:
     return _by_day(read_events(spark, table))
 
 
-def _publish_open_days(spark: SparkSession, landing: str, table: str) -> None:
+def _publish_open_days(spark: SparkSession, landing: str, table: str, **options) -> None:
     days = days_to_publish(spark, landing, table)
     if days:
-        publish_days(spark, landing, table, days[0], days[-1])
+        publish_days(spark, landing, table, days[0], days[-1], **options)
 
 
 def _live_with_late_rows(events: DataFrame) -> DataFrame:
@@ -168,6 +168,26 @@ def _live_with_late_rows(events: DataFrame) -> DataFrame:
     return _by_day(read_live(spark, landing, table))
 
 
+def _typed_events(events: DataFrame) -> DataFrame:
+    """Live events with stored VARIANTs: some days published with them, some without, some rows not yet published."""
+    spark = events.sparkSession
+    folder, day = scratch_dir(spark), F.dayofmonth("timestamp")
+    table = f"{folder}/table"
+    for name, rows, options in (
+        ("typed", day % 3 == 0, {"typed": True}), ("text", day % 3 == 1, {}), ("late", day % 3 == 2, None),
+    ):
+        landing, _ = _ingest(events.filter(rows), folder, name)
+        if options is not None:
+            _publish_open_days(spark, landing, table, **options)
+    return read_live(spark, landing, table, typed=True)
+
+
+def _typed_sums(events: DataFrame) -> DataFrame:
+    return analytics(
+        _typed_events(events), aggregation="sum", field="data.value", group_by=["data.endpoint", "data.code"],
+        filters={"data.value__gt": 20, "data.code__neq": "300"}).withColumn("value", F.round("value", 6))
+
+
 def _summary(events: DataFrame) -> Summary:
     """Most events landed, published and summarised by hour; then late ones on every other day."""
     spark = events.sparkSession
@@ -368,6 +388,18 @@ def _sql_view(events: DataFrame) -> DataFrame:
     )
 
 
+def _sql_functions(events: DataFrame) -> DataFrame:
+    """Analytics in SQL alone, over text that is parsed by the registered functions."""
+    register_view(events, "function_events")
+    found = events.sparkSession.sql(
+        "SELECT CAST(event_bucket(timestamp, 'week') AS TIMESTAMP_NTZ) AS week, event_text(data, 'endpoint') AS endpoint,"
+        " count(*) AS events, count(event_number(data, 'code')) AS quoted,"
+        " event_value(sum(event_number(data, 'value'))) AS total,"
+        " event_value(percentile(event_number(data, 'value'), 0.9)) AS high"
+        " FROM function_events WHERE event_number(data, 'k') > 10 AND event_text(data, 'code') <> '300' GROUP BY ALL")
+    return found.withColumns({c: F.round(c, 6) for c in ("total", "high")})
+
+
 def _decoded_page(events: DataFrame) -> DataFrame:
     page = search_events(events, filters={"name": "error"}, limit=50, decode=True)
     return page.select(
@@ -507,6 +539,8 @@ def _build() -> dict[str, Query]:
     q["summary_distinct"] = _on_events(_summary_distinct)
     q["summary_discovery"] = _on_events(_summary_discovery)
     q["sql_view_stored_lookup"] = _on_events(_stored_lookup)
+    q["sql_functions_by_week"] = _on_events(_sql_functions)
+    q["typed_sums"] = _on_events(_typed_sums)
     q["ingest_insert_stamp"] = _on_events(_insert_stamp)
     q["retention_cutoff"] = _run(_retained_by_day)
     q["retention_drop"] = _on_events(_drop_expired)

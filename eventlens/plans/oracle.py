@@ -252,6 +252,13 @@ CAST({num('k')} AS BIGINT) AS k, round({num('value')}, 6) AS number, {txt('code'
     o["sql_view_stored_lookup"] = (
         "SELECT trace_id, env, name, CASE WHEN env = 'production' THEN user_id ELSE '' END AS user_id FROM e"
         " WHERE trace_id = '00000000-0000-4000-8000-000000000007' AND (env <> 'production' OR user_id = '')")
+    o["sql_functions_by_week"] = (
+        f"SELECT {BUCKET['week']} AS week, {txt('endpoint')} AS endpoint, count(*) AS events, count({num('code')}) AS quoted,"
+        f" round(coalesce(sum({num('value')}), 0.0), 6) AS total, round(coalesce({q(0.9)}, 0.0), 6) AS high"
+        f" FROM e WHERE {num('k')} > 10 AND {txt('code')} <> '300' GROUP BY 1, 2")
+    o["typed_sums"] = analytics(
+        [txt("endpoint"), txt("code")], f"sum({num('value')})",
+        where=f"{landed_rows} AND {num('value')} > 20 AND {txt('code')} <> '300'")
     o["ingest_insert_stamp"] = "SELECT count(*) AS events, count(*) AS stamped FROM e"
     o["sql_view_absent_column"] = (
         "SELECT env, count(*) AS events FROM e WHERE env <> 'production' OR user_id = '' GROUP BY env")

@@ -21,14 +21,17 @@ what has expired stays away, whether its files are deleted yet, land anew or wer
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventlens.functions.fields import PARSED
 from eventlens.functions.predicates import date_literal
 from eventlens.functions.settings import check_session
+from eventlens.functions.sql import register_functions
 from eventlens.schema import BLOOM_COLUMNS, DEFAULTS, EVENT_COLUMNS, EVENT_SCHEMA, RETENTION_DAYS, SORT_COLUMNS
 
 STORED_COLUMNS = [*EVENT_COLUMNS, "_inserted_at", "event_date"]
@@ -45,9 +48,12 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("event_date", T.DateType()), T.StructField("reason", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("events", T.LongType()),
 ] + _BATCH_FIELDS)
+#: ``typed``: the day's files hold ``data`` as VARIANT too.
 PUBLISHED_SCHEMA = T.StructType(
-    [T.StructField("events", T.LongType())] + _BATCH_FIELDS + [T.StructField("event_date", T.DateType())]
+    [T.StructField("events", T.LongType())] + _BATCH_FIELDS
+    + [T.StructField("typed", T.BooleanType()), T.StructField("event_date", T.DateType())]
 )
+TYPED_SCHEMA = T.StructType(BATCH_SCHEMA.fields + [T.StructField(PARSED, T.VariantType())])
 
 
 def bloom_options() -> dict[str, str]:
@@ -153,8 +159,9 @@ def register_view(events: DataFrame, name: str = "events", absent_as_empty: tupl
     Columns of the stored table are taken as they are: the reader fills in what files lack, and filters on them
     reach the scan with their statistics and bloom filters. Of other events, NULL reads '' ('{}' for
     ``data``) in the view; ``absent_as_empty`` names the columns that this is done for, where it is known.
+    The SQL functions of ``eventlens.functions.sql`` are registered with it.
     """
-    check_session(events.sparkSession)
+    register_functions(events.sparkSession)
     names = [c for c in DEFAULTS if c in events.columns and _may_be_null(events, c)]
     names = names if absent_as_empty is None else absent_as_empty
     filled = {c: F.coalesce(F.col(c), F.lit(DEFAULTS[c])).alias(c) for c in names}
@@ -211,16 +218,17 @@ def _between(first: date | None, last: date | None) -> Column:
     return bounds & (day <= date_literal(last)) if last is not None else bounds
 
 
-def _list_days(batches: DataFrame, table: str) -> None:
+def _list_days(batches: DataFrame, table: str, typed: bool = False) -> None:
     (
-        batches.select("events", *BATCH_COLUMNS, "event_date").repartition("event_date")
+        batches.select("events", *BATCH_COLUMNS, F.lit(typed).alias("typed"), "event_date").repartition("event_date")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date")
         .parquet(f"{table}/{PUBLISHED}")
     )
 
 
 def publish_days(
-    spark: SparkSession, landing: str, table: str, first: date, last: date, files: int | None = None
+    spark: SparkSession, landing: str, table: str, first: date, last: date, files: int | None = None,
+    typed: bool = False,
 ) -> None:
     """Rewrite the days ``first`` to ``last`` of the table from the landed batches.
 
@@ -229,6 +237,9 @@ def publish_days(
     ranges there are; by default there are up to ``spark.sql.shuffle.partitions``, which
     AQE merges to the advisory size. The landing dataset has to keep a day for as long as
     it may be published again; days that it has no rows of, and expired ones, stay as they are.
+
+    ``typed`` stores ``data`` as VARIANT beside its text. Spark's writer shreds it into columns for the keys that
+    many events have, so aggregates of ``read_live(typed=True)`` read these columns in place of parsing text.
     """
     # one listing of the ledger for the rows and for the list of them
     batches = _kept(spark, read_batches(spark, landing).where(_between(first, last)), table)
@@ -245,17 +256,27 @@ def publish_days(
     rows = rows.join(batches.select(*BATCH_COLUMNS).distinct(), BATCH_COLUMNS, "left_semi")
     order = ["event_date", *SORT_COLUMNS]
     rows = rows.select(*STORED_COLUMNS, *BATCH_COLUMNS)
+    if typed:
+        check_session(spark)
+        rows = rows.withColumn(PARSED, F.try_parse_json("data"))
     ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
     (
         ranged.sortWithinPartitions(*order)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .options(**bloom_options()).partitionBy("event_date").parquet(table)
     )
-    _list_days(batches, table)
+    _list_days(batches, table, typed)
+
+
+def _typed_days(spark: SparkSession, table: str) -> DataFrame:
+    """Days whose files hold ``data`` as VARIANT."""
+    lists = read_or_none(spark, PUBLISHED_SCHEMA, f"{table}/{PUBLISHED}")
+    return lists.groupBy("event_date").agg(F.bool_and(F.coalesce("typed", F.lit(False))).alias("typed")).where("typed")
 
 
 def read_live(
-    spark: SparkSession, landing: str, table: str, first: date | None = None, last: date | None = None
+    spark: SparkSession, landing: str, table: str, first: date | None = None, last: date | None = None,
+    typed: bool = False,
 ) -> DataFrame:
     """Every landed event that has not expired: the published days, and the batches that they do not hold yet from
     landing.
@@ -263,7 +284,12 @@ def read_live(
     What is missing is known from the lists of both before any event is read, so only the listed days of the
     table and the days with missing batches of landing are. A batch that lands late on a published
     day is seen at once, and published again or not makes no difference; a day whose publication
-    broke off is read from landing."""
+    broke off is read from landing.
+
+    With ``typed`` the rows also have ``data`` as VARIANT: from the files of days that were published so, without a
+    look at the text, and parsed for all other rows. ``analytics``, ``topn`` and ``gauge`` take ``data.<key>`` from it.
+    Exact percentiles and other operators refuse ``data.<key>`` of such rows, which Spark 4.1.2 cannot plan for them: read
+    without ``typed``. Whoever changes ``data`` has to drop that column."""
     held = _days_of(_kept(spark, _published(spark, table).where(_between(first, last)), table, landing))
     missing = _missing(spark, landing, table).where(_between(first, last))
     waiting = _days_of(missing)
@@ -272,15 +298,22 @@ def read_live(
         rows = _read_days(spark, path, schema, first, last)
         return rows.where(F.col("event_date").isin(days))
 
+    def columns(rows: DataFrame) -> DataFrame:
+        if typed and PARSED not in rows.columns:
+            rows = rows.withColumn(PARSED, F.try_parse_json("data"))
+        return rows.select(*STORED_COLUMNS, *([PARSED] if typed else []))
+
+    check_session(spark)
+    parsed = set(_days_of(_typed_days(spark, table).where(_between(first, last)))) if typed else set()
     parts = []
-    if held:
-        parts.append(of_days(table, BATCH_SCHEMA, held).select(*STORED_COLUMNS))
+    if days := [d for d in held if d in parsed]:
+        parts.append(columns(of_days(table, TYPED_SCHEMA, days)))
+    if days := [d for d in held if d not in parsed]:
+        parts.append(columns(of_days(table, BATCH_SCHEMA, days)))
     if waiting:
         recent = of_days(landing, BATCH_SCHEMA, waiting).join(missing, ["event_date", *BATCH_COLUMNS], "left_semi")
-        parts.append(recent.select(*STORED_COLUMNS))
-    if not parts:
-        return spark.createDataFrame([], EVENT_SCHEMA).select(*STORED_COLUMNS)
-    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+        parts.append(columns(recent))
+    return reduce(DataFrame.unionByName, parts) if parts else columns(spark.createDataFrame([], EVENT_SCHEMA))
 
 
 # -- retention ---------------------------------------------------------------

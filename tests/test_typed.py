@@ -1,0 +1,119 @@
+"""Stored VARIANTs and SQL functions: the same rows as from text."""
+
+from datetime import date
+
+import pytest
+from golden import golden_events
+from pyspark.sql import functions as F
+
+from eventlens import (
+    analytics, apply_filters, days_to_publish, publish_days, read_events, read_live, register_functions,
+    register_view, to_lines, write_batch,
+)
+
+REQUESTS = [
+    dict(group_by=["data.path", "data.tag"]),
+    dict(aggregation="sum", field="data.latency", group_by="service"),
+    dict(aggregation="avg", field="data.latency", filters={"data.status__gte": 200}),
+    dict(aggregation="count_unique", field="data.path"),
+    dict(group_by="data.latency", filters={"data.latency__neq": "40"}),
+    dict(group_by="data.ok", filters={"data.path__contains": ""}),
+    dict(aggregation="max", field="data.no_such", group_by="data.no_such"),
+]
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def live(spark):
+    """February 1 published with VARIANTs, other days before the 7th without, the rest in landing only."""
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    landing, table = f"{folder}/landing", f"{folder}/table"
+    odd = [f'{{"timestamp":"2026-02-01T0{i}:00:00Z","service":"odd","name":"n","data":{d}}}' for i, d in enumerate((
+        '{"path":{"a":[1,"x"]},"latency":1.10}', '{"path":true,"latency":12345678901234567890}', '{"path":null}',
+        '{"path":"","latency":-0.5e-3}', '{"a b":"c","latency":"7"}', '{"path":"é\\n\\"","status":1}'))]
+    lines = to_lines(golden_events(spark)).unionAll(spark.createDataFrame([(x,) for x in odd], "value string"))
+    write_batch(lines, 0, landing, f"{folder}/quarantine", "s")
+    publish_days(spark, landing, table, date(2026, 1, 1), date(2026, 2, 6))
+    publish_days(spark, landing, table, date(2026, 2, 1), date(2026, 2, 1), typed=True)
+    return lambda **kw: read_live(spark, landing, table, **kw)
+
+
+@pytest.mark.parametrize("request_", REQUESTS, ids=str)
+def test_same_rows_as_from_text(live, request_):
+    assert rows(analytics(live(typed=True), **request_)) == rows(analytics(live(), **request_))
+
+
+def test_other_requests(live):
+    typed, text = live(typed=True), live()
+    assert typed.columns == [*text.columns, "_data"] and typed.count() == text.count() == 14
+    with pytest.raises(ValueError, match="read without typed"):
+        analytics(typed, aggregation="p90", field="data.latency")
+    with pytest.raises(ValueError, match="read without typed"):
+        apply_filters(typed, {"data.path": "/a"})
+
+
+def test_published_days_are_asked_without_text(live):
+    day = dict(first=date(2026, 2, 1), last=date(2026, 2, 1))
+    found = analytics(live(typed=True, **day), aggregation="sum", field="data.latency", group_by="data.path",
+                      filters={"data.status__gt": 100})
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = plan.split("+- == Initial Plan ==")[0].split("ReadSchema: ")[1]
+    assert "data:string" not in scan and "_data:struct<" in scan
+    assert "parsejson" not in plan.lower().replace("_", "")
+    assert "data:string" in analytics(live(**day), group_by="data.path")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_publishing_without_takes_them_away(spark, live, folder):
+    landing, table = f"{folder}/landing", f"{folder}/table"
+    write_batch(to_lines(golden_events(spark)), 0, landing, f"{folder}/quarantine", "s")
+    days = days_to_publish(spark, landing, table)
+    publish_days(spark, landing, table, days[0], days[-1], typed=True)
+    assert "_data" not in read_events(spark, table).columns
+    publish_days(spark, landing, table, days[0], days[-1])
+    typed = read_live(spark, landing, table, typed=True)
+    assert typed.where("_data is null").count() == 0
+    assert rows(analytics(typed, group_by="data.path")) == rows(analytics(read_live(spark, landing, table), group_by="data.path"))
+    empty = read_live(spark, f"{folder}/no", f"{folder}/none", typed=True)
+    assert empty.count() == 0 and rows(analytics(empty, aggregation="sum", field="data.x")) == [(0.0,)]
+
+
+# -- SQL functions ---------------------------------------------------------------------
+
+
+def test_functions_are_the_operators(spark, live):
+    register_view(live(), "typed_test_events")
+    for key in ("path", "latency", "status", "tag", "ok", "no_such"):
+        found = spark.sql(
+            f"SELECT event_text(data, '{key}') AS k, event_value(sum(event_number(data, 'latency'))) AS v"
+            " FROM typed_test_events GROUP BY 1 ORDER BY v, k")
+        assert rows(found) == rows(analytics(live(), aggregation="sum", field="data.latency", group_by=f"data.{key}"))
+
+
+def test_functions_by_hand(spark):
+    register_functions(spark)
+
+    def one(text):
+        return spark.sql(f"SELECT {text} AS x").first()["x"]
+
+    bag = """'{"n": 1e3, "q": "42", "a b": "c", "o": {"x": 1}, "z": null, "t": true}'"""
+    assert [one(f"event_text({bag}, '{k}')") for k in ("n", "q", "a b", "o", "z", "t", "none")] == [
+        "1000.0", "42", "c", '{"x":1}', "", "true", ""]
+    assert [one(f"event_number({bag}, '{k}')") for k in ("n", "q", "o", "z", "t", "none")] == [1000.0] + [None] * 5
+    assert one("event_text(NULL, 'k')") == one("event_text('{bad', 'k')") == one("event_text('[1]', 'k')") == ""
+    assert one("event_value(NULL)") == 0.0 and one("event_value(3)") == 3.0
+    moment = "TIMESTAMP '2026-02-07 23:59:01.5'"
+    starts = [str(one(f"CAST(event_bucket({moment}, '{i}') AS STRING)")) for i in ("minute", "hour", "day", "week", "month")]
+    assert starts == ["2026-02-07 23:59:00", "2026-02-07 23:00:00", "2026-02-07 00:00:00", "2026-02-01 00:00:00",
+                      "2026-02-01 00:00:00"]
+    with pytest.raises(Exception, match="no interval year"):
+        one(f"event_bucket({moment}, 'year')")
+    plan = spark.range(3).select(F.expr("event_text(concat('{\"k\":', id, '}'), 'k')").alias("x"))
+    assert [r["x"] for r in plan.collect()] == ["0", "1", "2"]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text

@@ -16,8 +16,8 @@ def usable(v):
     return v is not None and all(x is not None and math.isfinite(x) for x in v)
 
 
-def brute(rows, every, k):
-    rows = [(i, [math.floor(64 * np.float32(x).astype(float)) for x in v]) for i, v in rows if usable(v)]
+def brute(rows, every, k, kind=np.float32):
+    rows = [(i, [math.floor(64 * float(kind(x))) for x in v]) for i, v in rows if usable(v)]
     found = []
     for n, (i, q) in enumerate(rows):
         if i is None or i % every:
@@ -84,3 +84,51 @@ def test_boxes_are_tight_and_leaves_hold_all():
         inside = tree.points[lo:hi]
         assert (tree.low_of[k] == inside.min(axis=0)).all() and (tree.high_of[k] == inside.max(axis=0)).all()
     assert all(hi - lo <= 16 for lo, hi in (tree.span[k] for k in leaves))
+
+
+def clustered(seed, clusters, each, dims):
+    random.seed(seed)
+    return [
+        [c + random.gauss(0, 0.05) for c in centre]
+        for centre in vectors(seed, clusters, dims, 2.0) for _ in range(each)
+    ]
+
+
+def test_cells_hold_equal_shares_and_copies_stay_together():
+    points = [np.floor(64 * np.array(v)) for v in vectors(5, 1000, 6)] + [np.zeros(6)] * 500 + [np.ones(2)] * 40
+    cells = search.Cells(points, 16)
+    found = cells.of(points)
+    assert len(set(found[1000:1500])) == 1 and len(set(found[1500:])) == 1
+    assert np.bincount(found[:1000]).max() < 200
+    assert list(cells.of([np.zeros(9)])) == [-1]
+
+
+def test_a_query_reaches_few_cells_and_none_too_few():
+    points = [np.floor(64 * np.array(v)) for v in clustered(6, 32, 40, 8)]
+    cells = search.Cells(points, 32)
+    found, matrix = cells.of(points), np.array(points)
+    names = np.unique(found)
+    boxes = {8: (names, *(np.array([side(matrix[found == c], axis=0) for c in names]) for side in (np.min, np.max)))}
+    scores = matrix @ matrix.T
+    kth = np.sort(scores, axis=1)[:, -10]
+    reached = search.reaching(boxes, points, kth)
+    for row, at in zip(scores >= kth[:, None], reached):
+        assert set(found[row]) <= set(at)
+    assert np.mean([len(at) for at in reached]) < len(names) / 4
+    assert all(len(at) == len(names) for at in search.reaching(boxes, points[:3], np.full(3, math.nan)))
+
+
+@pytest.mark.parametrize("shard_rows, query_rows", [(50, 10), (100, 1000)])
+def test_clusters_and_a_common_vector_against_all_rows(spark, shard_rows, query_rows):
+    rows = list(enumerate(clustered(7, 12, 25, 5) + [[0.5, -0.25, 0.0, 1.0, 2.0]] * 150 + vectors(8, 40, 3)))
+    random.shuffle(rows)
+    check(spark, rows, shard_rows=shard_rows, query_rows=query_rows, leaf=8)
+
+
+def test_odd_vectors_in_many_cells(spark):
+    rows = [(i, [float(i % 7), -float(i % 5)]) for i in range(60)] + [(60, []), (65, []), (70, [1e300, 1e300]),
+            (75, [-1e300, 1e300]), (80, None), (None, [2.0, 3.0]), (85, [1.0] * 9), (86, [2.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = search.top_k(df, F.col("vec_id") % 5 == 0, 6, shard_rows=10, query_rows=4, leaf=2).collect()
+    wanted = brute(rows, 5, 6, float)
+    assert sorted(str((r["query_id"], r["rank"], r["vec_id"], r["score"])) for r in found) == wanted

@@ -184,8 +184,10 @@ def weak_quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns in their order. Texts are measured twice, for
-    the estimate and for the decision, rather than written out between the two."""
-    patterns = measured(docs.select("text")).groupBy("votes").agg(F.count("*").alias("n"))
+    """The rows of ``docs`` that are kept, with all their columns in their order. Each text is measured once: rows
+    are settled with their votes between the estimate and the decision, as writing them is much
+    cheaper than a second pass over all words. Odd rows are judged as by ``weak_quality``."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    return judged(measured(rows, "row"), patterns, least).where("kept").select("row.*")
+    counted = settle(measured(rows, "row"))
+    patterns = counted.groupBy("votes").agg(F.count("*").alias("n"))
+    return judged(counted, patterns, least).where("kept").select("row.*")
